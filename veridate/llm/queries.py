@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import language
+from veridate.llm import language, simple8b
 from veridate.llm.common import id_remainder, read
 
 
@@ -19,8 +20,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", id_remainder(F.col("doc_id"), 3) == 1)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum as read back from Simple-8b token files."""
+    return simple8b.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
+    "op9_token_files": op9_token_files,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import language, packing, simple8b
+from veridate.llm import dartminhash, language, packing, simple8b
 from veridate.llm.common import id_remainder, read
 
 
+def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word windows, similarity of 0.8 or more."""
+    return dartminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; two thirds of the ids teach, the rest are held out."""
     docs = read(spark, sf_dir, "documents")
@@ -31,6 +36,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_dartminhash": op4_dartminhash,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,

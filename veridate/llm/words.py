@@ -134,8 +134,8 @@ def batches(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list
         yield at, texts[at:]
 
 
-def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed n-word windows of each text (all its words as one window if it has 1 to n - 1) and the text each belongs to, ordered by text and hash."""
+def shingles(texts: list[str], n: int = 5, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-word windows of each text (all its words as one window if it has 1 to n - 1) and the text each belongs to, ordered by text and hash."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for base, part in batches(texts):
         w = words(part)
@@ -148,9 +148,11 @@ def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
             h, doc = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([doc, short])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        found.append((h[new], doc[new] + base))
+        if distinct:
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc = h[new], doc[new]
+        found.append((h, doc + base))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, language, packing, simple8b
+from veridate.llm import dartminhash, language, linededup, packing, simple8b
 from veridate.llm.common import id_remainder, read
 
 
@@ -35,11 +35,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier line within two edits."""
+    return linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dartminhash": op4_dartminhash,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, language, linededup, packing, simple8b
+from veridate.llm import dartminhash, decontaminate, language, linededup, packing, simple8b
 from veridate.llm.common import id_remainder, read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, as it is or with other numbers and names."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five-word windows, similarity of 0.8 or more."""
     return dartminhash.classes(read(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op4_dartminhash": op4_dartminhash,
     "op7_language": op7_language,
     "op8_packing": op8_packing,

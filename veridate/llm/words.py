@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WORD, DIGIT, UPPER, LETTER, SPACE, END = 1, 2, 4, 8, 16, 32
+WORD, DIGIT, UPPER, LETTER, SPACE, END, CAPITAL = 1, 2, 4, 8, 16, 32, 64
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -92,7 +92,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  #: index of each text's first word; one more entry than texts
-    flags: np.ndarray  #: class bits of the word's first character; END set where a sentence starts
+    flags: np.ndarray  #: class bits of the word's first character; END where a sentence starts, CAPITAL for an upper-case letter not followed by another
 
     def windows(self, n: int, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n successive words of one text, and the index of each window's first word."""
@@ -119,6 +119,8 @@ def words(texts: list[str]) -> Words:
     opens = np.ones(len(begin), bool)
     opens[1:] = (stops[begin[1:]] > stops[end[:-1]]) | (doc[1:] != doc[:-1])
     flags[opens] |= END
+    second = kind[np.minimum(begin + 1, end - 1)]
+    flags[((flags & UPPER) > 0) & ((end - begin == 1) | ((second & UPPER) == 0))] |= CAPITAL
     return Words(Spans(lower[cp]).hash(begin, end), doc, begin - starts[doc], end - starts[doc], np.searchsorted(begin, starts), flags)
 
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: str | None = None
 
@@ -37,3 +42,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Apply fn to a task's Arrow batches as dicts of Python lists (so that ids with nulls among them stay exact); it yields pandas frames of `schema`."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in batches):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, struct)
+
+
+def filter_batches(df: DataFrame, column: str, fn: Callable[[Iterator[list]], Iterator[list[bool]]]) -> DataFrame:
+    """The rows of df for which fn, given one column batch by batch, says True; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def values() -> Iterator[list]:
+            for b in batches:
+                held.append(b)
+                yield b.column(b.schema.names.index(column)).to_pylist()
+
+        for keep in fn(values()):
+            yield held.pop(0).filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

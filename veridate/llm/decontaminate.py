@@ -10,7 +10,8 @@ with new numbers or names, and rarely by chance.
 
 A *number* starts with a digit or is a number word, a *unit* is in UNITS, a *name*
 is a capitalised word within a sentence.  Windows need `literals` words that are
-not placeholders.  An item of fewer than `n` words is one window.
+not placeholders.  An item of fewer
+than `n` words is one window; items of fewer than `shortest` are left out.
 
 Nulls and edge cases: null texts and texts without words match nothing; a null
 doc_id or item_id is a value like any other.  Documents equal in doc_id and text
@@ -26,14 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridate.llm.common import table
+from veridate.llm.common import map_batches, table
 from veridate.llm.words import CAPITAL, DIGIT, END, Words, batches, mix, words
 
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years mph kph hz khz mhz ghz w kw kwh j kj v volt volts amp amps celsius fahrenheit kelvin degree degrees percent dollar dollars cent cents euro euros usd eur"
 _U = np.uint64
 #: Windows of the benchmark up to which the scan of the documents filters by them; beyond, all windows go to the join.
-FILTER_LIMIT = 2_000_000
+FILTER_LIMIT = 250_000
 
 
 def _hashes(listed: str) -> np.ndarray:
@@ -69,25 +70,25 @@ def _windows(texts: list[str], sizes: list[int], n: int, literals: int) -> Itera
         yield size, doc, at - w.first[doc], h, slot[at[:, None] + np.arange(size)], count[doc]
 
 
-def item_windows(items: DataFrame, n: int, literals: int) -> DataFrame:
+def item_windows(items: DataFrame, n: int, literals: int, shortest: int) -> DataFrame:
     """(hash, item_id, item, item_pos, item_words, size, item_slots) of the benchmark's windows."""
     kind = items.schema["item_id"].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids, keys, texts = part["item_id"].astype("object").where(part["item_id"].notna(), None).tolist(), part["item"].to_numpy(), part["text"].tolist()
+            ids, keys, texts = part["item_id"], np.array(part["item"], np.int64), part["text"]
             for base, few in batches(texts):
                 for size, doc, pos, h, slots, count in _windows(few, list(range(1, n + 1)), n, literals):
-                    use = (size == n) | (count == size)
+                    use = (size == n) | ((count == size) & (size >= shortest))
                     rows = np.flatnonzero(use)
                     if len(rows):
-                        yield pd.DataFrame({"hash": h[rows].view(np.int64), "item_id": [ids[base + d] for d in doc[rows].tolist()], "item": keys[base + doc[rows]], "item_pos": pos[rows], "item_words": count[rows], "size": size, "item_slots": list(slots[rows].view(np.int64))})
+                        yield pd.DataFrame({"hash": h[rows].view(np.int64), "item_id": pd.Series([ids[base + d] for d in doc[rows].tolist()], dtype="object"), "item": keys[base + doc[rows]], "item_pos": pos[rows], "item_words": count[rows], "size": size, "item_slots": list(slots[rows].view(np.int64))})
 
     own = items.where("text is not null").select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").distinct()
-    return own.mapInPandas(run, f"hash long, item_id {kind}, item long, item_pos int, item_words int, size int, item_slots array<long>")
+    return map_batches(own, run, f"hash long, item_id {kind}, item long, item_pos int, item_words int, size int, item_slots array<long>")
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, least: int = 13) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, least: int = 13, shortest: int = 5) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, exact, key) of each contaminated document and item.
 
     Contaminated: along one alignment, matching windows cover at least `least`
@@ -95,23 +96,24 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, le
     exact: all slot values are the same.  key: hash of doc_id and text.
     """
     spark = docs.sparkSession
-    bench = table(item_windows(items, n, literals))
+    bench = table(item_windows(items, n, literals, shortest))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
     few = bench.select("hash").distinct().count() <= FILTER_LIMIT
     known = spark.sparkContext.broadcast(np.sort(np.array([r.hash for r in bench.select("hash").distinct().collect()], np.int64)) if few else None)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         wanted = known.value
         for part in parts:
-            ids, keys, texts = part["doc_id"].astype("object").where(part["doc_id"].notna(), None).tolist(), part["key"].to_numpy(), part["text"].tolist()
+            ids, keys, texts = part["doc_id"], np.array(part["key"], np.int64), part["text"]
             for base, some in batches(texts):
                 for _, doc, pos, h, slots, _ in _windows(some, sizes, n, literals):
                     rows = np.flatnonzero(_within(h.view(np.int64), wanted)) if wanted is not None else np.arange(len(h))
                     if len(rows):
-                        yield pd.DataFrame({"hash": h[rows].view(np.int64), "doc_id": [ids[base + d] for d in doc[rows].tolist()], "key": keys[base + doc[rows]], "doc_pos": pos[rows], "doc_slots": list(slots[rows].view(np.int64))})
+                        yield pd.DataFrame({"hash": h[rows].view(np.int64), "doc_id": pd.Series([ids[base + d] for d in doc[rows].tolist()], dtype="object"), "key": keys[base + doc[rows]], "doc_pos": pos[rows], "doc_slots": list(slots[rows].view(np.int64))})
 
-    found = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInPandas(scan, f"hash long, doc_id {kind}, key long, doc_pos int, doc_slots array<long>")
+    own = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    found = map_batches(own, scan, f"hash long, doc_id {kind}, key long, doc_pos int, doc_slots array<long>")
     pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda x: x["item_slots"] != 0)
     met = found.join(bench, "hash").select("doc_id", "key", "item_id", "item", "item_words", "size", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     runs = met.groupBy("doc_id", "key", "item_id", "item", "item_words", "size", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridate.llm.common import filter_batches, map_batches
+
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes other than letters become a space, so that layout and markup cost every language the same.
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -48,8 +50,10 @@ def fit(labelled: DataFrame, per_language: int = 240, longest: int = 20_000, dic
     """
     usable = labelled.where("lang is not null and text is not null").select("lang", "text")
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = usable.where(F.length("text").between(1, longest)).withColumn("h", F.xxhash64("text")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    chosen = usable.where(F.length("text").between(1, longest)).withColumn("h", F.xxhash64("text"))
+    for salts in (256, 16, 1):  # the least hashes of shares of a language first, so that no task gets all of one
+        by_hash = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "text")
+        chosen = chosen.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
     texts: dict[str, list[bytes]] = {}
     for r in chosen.orderBy("lang", "rank").collect():
         if _LETTER.search(r.text):
@@ -93,14 +97,26 @@ def identify(docs: DataFrame, model: Model, least_margin: int = 1) -> DataFrame:
 
     rejected: no letter, or the runner-up needs fewer than `least_margin` bytes more.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         coder = Coder(shared.value)
         for part in parts:
             found = [coder(t) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found]})
+            yield pd.DataFrame({"doc_id": pd.Series(part["doc_id"], dtype="object"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, margin long").withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < least_margin))
+    scored = map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, margin long")
+    return scored.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < least_margin))
+
+
+def keep_identified(docs: DataFrame, model: Model, least_margin: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, that `identify` does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(parts: Iterator[list]) -> Iterator[list[bool]]:
+        coder = Coder(shared.value)
+        for texts in parts:
+            yield [lang != "und" and margin >= least_margin for lang, _, margin in map(coder, texts)]
+
+    return filter_batches(docs, "text", keep)

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from veridate.llm.common import map_batches
 from veridate.llm.tokens import encoder
 from veridate.llm.words import batches
 
@@ -125,7 +126,7 @@ class Line:
         raw, length = self.ids[:stop].astype("<u4").tobytes(), np.diff(cuts)
         whole = (length & (length - 1)) == 0
         pieces = pd.DataFrame({
-            "doc_id": [self.names[d] for d in doc.tolist()],
+            "doc_id": pd.Series([self.names[d] for d in doc.tolist()], dtype="object"),
             "start": a - self.at[doc],
             "length": b - a,
             "ids_crc32": [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)],
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
     """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer, "words")
         line = Line(sentence_ends(tokenizer), window, sentence_penalty, hard_penalty)
         sequence = TaskContext.get().partitionId() << 32
@@ -156,11 +157,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
             sequence += many
 
         for part in parts:
-            names = [None if pd.isna(x) else x for x in part["doc_id"].astype("object")]
+            names = part["doc_id"]
             for base, texts in batches([t or "" for t in part["text"]]):
                 ids, at = enc.encode(texts)
                 line.add(names[base : base + len(texts)], np.insert(ids, at[1:], end_id), np.diff(at) + 1)
                 yield from done(False)
         yield from done(True)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")

@@ -19,7 +19,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five-word windows, similarity of 0.8 or more."""
-    return dartminhash.classes(read(spark, sf_dir, "documents"))
+    return dartminhash.classes(read(spark, sf_dir, "documents")).drop("key")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridate.llm.common import scratch
+from veridate.llm.common import map_batches, scratch
 from veridate.llm.tokens import encoder
 
 #: (ids a word, bits an id) of selectors 1 to 14.
@@ -108,21 +108,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, group_ids
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer, "bytes")
         before = 0
         for part in parts:
-            texts, doc_ids = part["text"].tolist(), part["doc_id"].astype("Int64")
+            texts = part["text"]
             size = np.array([len(t) + 1 for t in texts])
             for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(size) // (4 * group_ids))) + 1):
                 ids, at = enc.encode([texts[i] for i in rows])
                 ends = np.insert(ids, at[1:], end_id)
                 lengths = np.diff(at) + 1
-                own = [None if pd.isna(x) else int(x) for x in doc_ids.iloc[rows]]
-                yield pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "shard_start": [before], "doc_ids": [own], "lengths": [lengths.tolist()], "data": [encode(ends)]})
+                own = [part["doc_id"][i] for i in rows]
+                yield pd.DataFrame({"shard": [part["shard"][0]], "shard_start": [before], "doc_ids": [own], "lengths": [lengths.tolist()], "data": [encode(ends)]})
                 before += len(ends)
 
-    ordered.mapInPandas(run, f"shard int, shard_start long, doc_ids array<{kind}>, lengths array<long>, data binary").write.parquet(path)
+    map_batches(ordered, run, f"shard int, shard_start long, doc_ids array<{kind}>, lengths array<long>, data binary").write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -133,16 +133,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ends = files.groupBy("shard").agg(F.max(F.col("shard_start") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
     bases = ends.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for start, doc_ids, lengths, data in zip(part["start"], part["doc_ids"], part["lengths"], part["data"], strict=True):
                 raw = decode(data).astype("<u4").tobytes()
                 at = np.concatenate([[0], np.cumsum(lengths)])
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": list(doc_ids), "start": start + at[:-1], "n_tokens": lengths, "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype="object"), "start": start + at[:-1], "n_tokens": lengths, "ids_crc32": crc})
 
     rows = files.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "doc_ids", "lengths", "data")
-    return rows.mapInPandas(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

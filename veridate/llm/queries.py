@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, decontaminate, language, linededup, packing, simple8b
+from veridate.llm import dartminhash, decontaminate, language, linededup, packing, quality, simple8b
 from veridate.llm.common import id_remainder, read
 
 
@@ -17,6 +17,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; four fifths of the ids teach, the rest are held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(id_remainder(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, model).withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0)
+
+
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five-word windows, similarity of 0.8 or more."""
     return dartminhash.classes(read(spark, sf_dir, "documents")).drop("key")
@@ -47,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op4_dartminhash": op4_dartminhash,
     "op7_language": op7_language,
     "op8_packing": op8_packing,

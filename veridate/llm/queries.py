@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, decontaminate, language, linededup, packing, quality, simple8b
+from veridate.llm import dartminhash, decontaminate, language, linededup, packing, quality, secrets, simple8b
 from veridate.llm.common import id_remainder, read
 
 
@@ -29,6 +29,11 @@ def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(read(spark, sf_dir, "documents")).drop("key")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by pattern and by inferred format."""
+    return secrets.find(read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; two thirds of the ids teach, the rest are held out."""
     docs = read(spark, sf_dir, "documents")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op4_dartminhash": op4_dartminhash,
+    "op5_secrets": op5_secrets,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,

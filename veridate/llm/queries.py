@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, decontaminate, language, linededup, packing, quality, secrets, simple8b
+from veridate.llm import dartminhash, decontaminate, language, linededup, neighbours, packing, quality, secrets, simple8b
 from veridate.llm.common import id_remainder, read
 
 
@@ -34,6 +34,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; two thirds of the ids teach, the rest are held out."""
     docs = read(spark, sf_dir, "documents")
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_dartminhash": op4_dartminhash,
     "op5_secrets": op5_secrets,
+    "op6_neighbours": op6_neighbours,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.llm import dartminhash, decontaminate, language, linededup, neighbours, packing, quality, secrets, simple8b
+from veridate.llm import dartminhash, decontaminate, language, linededup, neighbours, packing, quality, secrets, simple8b, suffixes
 from veridate.llm.common import id_remainder, read
 
 
@@ -24,6 +24,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0)
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of fifty words or more that another document has."""
+    return suffixes.repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five-word windows, similarity of 0.8 or more."""
     return dartminhash.classes(read(spark, sf_dir, "documents")).drop("key")
@@ -65,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
     "op4_dartminhash": op4_dartminhash,
     "op5_secrets": op5_secrets,
     "op6_neighbours": op6_neighbours,

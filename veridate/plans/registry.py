@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridate.plans import orders, readings
+from veridate.plans import orders, readings, signals, streams
 
 FLAGSHIP = "verdict_per_order"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _plan in (orders, readings):
+for _plan in (orders, readings, signals, streams):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -1,12 +1,16 @@
 """Linking similar things that share a key, and connected components, as Spark jobs.
 
-Members of a key are never paired with each other all at once.  In each round one
-leader of every key is held against the key's other members; what proves similar
-is linked, components are updated, the leader leaves, and keys whose members all
-lie in one component are done.  When the pairs that are left between different
-components of a key are few for the number of members, they are checked outright.
-So every pair of one key is either checked or already known to be connected, and
-a key with very many alike members costs one pair for each of them, not their square.
+Members of a key are never all paired with each other.  A few leaders of every key
+are held against its other members first; what proves similar is linked, and a key
+whose members then lie in one component is done: very many alike members cost a
+few pairs each, not their square.  Of the other keys, those with few pairs between
+components for their members have all of these checked.  Large keys remain:
+
+* most members in one component (a group of copies with outliers): the outliers are
+  held against more leaders;
+* mostly unlike members (texts with one passage in common): where a similar pair is
+  expected to share several keys, it shares a small one, which was checked, or two
+  large ones; pairs of large keys become keys, and these go through the same steps.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from veridate.llm.common import table
 
-#: Pairs a member for which the pairs left over are checked outright.
-PAIRS_A_MEMBER = 4
+#: Pairs between components, for each member of a key, up to which all are checked.
+PAIRS_A_MEMBER = 16
+#: Leaders of a key in the first pass, and for what that leaves open in large keys.
+LEADERS, MORE_LEADERS = 4, 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,34 +47,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) of all ids with a link; members: distinct (key, id); verify: keeps those rows of (a, b) that are similar."""
-    found, turn = [], 0
-    members = table(members)
-    labels: DataFrame | None = None
-    while True:
-        leaders = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
-        led = members.join(leaders, "key").where("id <> leader")
-        if labels is not None:
-            own = labels.select(F.col("id").alias("leader"), F.col("component").alias("leader_component"))
-            led = led.join(own, "leader", "left").where("coalesce(leader_component, leader) <> component")
-        found.append(table(verify(led.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct())))
-        links = reduce(DataFrame.unionByName, found)
-        labels = table(components(links))
-        rest = members.join(leaders, "key").where("id <> leader").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        members = table(rest)
-        sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares")).where("parts > 1")
-        members = table(members.join(sizes.select("key"), "key", "left_semi"))
-        many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs")).first()
-        if not many.n:
-            return labels
-        if many.pairs <= PAIRS_A_MEMBER * many.n:
-            a = members.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-            b = members.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-            crossing = a.join(b, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
-            found.append(table(verify(crossing)))
-            return components(reduce(DataFrame.unionByName, found))
-        turn += 1
+def _led(members: DataFrame, leaders: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of each member with the leaders of its key that are in other components."""
+    drawn = [F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed + i))) for i in range(leaders)]
+    heads = members.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("heads")).select("key", F.explode("heads").alias("head"))
+    return members.where("outlier").join(heads, "key").where("component <> head.component").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of one key in different components."""
+    a = members.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
+    b = members.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
+    return a.join(b, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the keys that still hold several components, with n (members of the key), pairs (between components), and outlier (not in the key's largest component)."""
+    now = table(members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    sizes = now.groupBy("key", "component").count()
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("main")).where("parts > 1")
+    figures = keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), "main")
+    return table(now.join(figures, "key").select("key", "id", "component", "n", "pairs", (F.col("component") != F.col("main.component")).alias("outlier"), (2 * F.col("main.count") >= F.col("n")).alias("one_group")))
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: bool) -> DataFrame:
+    """(id, component) of all ids with a link; members: distinct (key, id); verify: keeps those rows of (a, b) that are similar.
+
+    refine: similar pairs share several keys (as hash bands do).
+    """
+    found: list[DataFrame] = []
+
+    def labels(*pairs: DataFrame) -> DataFrame:
+        found.append(table(verify(reduce(DataFrame.unionByName, pairs).distinct())))
+        return table(components(reduce(DataFrame.unionByName, found)))
+
+    named = labels(_led(members.withColumns({"component": F.col("id"), "outlier": F.lit(True)}), LEADERS, 0))
+    rest = _open(members, named)
+    small = F.col("pairs") <= PAIRS_A_MEMBER * F.col("n")
+    grouped = ~small & (F.col("one_group") if refine else F.lit(True))
+    mixed = rest.where(~small & ~grouped).select("key", "id", "component")
+    one, two = mixed.withColumnRenamed("key", "k"), mixed.select("id", F.col("key").alias("l"))
+    both = table(one.join(two, "id").where("k < l").select(F.xxhash64("k", "l").alias("key"), "id", "component", F.lit(True).alias("outlier")))
+    if rest.isEmpty():
+        return named
+    named = labels(_crossing(rest.where(small)), _led(rest.where(grouped), MORE_LEADERS, 100), _led(both, LEADERS, 200))
+    if both.isEmpty():
+        return named
+    rest = _open(both, named)
+    return named if rest.isEmpty() else labels(_crossing(rest.where(small)), _led(rest.where(~small), MORE_LEADERS, 300))
 
 
 def repeated(members: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v or v is pd.NaT or v is pd.NA:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

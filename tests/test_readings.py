@@ -60,7 +60,7 @@ def test_payload_dates(spark, value, country, version, iso, conflict):
 
 
 CASES = [
-    ([("DATE_OF_BIRTH", "1990-04-23"), ("ISSUE", "2024-04-23"), ("UNKNOWN", "2030-04-23"), ("UNKNOWN", "2091-04-23")], "2030-04-23", set()),
+    ([("DATE_OF_BIRTH", "1990-04-23"), ("ISSUE", "2024-04-23"), ("UNKNOWN", "2030-04-23"), ("UNKNOWN", "2091-04-23")], "2030-04-23", {"IMPLAUSIBLE_VALIDITY_PERIOD"}),
     ([("ISSUE", "2010-01-01"), ("EXPIRY", "2030-01-01")], "2030-01-01", set()),
     ([("ISSUE", "2010-01-01"), ("EXPIRY", "2030-01-02")], None, {"IMPLAUSIBLE_VALIDITY_PERIOD"}),
     ([("DATE_OF_BIRTH", "2000-06-15"), ("EXPIRY", "2015-06-15")], "2015-06-15", set()),

@@ -22,7 +22,10 @@ def sniff(content: Column) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: content hash, type, and why it is rejected (null: accepted); content stays for accepted files only."""
+    """One row a file: content hash, type, and why it is rejected (null: accepted); content stays for accepted files only.
+
+    Spark's reader leaves out files of no bytes; the code EMPTY_FILE is for uploads from other sources.
+    """
     raw = spark.read.format("binaryFile").load(path)
     reason = F.when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > MAX_BYTES, "TOO_LARGE").when(F.col("mime").isNull(), "UNSUPPORTED_TYPE")
     df = raw.select("path", "length", F.sha2("content", 256).alias("content_hash"), sniff(F.col("content")).alias("mime"), "content").withColumn("rejected", reason)

@@ -121,9 +121,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, depth: int = 300, s
     """(query_id, rank, vec_id, score) of the k nearest other rows of each row of vectors (vec_id, embedding) for which `queries` holds."""
     own = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     found = [_search(own.where(F.size("embedding") == size), queries, k, depth, sample, wave) for size in sorted(r[0] for r in own.select(F.size("embedding")).distinct().collect())]
-    if not found:
-        return own.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else _nothing(own)
+
+
+def _nothing(own: DataFrame) -> DataFrame:
+    return own.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -148,6 +150,8 @@ def _search(own: DataFrame, queries: Column, k: int, depth: int, sample: int, wa
         few = asked.where(F.col("wave") == w).orderBy("vec_id").collect()  # about half of `wave` rows, whatever the size of the table
         shared = sc.broadcast((np.array([r.vec_id for r in few]), np.array([r.embedding for r in few])))
         results.append(indexed.mapInPandas(_scanner(book, shared, k, depth), f"query_id {kind}, vec_id {kind}, score double"))
+    if not results:
+        return _nothing(own)
     merged = reduce(DataFrame.unionByName, results)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

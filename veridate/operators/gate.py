@@ -45,3 +45,35 @@ def laplacian_variance(gray: Column, width: int, height: int) -> Column:
 def likely_no_document(bands: Column, stddev: Column, ink: Column, has_quad: Column) -> Column:
     """No outline, fewer than two bands of text, and flat or nearly all or nothing inked."""
     return ~has_quad & (bands < 2) & ((stddev < 10) | (ink < 0.02) | (ink > 0.98))
+
+
+#: Zone depths, largest deviation of a uniform zone, least difference of stacked zones, least contrast of a side bar.
+DEPTH_A, DEPTH_B, UNIFORM, STACKED, CONTRAST = 0.18, 0.36, 32, 28, 20
+
+
+def zones(gray: Column, width: int, height: int, edge: str) -> tuple[Column, Column]:
+    """(mean, stddev) structs of the zone along an edge and of the next one inwards; the pixels are picked by fixed indexes."""
+    across = width if edge in ("LEFT", "RIGHT") else height
+    a, b = int(across * DEPTH_A + 0.5), int(across * DEPTH_B + 0.5)
+    depth = {"TOP": lambda r, c: r, "BOTTOM": lambda r, c: height - 1 - r, "LEFT": lambda r, c: c, "RIGHT": lambda r, c: width - 1 - c}[edge]
+
+    def stats(low: int, high: int) -> Column:
+        picked = [r * width + c for r in range(height) for c in range(width) if low <= depth(r, c) < high]
+        return luminance(F.transform(F.array(*map(F.lit, picked)), lambda i: F.get(gray, i)))
+
+    return stats(0, a), stats(a, b)
+
+
+def stacked(a: Column, b: Column) -> Column:
+    """Two uniform zones of different shades."""
+    return (a["stddev"] <= UNIFORM) & (b["stddev"] <= UNIFORM) & (F.abs(a["mean"] - b["mean"]) >= STACKED)
+
+
+def side_bar(zone: Column, mean: Column) -> Column:
+    """A uniform zone that stands out from the image."""
+    return (zone["stddev"] <= UNIFORM) & (F.abs(zone["mean"] - mean) >= CONTRAST)
+
+
+def outcome(likeness_negative: Column, screen_negative: Column, positive: Column) -> Column:
+    """Cheap signals first: a confident negative rejects, a domain signal admits in full, else limited."""
+    return F.when(likeness_negative | screen_negative, "REJECT").when(positive, "ADMIT_FULL").otherwise("ADMIT_LIMITED")

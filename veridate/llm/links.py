@@ -26,7 +26,7 @@ from veridate.llm.common import table
 #: Pairs between components, for each member of a key, up to which all are checked.
 PAIRS_A_MEMBER = 16
 #: Leaders of a key in the first pass, and for what that leaves open in large keys.
-LEADERS, MORE_LEADERS = 4, 16
+LEADERS, MORE_LEADERS = 1, 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: b
     both = table(one.join(two, "id").where("k < l").select(F.xxhash64("k", "l").alias("key"), "id", "component", F.lit(True).alias("outlier")))
     if rest.isEmpty():
         return named
-    named = labels(_crossing(rest.where(small)), _led(rest.where(grouped), MORE_LEADERS, 100), _led(both, LEADERS, 200))
+    named = labels(_crossing(rest.where(small)), _led(rest.where(grouped), MORE_LEADERS, 100), _led(both, MORE_LEADERS, 200))
     if both.isEmpty():
         return named
     rest = _open(both, named)

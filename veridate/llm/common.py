@@ -44,13 +44,23 @@ def id_remainder(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows of an Arrow batch that become Python objects at a time.
+ROWS = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """Apply fn to a task's Arrow batches as dicts of Python lists (so that ids with nulls among them stay exact); it yields pandas frames of `schema`."""
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in batches):
+        for out in fn({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in _slices(batches)):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
@@ -64,7 +74,7 @@ def filter_batches(df: DataFrame, column: str, fn: Callable[[Iterator[list]], It
         held: list[pa.RecordBatch] = []
 
         def values() -> Iterator[list]:
-            for b in batches:
+            for b in _slices(batches):
                 held.append(b)
                 yield b.column(b.schema.names.index(column)).to_pylist()
 

@@ -102,6 +102,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
 
     def second(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
         wanted = known.value
+        columns = ["id", "pos", "kgram", "right", "left"]
         for part in parts:
             rows = []
             for i, n, h, pos, hashes in _anchors(part["text"], span):
@@ -112,7 +113,10 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
                 short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 for k, p in zip(g.tolist(), pos.tolist(), strict=True):
                     rows.append((part["id"][i], p, k, short[p : p + least], short[max(0, p - reach) : p][::-1]))
-            yield pd.DataFrame(rows, columns=["id", "pos", "kgram", "right", "left"])
+                if len(rows) >= 4096:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     found = map_batches(own.select("id", "text"), second, "id long, pos int, kgram long, right array<int>, left array<int>")
     if not few:

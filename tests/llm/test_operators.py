@@ -184,3 +184,14 @@ def test_neighbours(spark):
         assert len(found) == 10 and all(abs(d[v] - s) < 1e-12 for v, s in found)
     assert set(got) == set(range(0, 300, 10)) and hits >= 0.9 * 300 and [v for v, _ in got[10]][:2] == [20, 30]
     assert not neighbours.search(df.where("false"), F.col("vec_id") % 10 == 0).collect()
+
+
+def test_lines_of_a_common_segment(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    opening = "licensed material of "
+    lines = [opening + word(42) for _ in range(1500)]
+    edited = [x[:30] + "#" + x[31:55] + "#" + x[56:] for x in lines[:60]]  # in both other segments
+    docs = spark.createDataFrame(list(enumerate([*lines, *edited])), "doc_id long, text string").repartition(4, "doc_id")
+    _, linked = linededup.line_classes(docs)
+    assert linked.count() == 120 and linked.groupBy("component").count().where("count = 2").count() == 60

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import map_batches, table
-from veridate.llm.links import link, repeated
+from veridate.llm.links import link, rarest, repeated
 from veridate.llm.words import Spans, batches, join, mix
 
 _U = np.uint64
@@ -66,6 +66,15 @@ def segment_keys(lines: list[str], threshold: int, least: int) -> tuple[np.ndarr
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def grams(lines: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of q characters of lines, and the line each belongs to."""
+    cp, starts = join(lines)
+    size = np.maximum(np.diff(starts) - q, 0)
+    own = np.repeat(np.arange(len(lines)), size)
+    a = np.arange(len(own)) - (np.cumsum(size) - size)[own] + starts[own]
+    return Spans(cp).hash(a, a + q), own
+
+
 def within(a: str, b: str, threshold: int) -> bool:
     """Whether at most `threshold` edits turn a into b.
 
@@ -219,7 +228,14 @@ def line_classes(docs: DataFrame, threshold: int = 2, least: int = 24) -> tuple[
         a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb").mapInPandas(near, "a long, b long")
 
-    return places, link(members, verify, refine=False)
+    # An edit breaks at most q runs of q characters; a line of `least` characters has more than all edits can break.
+    q = least // (threshold + 1)
+
+    def finer(ids: DataFrame) -> DataFrame:
+        own = table(texts.join(ids, "id", "left_semi").select("id", F.col("line").alias("text")))
+        return rarest(own, lambda lines: grams(lines, q), lambda size: np.full(len(size), q * threshold + 1))
+
+    return places, link(members, verify, finer)
 
 
 def dedup(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:

@@ -1,32 +1,37 @@
 """Linking similar things that share a key, and connected components, as Spark jobs.
 
-Members of a key are never all paired with each other.  A few leaders of every key
-are held against its other members first; what proves similar is linked, and a key
-whose members then lie in one component is done: very many alike members cost a
-few pairs each, not their square.  Of the other keys, those with few pairs between
-components for their members have all of these checked.  Large keys remain:
-
-* most members in one component (a group of copies with outliers): the outliers are
-  held against more leaders;
-* mostly unlike members (texts with one passage in common): where a similar pair is
-  expected to share several keys, it shares a small one, which was checked, or two
-  large ones; pairs of large keys become keys, and these go through the same steps.
+Which pairs are checked: all that share a key and are not known to be connected by
+other links.  So that very many alike members cost a few pairs each, not their
+square, a leader of every key is held against its other members first; what proves
+similar is linked, and a key whose members then lie in one component is done.  Of
+the other keys, those with few pairs between components for their members have all
+of these checked, and the members of the rest are held against more leaders.
+
+Members of keys that are large even then get finer keys: their own elements that are
+rarest among all such members, so many that two similar texts can't but share one
+(prefix filter).  Those keys go through the same steps, and in the end all pairs
+that are left are checked, in blocks, so that no key ends in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import table
+from veridate.llm.words import batches, mix
 
 #: Pairs between components, for each member of a key, up to which all are checked.
 PAIRS_A_MEMBER = 16
 #: Leaders of a key in the first pass, and for what that leaves open in large keys.
 LEADERS, MORE_LEADERS = 1, 8
+#: Members of a key that meet in one block, and buckets in which the elements of finer keys are counted.
+BLOCK, COUNTED = 256, 1 << 20
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -55,10 +60,12 @@ def _led(members: DataFrame, leaders: int, seed: int) -> DataFrame:
 
 
 def _crossing(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of one key in different components."""
-    a = members.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    b = members.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    return a.join(b, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
+    """All pairs (a, b) of members of one key (with n) in different components; a large key is dealt out in blocks, each two of which meet once."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("key", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int").alias("block"))
+    a = dealt.select("key", F.col("block").alias("p"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("q"), F.col("id").alias("x"), F.col("component").alias("of_x"))
+    b = dealt.select("key", F.explode(F.expr("sequence(0, block)")).alias("p"), F.col("block").alias("q"), F.col("id").alias("y"), F.col("component").alias("of_y"))
+    return a.join(b, ["key", "p", "q"]).where("of_x <> of_y and (p < q or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -67,15 +74,16 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = now.groupBy("key", "component").count()
     keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("main")).where("parts > 1")
     figures = keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), "main")
-    return table(now.join(figures, "key").select("key", "id", "component", "n", "pairs", (F.col("component") != F.col("main.component")).alias("outlier"), (2 * F.col("main.count") >= F.col("n")).alias("one_group")))
+    return table(now.join(figures, "key").select("key", "id", "component", "n", "pairs", (F.col("component") != F.col("main.component")).alias("outlier")))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: bool) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all ids with a link; members: distinct (key, id); verify: keeps those rows of (a, b) that are similar.
 
-    refine: similar pairs share several keys (as hash bands do).
+    finer: other keys (key, id) of given ids, of which two similar ids share one at least.
     """
     found: list[DataFrame] = []
+    small = F.col("pairs") <= PAIRS_A_MEMBER * F.col("n")
 
     def labels(*pairs: DataFrame) -> DataFrame:
         found.append(table(verify(reduce(DataFrame.unionByName, pairs).distinct())))
@@ -83,18 +91,64 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: b
 
     named = labels(_led(members.withColumns({"component": F.col("id"), "outlier": F.lit(True)}), LEADERS, 0))
     rest = _open(members, named)
-    small = F.col("pairs") <= PAIRS_A_MEMBER * F.col("n")
-    grouped = ~small & (F.col("one_group") if refine else F.lit(True))
-    mixed = rest.where(~small & ~grouped).select("key", "id", "component")
-    one, two = mixed.withColumnRenamed("key", "k"), mixed.select("id", F.col("key").alias("l"))
-    both = table(one.join(two, "id").where("k < l").select(F.xxhash64("k", "l").alias("key"), "id", "component", F.lit(True).alias("outlier")))
     if rest.isEmpty():
         return named
-    named = labels(_crossing(rest.where(small)), _led(rest.where(grouped), MORE_LEADERS, 100), _led(both, MORE_LEADERS, 200))
-    if both.isEmpty():
+    large = rest.where(~small)
+    named = labels(_crossing(rest.where(small)), _led(large, MORE_LEADERS, 100))
+    if large.isEmpty():
         return named
-    rest = _open(both, named)
-    return named if rest.isEmpty() else labels(_crossing(rest.where(small)), _led(rest.where(~small), MORE_LEADERS, 300))
+    rest = _open(large, named)
+    large = rest.where(~small)
+    if finer is None or large.isEmpty():
+        return named if rest.isEmpty() else labels(_crossing(rest))
+    split = _open(repeated(finer(large.select("id").distinct())), named)
+    named = labels(_crossing(rest.where(small)), _crossing(split.where(small)), _led(split.where(~small), MORE_LEADERS, 200))
+    rest = _open(split.where(~small), named)
+    return named if rest.isEmpty() else labels(_crossing(rest))
+
+
+def rarest(texts: DataFrame, elements: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, id) of the rarest elements of each text (id, text); elements: hashes and the text each belongs to; wanted: how many a text of so many elements needs.
+
+    Repeats of an element in a text are elements of their own.  Any order of the elements that is one for all
+    texts keeps what two texts have in common; this one is by counts of hash buckets.
+    """
+
+    def numbered(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h, own = elements(part)
+        order = np.lexsort((h, own))
+        h, own = h[order], own[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        nth = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        return mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), own
+
+    def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTED, np.int64)
+        for part in parts:
+            for _, some in batches(part["text"].tolist()):
+                h = numbered(some)[0]
+                total += np.bincount((h % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    counts = np.zeros(COUNTED, np.int64)
+    known = texts.mapInPandas(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts[known["bucket"].to_numpy(np.int64)] = known["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ids = part["id"].to_numpy(np.int64)
+            for base, some in batches(part["text"].tolist()):
+                h, own = numbered(some)
+                order = np.lexsort((h, shared.value[(h % np.uint64(COUNTED)).astype(np.int64)], own))
+                h, own = h[order], own[order]
+                size = np.bincount(own, minlength=len(some))
+                keep = np.arange(len(h)) - (np.cumsum(size) - size)[own] < wanted(size)[own]
+                yield pd.DataFrame({"key": h[keep].view(np.int64), "id": ids[base + own[keep]]})
+
+    return table(texts.mapInPandas(pick, "key long, id long"))
 
 
 def repeated(members: DataFrame) -> DataFrame:

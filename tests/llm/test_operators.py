@@ -195,3 +195,15 @@ def test_lines_of_a_common_segment(spark):
     docs = spark.createDataFrame(list(enumerate([*lines, *edited])), "doc_id long, text string").repartition(4, "doc_id")
     _, linked = linededup.line_classes(docs)
     assert linked.count() == 120 and linked.groupBy("component").count().where("count = 2").count() == 60
+
+
+def test_outliers_of_a_group_of_copies(spark):
+    base = [f"b{i}" for i in range(200)]
+    put = lambda at, name, of: [*of[:at], name, *of[at + 1 :]]
+    texts = [put(i % 150 + 10, f"m{i}", base) for i in range(300)]
+    for i in range(60):
+        other = [*base[:174], *(f"o{i}x{k}" for k in range(26))]
+        texts += [other, put(0, f"p{i}", other)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4, "doc_id")
+    found = {r.doc_id: r.class_id for r in dartminhash.classes(docs, bands=3, rows=1).collect()}
+    assert {found[i] for i in range(300)} == {0} and all(found[i] == found[i + 1] == i for i in range(300, 420, 2))

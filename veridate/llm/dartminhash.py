@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import table
-from veridate.llm.links import link, repeated
+from veridate.llm.links import link, rarest, repeated
 from veridate.llm.words import batches, mix, shingles
 
 _U = np.uint64
@@ -169,7 +169,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long")
 
-    return _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), link(members, verify))
+    def finer(ids: DataFrame) -> DataFrame:
+        some = table(texts.join(ids, "id", "left_semi").select("id", "text"))
+        return rarest(some, lambda part: shingles(part, n, distinct=not counts), lambda size: size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)
+
+    return _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), link(members, verify, finer))
 
 
 def _stand(own: DataFrame, linked: DataFrame) -> DataFrame:

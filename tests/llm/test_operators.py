@@ -207,3 +207,10 @@ def test_outliers_of_a_group_of_copies(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4, "doc_id")
     found = {r.doc_id: r.class_id for r in dartminhash.classes(docs, bands=3, rows=1).collect()}
     assert {found[i] for i in range(300)} == {0} and all(found[i] == found[i + 1] == i for i in range(300, 420, 2))
+
+
+def test_decontamination_of_few_literals(spark):
+    q = "Add 12 and 45 then 7 8 9 10 11 12 13 14 15 16 17 18 19 20"
+    items = spark.createDataFrame([(1, q)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Well. " + q), (2, " ".join(str(i) for i in range(100, 130)))], "doc_id long, text string")
+    assert [(r.doc_id, r.exact, r.matched_words) for r in decontaminate.matches(d, items).collect()] == [(1, True, 19)]

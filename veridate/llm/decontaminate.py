@@ -9,8 +9,9 @@ and different ones against different ones, which holds for copies and for questi
 with new numbers or names, and rarely by chance.
 
 A *number* starts with a digit or is a number word, a *unit* is in UNITS, a *name*
-is a capitalised word within a sentence.  Windows need `literals` words that are
-not placeholders.  An item of fewer
+is a capitalised word within a sentence.  Windows with fewer than
+`literals` words that are not placeholders meet by all their words as they are, so
+that verbatim copies are found whatever they are made of.  An item of fewer
 than `n` words is one window; items of fewer than `shortest` are left out.
 
 Nulls and edge cases: null texts and texts without words match nothing; a null
@@ -64,8 +65,8 @@ def _windows(texts: list[str], sizes: list[int], n: int, literals: int) -> Itera
     fixed = np.concatenate([[0], np.cumsum(slot == 0)])
     for size in sizes:
         h, at = w.windows(size, plain)
-        keep = fixed[at + size] - fixed[at] >= min(literals, (size + 1) // 2)
-        h, at = mix(h[keep] + _U(size)), at[keep]
+        rich = fixed[at + size] - fixed[at] >= min(literals, (size + 1) // 2)
+        h = mix(np.where(rich, h, ~w.windows(size)[0]) + _U(size))
         doc = w.doc[at]
         yield size, doc, at - w.first[doc], h, slot[at[:, None] + np.arange(size)], count[doc]
 

@@ -136,3 +136,12 @@ def test_language_coder_and_quality_solver():
     rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
     w, b = quality.descend(rows, np.ones(3), np.array([1.0, 1, -1, -1]), 10.0, 200)
     assert all((w[r].sum() + b) * y > 0.9 for r, y in zip(rows, (1, 1, -1, -1), strict=True))
+
+
+@pytest.mark.parametrize("file, style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_tokens_of_an_unbroken_run(file, style):
+    enc = tokens.encoder(public_tokenizers.path(file), style)
+    rng = random.Random(2)
+    text = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300_000))
+    want = enc.library.encode(text, add_special_tokens=False).ids
+    assert len(want) > 65_535 and enc.encode([text])[0].tolist() == want

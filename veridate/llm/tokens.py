@@ -44,7 +44,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
         self.entry = np.zeros(_SLOTS, np.int32)
-        self.size = np.zeros(1 << 16, np.uint16)
+        self.size = np.zeros(1 << 16, np.int64)
         self.at = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0

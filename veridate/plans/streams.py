@@ -18,8 +18,12 @@ def _folder(spark: SparkSession) -> str:
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily events by type, from a replay of the event stream with duplicates dropped."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema)
+    # A stream reads folders only; where the table is one file, its name picks it from the folder it is in.
+    one_file = all(f.rsplit("/", 1)[-1] == "events.parquet" for f in table.inputFiles())
+    stream = (source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one_file else source.parquet(path)).withColumn("ts", F.col("ts").cast("timestamp"))
     state = intake.replay(intake.tumbling(intake.distinct_events(stream), "event_type", "value"), _folder(spark))
     return state.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "hundredths")
 

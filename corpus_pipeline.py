@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridate.llm import dartminhash, decontaminate, language, linededup, packing
-from veridate.llm.common import read, table
+from veridate.llm.common import drop, read, table
 
 #: No SQL: compression, edit distance, hashing by darts, and tokenisation are outside it; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -30,22 +30,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class, the one with the smallest doc_id."""
     classes = dartminhash.classes(docs)
+    # Rows that go, by key; a repeated row (equal in doc_id and text) of which one copy stays has both kinds.
+    gone = table(classes.groupBy("key").agg((F.sum(F.col("kept").cast("int")) > 0).alias("once"), F.min("kept").alias("all")).where("not all").select(F.col("key").alias("__key"), "once"))
     own = docs.withColumnsRenamed(_hidden(docs)).withColumn("__key", F.xxhash64("doc_id", "text"))
-    gone = classes.where("not kept").select("doc_id", "key").distinct()
-    last = classes.where("kept").select("doc_id", "key")
-    # A repeated row (equal in doc_id and text) has kept and dropped copies; one copy stays.
-    both = gone.join(last, (gone["key"] == last["key"]) & gone["doc_id"].eqNullSafe(last["doc_id"]), "left_semi").select(F.col("key").alias("__key"))
-    only = gone.join(last, (gone["key"] == last["key"]) & gone["doc_id"].eqNullSafe(last["doc_id"]), "left_anti").select(F.col("key").alias("__key"))
-    kept = own.join(only, "__key", "left_anti")
-    once = kept.join(both, "__key", "left_semi").dropDuplicates(["__key"])
-    return _shown(kept.join(both, "__key", "left_anti").unionByName(once), docs)
+    kept = _without(own, gone)
+    repeated = gone.where("once")
+    if repeated.isEmpty():
+        return _shown(kept, docs)
+    once = own.join(repeated.select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return _shown(kept.unionByName(once.select(kept.columns)), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of the benchmark."""
-    found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("key").alias("__key")).distinct()
+    found = table(decontaminate.matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("key").alias("__key")).distinct())
     own = docs.withColumnsRenamed(_hidden(docs)).withColumn("__key", F.xxhash64("doc_id", "text"))
-    return _shown(own.join(found, "__key", "left_anti"), docs)
+    return _shown(_without(own, found), docs)
+
+
+#: Keys of rows to drop up to which they are broadcast to the documents (16 bytes each).
+FEW_KEYS = 1_000_000
+
+
+def _without(own: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of own whose __key is not in gone."""
+    keys = gone.select("__key")
+    if keys.count() <= FEW_KEYS:
+        return own.join(F.broadcast(keys), "__key", "left_anti")
+    return own.join(keys, "__key", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each result written as Parquet to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir))
+        before, docs = docs, table(stage(spark, docs, sf_dir))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -145,3 +145,12 @@ def test_tokens_of_an_unbroken_run(file, style):
     text = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300_000))
     want = enc.library.encode(text, add_special_tokens=False).ids
     assert len(want) > 65_535 and enc.encode([text])[0].tolist() == want
+
+
+@pytest.mark.parametrize("file, style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_tokens_of_runs_that_fool_a_polynomial_hash(file, style):
+    enc = tokens.encoder(public_tokenizers.path(file), style)
+    x = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    texts = [x, x.translate(str.maketrans("ab", "ba"))]
+    ids, at = enc.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]

@@ -214,3 +214,54 @@ def test_decontamination_of_few_literals(spark):
     items = spark.createDataFrame([(1, q)], "item_id long, text string")
     d = spark.createDataFrame([(1, "Well. " + q), (2, " ".join(str(i) for i in range(100, 130)))], "doc_id long, text string")
     assert [(r.doc_id, r.exact, r.matched_words) for r in decontaminate.matches(d, items).collect()] == [(1, True, 19)]
+
+
+def test_pairs_of_lines_with_a_common_third(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    opening, lines = "a common third here.", []
+    for _ in range(400):
+        x = opening + word(40)
+        lines += [x, x[:27] + "#" + x[28:48] + "#" + x[49:]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4, "doc_id")
+    assert linededup.dedup(docs).where("n_removed > 0").count() == 400
+
+
+def test_lines_that_fool_a_polynomial_hash(spark):
+    x = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup(docs).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {r.doc_id: r.class_id for r in dartminhash.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("limits", [{}, {"FEW_ROWS": 0, "FEW_BYTES": 0, "PAIRS_A_LINE": 0}])
+def test_line_dedup_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(linededup, name, value)
+    docs = {r.doc_id: r.text for r in read(spark, DATA, "documents").collect()}
+    where = defaultdict(list)
+    for i in sorted(docs):
+        for k, x in enumerate(docs[i].split("\n")):
+            if len(" ".join(x.split())) >= 24:
+                where[" ".join(x.split())].append((i, k))
+    lines = sorted(where, key=len)
+    top = {x: x for x in lines}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for n, a in enumerate(lines):
+        for b in lines[n + 1 :]:
+            if len(b) - len(a) > 2:
+                break
+            if linededup.within(a, b, 2):
+                top[find(b)] = find(a)
+    classes = defaultdict(list)
+    for x in lines:
+        classes[find(x)] += where[x]
+    gone = {p for own in classes.values() for p in sorted(own)[1:]}
+    expected = {i: "\n".join(x for k, x in enumerate(docs[i].split("\n")) if (i, k) not in gone) for i in docs}
+    assert {r.doc_id: r.text for r in queries.op10_line_dedup(spark, DATA).collect()} == expected

@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _own: str | None = None
+#: Bytes of an Arrow batch, and rows of it that become Python objects at a time.
+BATCH_BYTES, ROWS = 8 << 20, 1000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,7 +34,18 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what table() wrote for these frames, once all that reads them is written itself."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +57,17 @@ def id_remainder(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Rows of an Arrow batch that become Python objects at a time.
-ROWS = 1000
+def check_of(*columns: str) -> Column:
+    """A second hash, independent of xxhash64 of the same columns, so that both together tell values apart."""
+    return F.xxhash64(F.lit("check"), *columns)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that a task's Python memory does not depend on how long texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +78,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """Apply fn to a task's Arrow batches as dicts of Python lists (so that ids with nulls among them stay exact); it yields pandas frames of `schema`."""
+    small_batches(df.sparkSession)
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
@@ -67,8 +90,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
     return df.mapInArrow(run, struct)
 
 
+def map_frames(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas over batches of bounded bytes."""
+    small_batches(df.sparkSession)
+    return df.mapInPandas(fn, schema)
+
+
 def filter_batches(df: DataFrame, column: str, fn: Callable[[Iterator[list]], Iterator[list[bool]]]) -> DataFrame:
     """The rows of df for which fn, given one column batch by batch, says True; all columns stay as they are."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

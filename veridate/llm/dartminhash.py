@@ -6,29 +6,32 @@ weight axis, a rank, and a coordinate of the signature.  A text keeps the darts
 that land below each element's weight and below a rank limit set so that about
 k ln k + 2k darts remain however many elements there are; the earliest dart of each
 coordinate is its signature.  Two texts agree on a coordinate with the probability
-of their weighted Jaccard similarity.  Bands of coordinates are join keys, and
-candidate pairs are verified exactly on their windows.
+of their weighted Jaccard similarity.  An element weighs as often as it occurs.  Bands
+of coordinates are join keys, and candidate pairs are verified exactly on their windows.
 
 Nulls and edge cases: a null or empty text is alone in its class.  Texts of one to
 four words are one window each; texts without any word are linked only if they are
 equal.  Equal texts are one class without being paired.  Rows that repeat a doc_id
-each get a row; class_id is the smallest non-null doc_id of the class.
+each get a row; class_id is the smallest non-null doc_id of the class.  Texts are known
+by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridate.llm.common import table
+from veridate.llm.common import check_of, drop, map_frames, table
 from veridate.llm.links import link, rarest, repeated
 from veridate.llm.words import batches, mix, shingles
 
 _U = np.uint64
+#: Pairs for each text of a key that are compared before finer keys come in.
+PAIRS_A_TEXT = 16
 _LOWEST = -8  #: the first rank cell is [0, 2**_LOWEST), each further one reaches twice as far
 
 
@@ -134,29 +137,39 @@ def jaccard(left: list[str], right: list[str], n: int, counts: bool) -> np.ndarr
     return out
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32, rows: int = 5, counts: bool = False) -> DataFrame:
+def numbered(texts: list[str], n: int, counts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of each text with repeats as elements of their own, so that the plain similarity of these is the weighted one, and the text each belongs to."""
+    h, own = shingles(texts, n, distinct=not counts)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    nth = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return mix(h + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), own
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32, rows: int = 5, counts: bool = True) -> DataFrame:
     """(doc_id, class_id, class_size, kept, key) of each row of docs (doc_id, text).
 
     key: hash of doc_id and text.  kept: the row that stands for its class (smallest doc_id, one row only).  With
     32 bands of 5, a pair at similarity 0.8 shares no band three times in a million, and fewer than
-    two once in 20,000.
+    two once in 20,000.  counts: elements weigh as often as they occur, else 1.
     """
-    own = docs.select("doc_id", "text", F.when(F.length("text") > 0, F.xxhash64("text")).alias("id"))
+    own = docs.select("doc_id", "text", F.when(F.length("text") > 0, F.xxhash64("text")).alias("id"), check_of("text").alias("check"))
 
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             ids, whole = part["id"].to_numpy(), part["text"].tolist()
             for base, texts in batches(whole):
                 h, doc, weight = elements(texts, n, counts)
-                here = np.flatnonzero(np.bincount(doc, minlength=len(texts)))
+                total = np.bincount(doc, weight, len(texts))
+                here = np.flatnonzero(total)
                 if len(here):
                     keys = band_keys(signatures(h, doc, weight, len(texts), bands * rows)[here], bands)
-                    yield pd.DataFrame({"id": ids[base + here], "keys": list(keys)})
+                    yield pd.DataFrame({"id": ids[base + here], "keys": list(keys), "sketch": total[here].astype(np.int64)})
 
-    sketches = table(own.where("id is not null").select("id", "text").mapInPandas(sketch, "id long, keys array<long>"))
-    members = table(repeated(sketches.select(F.explode("keys").alias("key"), "id")))
+    sketched = table(map_frames(own.where("id is not null").select("id", "text"), sketch, "id long, keys array<long>, sketch long"))
+    members = table(repeated(sketched.select(F.explode("keys").alias("key"), "id", "sketch")))
     wanted = members.select("id").distinct()
-    texts = table(own.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    texts = table(own.join(wanted, "id", "left_semi").groupBy("id").agg(F.first(F.struct("check", "text")).alias("one")).select("id", "one.check", "one.text"))
 
     def similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -167,18 +180,37 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long")
+        return map_frames(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), similar, "a long, b long")
 
-    def finer(ids: DataFrame) -> DataFrame:
-        some = table(texts.join(ids, "id", "left_semi").select("id", "text"))
-        return rarest(some, lambda part: shingles(part, n, distinct=not counts), lambda size: size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)
+    def pick(some: list[str], counted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, of = numbered(some, n, counts)
+        order = np.lexsort((h, counted(h), of))
+        h, of = h[order], of[order]
+        size = np.bincount(of, minlength=len(some))
+        keep = np.arange(len(h)) - (np.cumsum(size) - size)[of] < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[of]
+        return h[keep], of[keep]
 
-    return _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), link(members, verify, finer))
+    def finer(ids: DataFrame) -> DataFrame:
+        some = table(texts.join(ids, "id", "left_semi").join(members.select("id", "sketch").distinct(), "id").select("id", "text", "sketch"))
+        out = rarest(some, lambda part: numbered(part, n, counts)[0], pick)
+        drop(some)
+        return out
+
+    linked = link(members, verify, finer, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9, PAIRS_A_TEXT)
+    out = _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), linked.join(texts.select("id", "check"), "id"))
+    drop(sketched, members, texts, linked)
+    return out
 
 
 def _stand(own: DataFrame, linked: DataFrame) -> DataFrame:
-    """Class figures of rows (doc_id, id, key), given the components of linked ids."""
-    placed = table(own.withColumn("row", F.monotonically_increasing_id()).join(linked, "id", "left").select("doc_id", "key", "row", F.coalesce("component", "id").alias("class")))
-    figures = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    alone = placed.where("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "key")
-    return placed.where("class is not null").join(figures, "class").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"), "key").unionByName(alone)
+    """Class figures of rows (doc_id, id, check, key), given the components of linked texts (id, check)."""
+    placed = table(own.withColumn("row", F.monotonically_increasing_id()))
+    texts = placed.where("id is not null").groupBy("id", "check").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    classed = table(texts.join(linked, ["id", "check"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id")).withColumn("tag", F.when(F.col("component").isNull(), F.col("check"))))
+    figures = classed.groupBy("class", "tag").agg(F.min("class_id").alias("class_id"), F.sum("n").alias("class_size"), F.min("first").alias("first"))
+    same = (F.col("c.class") == F.col("f.class")) & F.col("c.tag").eqNullSafe(F.col("f.tag"))
+    marks = table(classed.select("id", "check", "class", "tag").alias("c").join(figures.alias("f"), same).select("c.id", "c.check", "f.class_id", "f.class_size", "f.first.row"))
+    drop(classed)
+    marks = marks.withColumnRenamed("row", "first")
+    kept = F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+    return placed.join(marks, ["id", "check"], "left").select("doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"), "key")

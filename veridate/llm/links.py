@@ -1,16 +1,20 @@
 """Linking similar things that share a key, and connected components, as Spark jobs.
 
-Which pairs are checked: all that share a key and are not known to be connected by
-other links.  So that very many alike members cost a few pairs each, not their
-square, a leader of every key is held against its other members first; what proves
-similar is linked, and a key whose members then lie in one component is done.  Of
-the other keys, those with few pairs between components for their members have all
-of these checked, and the members of the rest are held against more leaders.
-
-Members of keys that are large even then get finer keys: their own elements that are
-rarest among all such members, so many that two similar texts can't but share one
-(prefix filter).  Those keys go through the same steps, and in the end all pairs
-that are left are checked, in blocks, so that no key ends in one task.
+Every pair that shares a key and is not connected by other links is checked.  Three
+rounds keep the work near the number of members:
+
+1.  Each id meets the leaders of its few largest keys, a row for each, which closes
+    groups of alike members without their pairs.
+2.  Of the keys that still hold several components, those with few pairs between
+    components for their members have all of these checked.  Members of the others get
+    finer keys: their own elements that are rarest among all such members, so many
+    that two similar ids can't but share one (prefix filter).  Large finer keys are
+    led as in the first round.
+3.  All pairs between components that finer keys still hold are checked, in blocks, so
+    that no key ends in one task.
+
+`alike` is a condition on small sketches of two ids that holds for all similar pairs;
+it is part of the joins, so that most unlike pairs never become rows.
 """
 
 from __future__ import annotations
@@ -20,138 +24,149 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veridate.llm.common import table
-from veridate.llm.words import batches, mix
+from veridate.llm.common import drop, map_frames, table
+from veridate.llm.words import batches
 
-#: Pairs between components, for each member of a key, up to which all are checked.
-PAIRS_A_MEMBER = 16
-#: Leaders of a key in the first pass, and for what that leaves open in large keys.
-LEADERS, MORE_LEADERS = 1, 8
-#: Members of a key that meet in one block, and buckets in which the elements of finer keys are counted.
-BLOCK, COUNTED = 256, 1 << 20
+#: Keys of an id, the largest ones, whose leaders it meets.
+LED = 2
+#: Members of a key that meet in one block.
+BLOCK = 256
+#: Buckets in which the elements of finer keys are counted.
+COUNTED = 1 << 20
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b); component: the smallest id.  Alternates large-star and small-star steps until nothing changes."""
-    edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    edges, state = _counted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = table(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new, now = _counted(small)
+        drop(edges)
+        edges = new
         if now == state:
-            break
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            out.scratch_path = edges.scratch_path
+            return out
         state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _led(members: DataFrame, leaders: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of each member with the leaders of its key that are in other components."""
-    drawn = [F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed + i))) for i in range(leaders)]
-    heads = members.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("heads")).select("key", F.explode("heads").alias("head"))
-    return members.where("outlier").join(heads, "key").where("component <> head.component").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """edges as a table, and figures that tell one set of edges from another."""
+    seen = Observation()
+    out = table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return out, seen.get
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of one key (with n) in different components; a large key is dealt out in blocks, each two of which meet once."""
+def _pairs(a: DataFrame, b: DataFrame, on: list[str], alike: Callable[[Column, Column], Column], also: Column) -> DataFrame:
+    """Distinct (a, b) of rows (id, sketch) that meet and may be similar."""
+    return a.join(b, on).where(also & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _side(members: DataFrame, name: str, *columns: str) -> DataFrame:
+    return members.select(*columns, F.col("id").alias(name), F.col("sketch").alias(f"s{name}"), F.col("component").alias(f"c{name}"))
+
+
+def _led(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of each id with the leaders of its LED largest keys that are in other components."""
+    members = members.select("key", "id", "sketch", "component")
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "sketch", "component"), F.xxhash64("id", "key")).alias("head"))
+    sized = members.join(keys.select("key", "n"), "key").groupBy("id", "sketch", "component").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "key")), asc=False), 1, LED).alias("keys"))
+    asked = _side(sized.select("id", "sketch", "component", F.explode("keys.key").alias("key")), "x", "key")
+    heads = keys.select("key", F.col("head.id").alias("y"), F.col("head.sketch").alias("sy"), F.col("head.component").alias("cy"))
+    return _pairs(asked, heads, ["key"], alike, F.col("cx") != F.col("cy"))
+
+
+def _crossing(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs of members of one key (with n) in different components; a large key is dealt out in blocks, each two of which meet once."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.select("key", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int").alias("block"))
-    a = dealt.select("key", F.col("block").alias("p"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("q"), F.col("id").alias("x"), F.col("component").alias("of_x"))
-    b = dealt.select("key", F.explode(F.expr("sequence(0, block)")).alias("p"), F.col("block").alias("q"), F.col("id").alias("y"), F.col("component").alias("of_y"))
-    return a.join(b, ["key", "p", "q"]).where("of_x <> of_y and (p < q or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    a = dealt.withColumn("q", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "p")
+    b = dealt.withColumn("p", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "q")
+    return _pairs(_side(a, "x", "key", "p", "q"), _side(b, "y", "key", "p", "q"), ["key", "p", "q"], alike, F.expr("cx <> cy and (p < q or x < y)"))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the keys that still hold several components, with n (members of the key), pairs (between components), and outlier (not in the key's largest component)."""
-    now = table(members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    """Members of the keys that still hold several components, with n (members of the key) and pairs (between components)."""
+    now = table(members.select("key", "id", "sketch").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = now.groupBy("key", "component").count()
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("main")).where("parts > 1")
-    figures = keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), "main")
-    return table(now.join(figures, "key").select("key", "id", "component", "n", "pairs", (F.col("component") != F.col("main.component")).alias("outlier")))
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares")).where("parts > 1")
+    out = table(now.join(keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "key"))
+    drop(now)
+    return out
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of all ids with a link; members: distinct (key, id); verify: keeps those rows of (a, b) that are similar.
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], pairs_a_member: int) -> DataFrame:
+    """(id, component) of all ids with a link.
 
-    finer: other keys (key, id) of given ids, of which two similar ids share one at least.
+    members: distinct (key, id, sketch).  verify: keeps those rows of (a, b) that are similar.  finer: other keys
+    (key, id, sketch) of given ids, of which two similar ids share one at least.  alike: holds for the sketches of
+    all similar pairs.  pairs_a_member: pairs between components up to which a key has all of them checked at once.
     """
     found: list[DataFrame] = []
-    small = F.col("pairs") <= PAIRS_A_MEMBER * F.col("n")
+    small = F.col("pairs") <= pairs_a_member * F.col("n")
 
     def labels(*pairs: DataFrame) -> DataFrame:
         found.append(table(verify(reduce(DataFrame.unionByName, pairs).distinct())))
-        return table(components(reduce(DataFrame.unionByName, found)))
+        return components(reduce(DataFrame.unionByName, found))
 
-    named = labels(_led(members.withColumns({"component": F.col("id"), "outlier": F.lit(True)}), LEADERS, 0))
+    named = labels(_led(members.withColumn("component", F.col("id")), alike))
     rest = _open(members, named)
     if rest.isEmpty():
+        drop(rest, *found)
         return named
     large = rest.where(~small)
-    named = labels(_crossing(rest.where(small)), _led(large, MORE_LEADERS, 100))
     if large.isEmpty():
+        named = labels(_crossing(rest, alike))
+        drop(rest, *found)
         return named
-    rest = _open(large, named)
-    large = rest.where(~small)
-    if finer is None or large.isEmpty():
-        return named if rest.isEmpty() else labels(_crossing(rest))
     split = _open(repeated(finer(large.select("id").distinct())), named)
-    named = labels(_crossing(rest.where(small)), _crossing(split.where(small)), _led(split.where(~small), MORE_LEADERS, 200))
-    rest = _open(split.where(~small), named)
-    return named if rest.isEmpty() else labels(_crossing(rest))
+    drop(named)
+    named = labels(_crossing(rest.where(small), alike), _crossing(split.where(small), alike), _led(split.where(~small), alike))
+    last = _open(split.where(~small), named)
+    if not last.isEmpty():
+        named = labels(_crossing(last, alike))
+    drop(rest, split, last, *found)
+    return named
+
+
+def repeated(members: DataFrame) -> DataFrame:
+    """Distinct members (key, id, any others) of the keys that two ids or more share; a key's copies combine before the shuffle."""
+    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    return members.join(shared.select("key"), "key", "left_semi").distinct()
 
 
-def rarest(texts: DataFrame, elements: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, id) of the rarest elements of each text (id, text); elements: hashes and the text each belongs to; wanted: how many a text of so many elements needs.
+def rarest(texts: DataFrame, elements: Callable[[list[str]], np.ndarray], pick: Callable[[list[str], Callable[[np.ndarray], np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(key, id, sketch) of elements of each text (id, text, sketch), chosen by how many elements of all texts hash to the same bucket.
 
-    Repeats of an element in a text are elements of their own.  Any order of the elements that is one for all
-    texts keeps what two texts have in common; this one is by counts of hash buckets.
+    elements: hashes of all elements of some texts.  pick: keys and the text each belongs to, given the texts and a
+    function from hashes to counts.  The counts only order the elements, for all texts alike.
     """
 
-    def numbered(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        h, own = elements(part)
-        order = np.lexsort((h, own))
-        h, own = h[order], own[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        nth = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        return mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), own
-
     def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTED, np.int64)
         for part in parts:
             for _, some in batches(part["text"].tolist()):
-                h = numbered(some)[0]
-                total += np.bincount((h % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+                total += np.bincount((elements(some) % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     counts = np.zeros(COUNTED, np.int64)
-    known = texts.mapInPandas(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    known = map_frames(texts.select("text"), tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # COUNTED rows at most
     counts[known["bucket"].to_numpy(np.int64)] = known["n"].to_numpy(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
-    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids = part["id"].to_numpy(np.int64)
             for base, some in batches(part["text"].tolist()):
-                h, own = numbered(some)
-                order = np.lexsort((h, shared.value[(h % np.uint64(COUNTED)).astype(np.int64)], own))
-                h, own = h[order], own[order]
-                size = np.bincount(own, minlength=len(some))
-                keep = np.arange(len(h)) - (np.cumsum(size) - size)[own] < wanted(size)[own]
-                yield pd.DataFrame({"key": h[keep].view(np.int64), "id": ids[base + own[keep]]})
-
-    return table(texts.mapInPandas(pick, "key long, id long"))
+                keys, own = pick(some, lambda h: shared.value[(h % np.uint64(COUNTED)).astype(np.int64)])
+                rows = part.iloc[base + own]
+                yield pd.DataFrame({"key": keys.view(np.int64), "id": rows["id"].to_numpy(np.int64), "sketch": rows["sketch"].to_numpy()})
 
-
-def repeated(members: DataFrame) -> DataFrame:
-    """Distinct members (key, id) of the keys that two ids or more share; a key's copies combine before the shuffle."""
-    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    return members.join(shared.select("key"), "key", "left_semi").distinct()
+    return table(map_frames(texts.select("id", "text", "sketch"), run, "key long, id long, sketch long"))

@@ -2,7 +2,8 @@
 
 Byte-pair merges never cross pre-token borders, so the ids of a text are the
 concatenated ids of its pre-tokens.  Each distinct pre-token goes through the
-library once per worker; a hash table then serves its repeats.  Pre-token borders
+library once per worker; a hash table then serves its repeats, where a hit must agree
+in a 64-bit hash and in the length and sum of the characters.  Pre-token borders
 come from character classes for texts whose characters all lie in a range where
 those classes are known to agree with the library's patterns; a text with any
 other character, or with an apostrophe (contractions), is encoded whole by the
@@ -19,7 +20,7 @@ from veridate.llm.words import Spans, batches, join, tables
 
 #: Characters with which the class rules below equal the library's own splitting and normalisation.
 UNSURE = re.compile("[^\t\n\r\x20-\x26\x28-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
-_SLOTS = 1 << 22
+_SLOTS = 1 << 20
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -43,25 +44,26 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
+        self.checks = np.zeros(_SLOTS, np.uint32)
         self.entry = np.zeros(_SLOTS, np.int32)
         self.size = np.zeros(1 << 16, np.int64)
         self.at = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each pair of hashes, or -1."""
         out = np.full(len(h), -1, np.int64)
         left, slot = np.arange(len(h)), (h & np.uint64(_SLOTS - 1)).astype(np.int64)
         while len(left):
             k = self.keys[slot]
-            hit = k == h[left]
+            hit = (k == h[left]) & (self.checks[slot] == check[left])
             out[left[hit]] = self.entry[slot[hit]]
             on = ~hit & (k != 0)
             left, slot = left[on], (slot[on] + 1) & (_SLOTS - 1)
         return out
 
-    def _add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
         n, total = len(h), sum(map(len, ids))
         while self.n + n > len(self.size):
             self.size, self.at = np.concatenate([self.size, self.size]), np.concatenate([self.at, self.at])
@@ -78,6 +80,7 @@ class Encoder:
             first[np.unique(slot[free], return_index=True)[1]] = True
             won = np.flatnonzero(free)[first[: free.sum()]]
             self.keys[slot[won]] = h[todo[won]]
+            self.checks[slot[won]] = check[todo[won]]
             self.entry[slot[won]] = self.n + todo[won]
             stay = np.ones(len(todo), bool)
             stay[won] = False
@@ -134,18 +137,25 @@ class Encoder:
         kind[(bits & 16) > 0] = 0
         kind[starts[1:] - 1] = 4
         begin, end = self._borders(kind, cp)
-        h = Spans(lower[cp] if self.style == "words" else cp).hash(begin, end)
+        folded = lower[cp] if self.style == "words" else cp
+        h = Spans(folded).identity(begin, end)
         h[h == 0] = 1
+        sums = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum(folded, out=sums[1:])
+        check = ((sums[end] - sums[begin]) * 31 + end - begin).astype(np.uint32)
         if self.n > _SLOTS // 2:
             self.clear()
-        found = self._find(h)
+        found = self._find(h, check)
         miss = np.flatnonzero(found < 0)
         if len(miss):
-            fresh, at = np.unique(h[miss], return_index=True)
+            miss = miss[np.lexsort((check[miss], h[miss]))]
+            new = np.ones(len(miss), bool)
+            new[1:] = (h[miss[1:]] != h[miss[:-1]]) | (check[miss[1:]] != check[miss[:-1]])
+            at = miss[new]
             joined = "\0".join(texts)
-            strings = [joined[b:e] for b, e in zip(begin[miss[at]].tolist(), end[miss[at]].tolist(), strict=True)]
-            self._add(fresh, [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
-            found[miss] = self._find(h[miss])
+            strings = [joined[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            self._add(h[at], check[at], [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
+            found[miss] = self._find(h[miss], check[miss])
         size = self.size[found].astype(np.int64)
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0

@@ -12,11 +12,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 WORD, DIGIT, UPPER, LETTER, SPACE, END, CAPITAL = 1, 2, 4, 8, 16, 32, 64
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Characters of a span up to which the polynomial hash is safe as an identity.
+PLAIN = 128
+#: Characters of the texts that are laid end to end at a time.
+BATCH = 250_000
 _tables: tuple[np.ndarray, np.ndarray] | None = None
 _powers: list[np.ndarray] = []
 
@@ -54,7 +59,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         _powers.clear()
         for b in (_BASE, _BASE_INV):
             row = np.full(size, b, np.uint64)
@@ -75,13 +80,22 @@ class Spans:
     """Hashes of arbitrary spans of an array of code points."""
 
     def __init__(self, cp: np.ndarray):
+        self.cp = cp
         up, self.down = powers(len(cp) + 1)
         self.sums = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum((cp.astype(np.uint64) + _U(0x632BE59BD9B4E019)) * up[: len(cp)], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For keys whose hits are compared: a polynomial modulo 2**64, which long periodic texts can fool."""
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
+    def identity(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For values that stand for the span itself: longer spans, which the polynomial might confuse, go through xxh3."""
+        h = self.hash(start, end)
+        for i in np.flatnonzero(end - start > PLAIN).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.cp[start[i] : end[i]].tobytes())
+        return h
+
 
 @dataclass
 class Words:
@@ -121,10 +135,10 @@ def words(texts: list[str]) -> Words:
     flags[opens] |= END
     second = kind[np.minimum(begin + 1, end - 1)]
     flags[((flags & UPPER) > 0) & ((end - begin == 1) | ((second & UPPER) == 0))] |= CAPITAL
-    return Words(Spans(lower[cp]).hash(begin, end), doc, begin - starts[doc], end - starts[doc], np.searchsorted(begin, starts), flags)
+    return Words(Spans(lower[cp]).identity(begin, end), doc, begin - starts[doc], end - starts[doc], np.searchsorted(begin, starts), flags)
 
 
-def batches(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def batches(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about `most` characters, with the index of the first; a longer text is a run of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -117,9 +117,9 @@ def test_minimisers_are_content_selected():
 def test_automaton_learns_a_format():
     rng = random.Random(6)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
-    machine = secrets.Automaton(hexes)
-    assert len([s for s in machine.states if s.count]) and machine.score("0f" * 20) >= machine.least - 0.3
-    assert machine.score("hello-world-again-and-again") == -99.0
+    machine = secrets.Automaton([secrets.symbols(x) for x in hexes])
+    assert len([s for s in machine.states if s.count]) and machine.score(secrets.symbols("0f" * 20)) >= machine.least - 0.3
+    assert machine.score(secrets.symbols("hello-world-again-and-again")) == -99.0
 
 
 def test_base_spans():

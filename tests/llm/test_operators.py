@@ -174,7 +174,7 @@ def test_neighbours(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, 2.0]), (None, [1.0] * 6), (40, [float(v) for v in x[40]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = defaultdict(list)
-    for r in sorted(neighbours.search(df, F.col("vec_id") % 10 == 0, depth=60).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(neighbours.search(df, F.col("vec_id") % 10 == 0, depth=20).collect(), key=lambda r: (r.query_id, r["rank"])):
         got[r.query_id].append((r.vec_id, r.score))
     hits = 0
     for q, found in got.items():
@@ -265,3 +265,88 @@ def test_line_dedup_brute_force(spark, monkeypatch, limits):
     gone = {p for own in classes.values() for p in sorted(own)[1:]}
     expected = {i: "\n".join(x for k, x in enumerate(docs[i].split("\n")) if (i, k) not in gone) for i in docs}
     assert {r.doc_id: r.text for r in queries.op10_line_dedup(spark, DATA).collect()} == expected
+
+
+def test_neighbours_in_cells_with_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 300)
+    monkeypatch.setattr(neighbours, "CHUNK", 20)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 16)), rng.normal(size=(1, 16)) + rng.normal(size=(700, 16)) * 1e-3])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, depth=20, cell=400).collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(found) & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert set(got) == set(range(0, 2200, 20)) and all(len(f) == 10 for f in got.values()) and hits >= 0.95 * 10 * len(got)
+
+
+def test_language_rejects_what_is_half_one_language_and_half_another(spark):
+    en, de = "the cat and the dog sat on the mat by the door ", "der hund und die katze auf der matte an der tuer "
+    model = language.Model(["en", "de"], [en.encode() * 40, de.encode() * 40])
+    docs = spark.createDataFrame([(1, "the dog sat on the mat and the cat by the door"), (2, "xyz qrs"), (3, "12")], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.rejected) for r in language.identify(docs, model).collect()}
+    assert found[1] == ("en", False) and found[2][1] and found[3] == ("und", True)
+    assert [r.doc_id for r in language.keep_identified(docs, model).collect()] == [1]
+
+
+def test_decontamination_brute_force(spark, monkeypatch):
+    """Whatever is a verbatim run of 13 words of an item is found, with the list and with the map of bits."""
+    items = {r.item_id: re.findall(r"\w+", r.text.lower()) for r in read(spark, DATA, "benchmark").collect()}
+    runs = defaultdict(set)
+    for i, w in items.items():
+        for k in range(len(w) - 12):
+            runs[tuple(w[k : k + 13])].add(i)
+    expected = set()
+    for r in read(spark, DATA, "documents").collect():
+        w = re.findall(r"\w+", r.text.lower())
+        expected |= {(r.doc_id, i) for k in range(len(w) - 12) for i in runs.get(tuple(w[k : k + 13]), ())}
+    plain = {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, DATA).collect()}
+    assert expected and expected <= plain
+    monkeypatch.setattr(decontaminate, "FILTER_LIMIT", 0)
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 22)
+    assert {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, DATA).collect()} == plain
+
+
+def test_openers_are_slots(spark):
+    q = "Anna has 7 red apples and gives 3 of them to the boy who sits by the old well."
+    d = spark.createDataFrame([(1, q.replace("Anna", "Bob").replace("7", "9").replace("3", "4"))], "doc_id long, text string")
+    found = decontaminate.matches(d, spark.createDataFrame([(1, q)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.exact, r.matched_words) for r in found] == [(1, False, 19)]
+
+
+def test_secrets_of_several_formats(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    dotted = lambda: ".".join(draw(low + up + digit, n) for n in (10, 12, 16))
+    prose = " ".join(draw("etaoinshr", int(rng.integers(2, 16))) for _ in range(400))
+    rows = [(i, f"{prose[: 40 * (i % 20)]} secret: {dotted() if i % 2 else draw(up + digit, 14)} end") for i in range(200)]
+    rows += [(300, f"see {dotted()} or {draw(up + digit, 14)}"), (301, prose), (302, "www.example.com/internationalisation-of-words")]
+    found = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[300].n_format == 2 and found[301].spans == "" and found[302].spans == ""
+
+
+def test_every_text_keeps_its_base_spans(spark):
+    for r in queries.op5_secrets(spark, DATA).join(read(spark, DATA, "documents"), "doc_id").collect():
+        base = secrets.base_spans(r.text or "")
+        assert [s for s in r.spans.split(",") if s and not s.startswith("format")] == [f"{k}:{a}:{b}" for a, b, k, _ in base]
+
+
+def test_suffixes_without_a_shared_list(spark, monkeypatch):
+    plain = {r.doc_id: r.repeated_words for r in queries.op3_suffixes(spark, DATA).collect()}
+    monkeypatch.setattr(suffixes, "FILTER_LIMIT", 0)
+    assert {r.doc_id: r.repeated_words for r in queries.op3_suffixes(spark, DATA).collect()} == plain
+
+
+def test_a_text_of_over_a_million_characters(spark):
+    text = "\n".join(f"line {i} of a very long text, number {i * i}." for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "x y z"), (3, text)], "doc_id long, text string")
+    assert len(text) > 1_000_000
+    assert {r.doc_id: r.class_id for r in dartminhash.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id for r in suffixes.repeats(docs).collect()} == {1, 3}
+    pieces = packing.pack(docs, WORD, 2).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1)

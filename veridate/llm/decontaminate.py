@@ -9,7 +9,8 @@ and different ones against different ones, which holds for copies and for questi
 with new numbers or names, and rarely by chance.
 
 A *number* starts with a digit or is a number word, a *unit* is in UNITS, a *name*
-is a capitalised word within a sentence.  Windows with fewer than
+is a capitalised word within a sentence, an *opener* one that starts a sentence, where
+names and other words look alike.  Windows with fewer than
 `literals` words that are not placeholders meet by all their words as they are, so
 that verbatim copies are found whatever they are made of.  An item of fewer
 than `n` words is one window; items of fewer than `shortest` are left out.
@@ -34,8 +35,8 @@ from veridate.llm.words import CAPITAL, DIGIT, END, Words, batches, mix, words
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years mph kph hz khz mhz ghz w kw kwh j kj v volt volts amp amps celsius fahrenheit kelvin degree degrees percent dollar dollars cent cents euro euros usd eur"
 _U = np.uint64
-#: Windows of the benchmark up to which the scan of the documents filters by them; beyond, all windows go to the join.
-FILTER_LIMIT = 250_000
+#: Windows of the benchmark up to which the scan of the documents filters by a list of them; beyond, by a map of BITS bits that their hashes set.
+FILTER_LIMIT, BITS = 250_000, 1 << 28
 
 
 def _hashes(listed: str) -> np.ndarray:
@@ -52,8 +53,8 @@ def template(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Template word and slot value (0 for a word that stays) of every word."""
     number = ((w.flags & DIGIT) > 0) | _within(w.hash, _hashes(NUMBERS))
     unit = ~number & _within(w.hash, _hashes(UNITS))
-    name = ~number & ~unit & ((w.flags & CAPITAL) > 0) & ((w.flags & END) == 0)
-    kinds = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
+    name = ~number & ~unit & ((w.flags & CAPITAL) > 0)
+    kinds = np.where(number, 1, np.where(unit, 2, np.where(name, np.where((w.flags & END) > 0, 4, 3), 0)))
     return np.where(kinds > 0, mix(kinds.astype(np.uint64)), w.hash), np.where(kinds > 0, w.hash, _U(0))
 
 
@@ -89,6 +90,17 @@ def item_windows(items: DataFrame, n: int, literals: int, shortest: int) -> Data
     return map_batches(own, run, f"hash long, item_id {kind}, item long, item_pos int, item_words int, size int, item_slots array<long>")
 
 
+def _filter(hashes: DataFrame) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The sorted hashes, or where they are too many the words of a map of BITS bits that they set; both are of bounded size."""
+    if hashes.count() <= FILTER_LIMIT:
+        return np.sort(np.array([r.hash for r in hashes.collect()], np.int64)), None
+    place = F.pmod("hash", F.lit(BITS))
+    words = hashes.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return None, bits
+
+
 def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, least: int = 13, shortest: int = 5) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, exact, key) of each contaminated document and item.
 
@@ -99,17 +111,17 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, le
     spark = docs.sparkSession
     bench = table(item_windows(items, n, literals, shortest))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
-    few = bench.select("hash").distinct().count() <= FILTER_LIMIT
-    known = spark.sparkContext.broadcast(np.sort(np.array([r.hash for r in bench.select("hash").distinct().collect()], np.int64)) if few else None)
+    known = spark.sparkContext.broadcast(_filter(bench.select("hash").distinct()))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
-        wanted = known.value
+        wanted, bits = known.value
         for part in parts:
             ids, keys, texts = part["doc_id"], np.array(part["key"], np.int64), part["text"]
             for base, some in batches(texts):
                 for _, doc, pos, h, slots, _ in _windows(some, sizes, n, literals):
-                    rows = np.flatnonzero(_within(h.view(np.int64), wanted)) if wanted is not None else np.arange(len(h))
+                    at = h & _U(BITS - 1)
+                    rows = np.flatnonzero(_within(h.view(np.int64), wanted) if bits is None else bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1))
                     if len(rows):
                         yield pd.DataFrame({"hash": h[rows].view(np.int64), "doc_id": pd.Series([ids[base + d] for d in doc[rows].tolist()], dtype="object"), "key": keys[base + doc[rows]], "doc_pos": pos[rows], "doc_slots": list(slots[rows].view(np.int64))})
 

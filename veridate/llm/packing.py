@@ -3,9 +3,9 @@
 Each task lays the ids of its documents end to end, in the order in which Spark
 reads them, and cuts the line into sequences of at most `window` ids by dynamic
 programming.  Cuts may fall at the end of a document (free), at the end of a
-sentence (`sentence_penalty` ids) or, where neither is within reach, anywhere
-(`hard_penalty` ids); a sequence costs its padding, which is none at a power of
-two.  With f(i) the least cost of cutting at point i, a full-window sequence to
+sentence (`sentence_penalty` ids) or, within a run of more than `window` ids that has
+neither, at each quarter of a window (`hard_penalty` ids); a sequence costs its
+padding, which is none at a power of two.  With f(i) the least cost of cutting at point i, a full-window sequence to
 point j costs f(i) + window - (p_j - p_i), so that the best i is the least
 f(i) + p_i within reach: a monotone queue gives it in constant time.
 
@@ -34,6 +34,10 @@ from veridate.llm.tokens import encoder
 from veridate.llm.words import batches
 
 
+#: Characters whose ids are planned together.
+PLANNED = 1_000_000
+
+
 def sentence_ends(tokenizer: str) -> np.ndarray:
     """For each id of a vocabulary with word ends whether it closes a sentence."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -101,7 +105,7 @@ class Line:
         penalty[[0, n]] = 0
         soft = np.flatnonzero(penalty >= 0)
         for a, gap in zip(soft[:-1].tolist(), np.diff(soft).tolist(), strict=True):
-            if gap > step:
+            if gap > self.window:
                 penalty[a + step : a + gap : step] = self.hard
         points = np.flatnonzero(penalty >= 0)
         return points, penalty[points]
@@ -112,12 +116,7 @@ class Line:
             return pd.DataFrame(), 0
         points, penalties = self._points()
         cuts = points[plan(points, penalties, self.window)]
-        if last:
-            rest = int(cuts[-1] - cuts[-2])
-            bits = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-            if self.window - rest > self.hard * len(bits):  # the end of the line: powers of two instead of padding
-                cuts = np.concatenate([cuts[:-1], cuts[-2] + np.cumsum(bits)])
-        else:
+        if not last:
             cuts = cuts[:-1]
         stop = int(cuts[-1])
         a = np.union1d(cuts, self.at[(self.at > 0) & (self.at < stop)])
@@ -158,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
 
         for part in parts:
             names = part["doc_id"]
-            for base, texts in batches([t or "" for t in part["text"]]):
+            for base, texts in batches([t or "" for t in part["text"]], PLANNED):
                 ids, at = enc.encode(texts)
                 line.add(names[base : base + len(texts)], np.insert(ids, at[1:], end_id), np.diff(at) + 1)
                 yield from done(False)

@@ -2,12 +2,11 @@
 
 Features are indicators of hashed n-grams: words and word pairs in lower case,
 windows of three characters with letters and digits reduced to their class, and
-steps of the share
-of words that repeat the word before.  Each indicator is scaled by the log ratio of its
-smoothed document frequencies in the two classes; a linear classifier with squared
-hinge loss is then fitted by dual coordinate descent, drawn part of the way to its
-mean weight, and a logistic curve fitted on held-back rows turns its margin into a
-score between 0 and 1.
+windows of four words reduced to which of them are the same.  Each
+indicator is scaled by the log ratio of its smoothed document frequencies in the two
+classes; a linear classifier with hinge loss is then fitted by dual coordinate descent,
+drawn part of the way to its mean weight, and a logistic curve fitted on held-back rows
+turns its margin into a score between 0 and 1.
 
 The fit takes a bounded sample of labels (the `most` rows whose ids have the
 smallest hashes, without texts of over `longest` characters); scoring takes every
@@ -33,15 +32,12 @@ from veridate.llm.common import map_batches
 from veridate.llm.words import DIGIT, LETTER, UPPER, Spans, batches, join, mix, tables, words
 
 _U = np.uint64
-#: Shares of a text's words that repeat the word before; each one passed is a feature.
-REPEATS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 
 
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed features of each text and where each text's begin (one more entry than texts)."""
     w = words(texts)
     pairs, at = w.windows(2)
-    again = at[w.hash[at] == w.hash[at + 1]]
     kinds, _ = tables()
     cp, starts = join(texts)
     kind = kinds[cp]
@@ -50,10 +46,15 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(first)]
     first = first[first + 3 < starts[owner + 1]]
     grams = Spans(shape).hash(first, first + 3)
-    share = np.bincount(w.doc[again], minlength=len(texts)) / np.maximum(np.diff(w.first), 1)
-    steps = [np.flatnonzero(share > least) for least in REPEATS]
-    h = np.concatenate([w.hash, mix(pairs + _U(1)), mix(grams + _U(2)), *(np.full(len(d), mix(np.array([i], np.uint64))[0], np.uint64) for i, d in enumerate(steps, 100))])
-    doc = np.concatenate([w.doc, w.doc[at], np.repeat(np.arange(len(texts)), np.diff(starts))[first], *steps])
+    _, four = w.windows(4)
+    turns = np.zeros(len(four), np.uint64)  # for each word of a window the place of the first one equal to it
+    for i in range(1, 4):
+        same = np.full(len(four), i)
+        for j in range(i - 1, -1, -1):
+            same[w.hash[four + i] == w.hash[four + j]] = j
+        turns = turns * _U(4) + same.astype(np.uint64)
+    h = np.concatenate([w.hash, mix(pairs + _U(1)), mix(grams + _U(2)), mix(turns + _U(1 << 32))])
+    doc = np.concatenate([w.doc, w.doc[at], np.repeat(np.arange(len(texts)), np.diff(starts))[first], w.doc[four]])
     code = np.unique(doc.astype(np.int64) << bits | (h >> _U(64 - bits)).astype(np.int64))
     return (code & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(code, np.arange(len(texts) + 1) << bits)
 
@@ -77,19 +78,19 @@ class Model:
 
 
 def descend(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, c: float, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for squared hinge loss: weights of the scaled indicators, and the bias (a constant feature).
+    """Dual coordinate descent for hinge loss, each dual variable between 0 and c: weights of the scaled indicators, and the bias (a constant feature).
 
     rows: feature numbers of each text; values: the scale of each feature; y: -1 or 1.
     """
     rng = np.random.default_rng(1)
     w, bias, alpha = np.zeros(len(values)), 0.0, np.zeros(len(rows))
     x = [values[r] for r in rows]
-    norm = np.array([v @ v + 1 for v in x]) + 1 / (2 * c)
+    norm = np.array([v @ v + 1 for v in x])
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            gradient = y[i] * (w[rows[i]] @ x[i] + bias) - 1 + alpha[i] / (2 * c)
-            step = max(alpha[i] - gradient / norm[i], 0.0) - alpha[i]
+            gradient = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+            step = min(max(alpha[i] - gradient / norm[i], 0.0), c) - alpha[i]
             if step:
                 alpha[i] += step
                 w[rows[i]] += step * y[i] * x[i]

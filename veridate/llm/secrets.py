@@ -1,13 +1,17 @@
 """Secret scanning with patterns and inferred format grammars.
 
-Fixed patterns find the base spans of every text.  A bounded sample of the distinct
-values they find, by kind, are the labelled credentials: each kind's sample becomes
-a prefix tree over character classes, whose statistically compatible states are
-merged (Hoeffding bound on stop and transition frequencies, folding subtrees as
-they meet) into a probabilistic automaton.  Every other run of credential
-characters in the corpus is then scored by its likelihood a character under each
-automaton; a run that is as likely as nearly all of a kind's sample, and far more
-likely than a run of prose, is reported as kind ``format``.
+Fixed patterns find the base spans of every text.  The shapes (character classes) of a
+bounded sample of the distinct values they find, by kind, are the labelled
+credentials: each kind's sample becomes a prefix tree, whose statistically compatible
+states are merged (Hoeffding bound on stop and transition frequencies, folding
+subtrees as they meet) into a probabilistic automaton.  Every other run of credential
+characters in the corpus, whatever its length or make-up, is then scored by its
+likelihood under each automaton; a run whose shape is as likely as nearly all of a
+kind's sample, and which is likelier by `bits` as a value of that format than as text
+by the corpus's own pairs of characters, is reported as kind ``format``.
+
+No found value is written anywhere: the first pass keeps hashes and shapes, the
+second one spans.
 
 Nulls and edge cases: a null or empty text has no spans.  Spans count code points.
 Repeated rows give repeated rows; other columns are ignored.  A corpus without base
@@ -22,20 +26,23 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridate.llm.common import map_batches, table
+from veridate.llm.common import drop, map_batches, table
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A run that may be a credential: 16 characters or more with a digit among them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+#: A run that may be a credential: as many characters as the shortest value that teaches.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}", re.ASCII)
+#: How many characters each class has.
+_CLASS = {"h": 6, "l": 20, "U": 26, "d": 10}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_DIGIT = re.compile("[0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -64,13 +71,13 @@ class State:
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings."""
+    """A probabilistic automaton inferred from shapes of values."""
 
     def __init__(self, values: list[str], alpha: float = 0.05):
         self.states: list[State] = [State()]
         for v in values:
             at = 0
-            for c in symbols(v):
+            for c in v:
                 s = self.states[at]
                 s.count += 1
                 s.uses[c] = s.uses.get(c, 0) + 1
@@ -136,68 +143,108 @@ class Automaton:
                 kept.append(b)
                 seen.add(b)
 
-    def score(self, value: str) -> float:
-        """Mean log2 likelihood of a value's symbols and its end; -99 for a step that the automaton lacks."""
+    def score(self, shape: str) -> float:
+        """Mean log2 likelihood of a shape and its end; -99 for a step that the automaton lacks."""
         at, total = 0, 0.0
-        for c in symbols(value):
+        for c in shape:
             s = self.states[at]
             if c not in s.to:
                 return -99.0
             total += math.log2(s.uses[c] / s.count)
             at = s.to[c]
         s = self.states[at]
-        return (total + math.log2(max(s.stops, 0.5) / max(s.count, 1))) / (len(value) + 1)
+        return (total + math.log2(max(s.stops, 0.5) / max(s.count, 1))) / (len(shape) + 1)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidate runs of each row: doc_id, starts, ends, kinds, values, and cand_starts, cands."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class Prose:
+    """How likely pairs of successive characters are in the corpus."""
 
-    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                spans = base_spans(text or "")
-                runs = [(m.start(), m[0]) for m in CANDIDATE.finditer(text or "") if _DIGIT.search(m[0]) and not any(s[0] < m.end() and m.start() < s[1] for s in spans)]
-                rows.append((doc, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [s[3] for s in spans], [r[0] for r in runs], [r[1] for r in runs]))
-            out = pd.DataFrame(rows, columns=["doc_id", "starts", "ends", "kinds", "values", "cand_starts", "cands"])
-            yield out.assign(doc_id=pd.Series(part["doc_id"], dtype="object"))
+    def __init__(self, counts: np.ndarray):
+        self.pairs = counts.reshape(128, 128) + 0.5
+        self.firsts = self.pairs.sum(axis=1)
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, starts array<int>, ends array<int>, kinds array<string>, values array<string>, cand_starts array<int>, cands array<string>")
+    def score(self, value: str) -> float:
+        """log2 likelihood of a value of the corpus, without what it adds itself to the counts."""
+        codes = np.frombuffer((" " + value).encode("ascii"), np.uint8)
+        own, first = np.zeros((128, 128)), np.bincount(codes[:-1], minlength=128)
+        np.add.at(own, (codes[:-1], codes[1:]), 1)
+        seen = np.maximum(self.pairs[codes[:-1], codes[1:]] - own[codes[:-1], codes[1:]], 0.5)
+        return float(np.log2(seen / np.maximum(self.firsts - first, 64)[codes[:-1]]).sum())
 
 
-def infer(scanned: DataFrame, per_kind: int = 300, longest: int = 200) -> dict[str, Automaton]:
-    """Automata by kind from a bounded sample: the `per_kind` distinct values of up to `longest` characters with the smallest hashes."""
-    pairs = scanned.select(F.explode(F.arrays_zip("kinds", "values")).alias("x")).select(F.col("x.kinds").alias("kind"), F.col("x.values").alias("value")).where(F.length("value") <= longest).distinct()
-    out = {}
-    for kind in KINDS[:3]:
-        values = [r.value for r in pairs.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()]
-        if len(values) >= 20:
-            out[kind] = Automaton(values)
-    return out
+def _pairs(text: str, spans: list[tuple[int, int, str, str]]) -> np.ndarray:
+    """Codes of successive characters, of which those beyond ASCII and in spans count as blanks."""
+    codes = np.frombuffer(text.encode("ascii", "replace").replace(b"?", b" "), np.uint8).astype(np.int32)
+    for a, b, _, _ in spans:
+        codes[a:b] = ord(" ")
+    return codes[:-1] * 128 + codes[1:]
+
 
+def learn(docs: DataFrame, per_kind: int = 300, longest: int = 200) -> tuple[dict[str, Automaton], Prose]:
+    """Automata by kind from a bounded sample (the shapes of the `per_kind` distinct values of up to `longest` characters with the smallest hashes), and the pairs of characters of all texts outside base spans."""
 
-def find(docs: DataFrame, per_kind: int = 300, prose: float = -3.0) -> DataFrame:
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << 14, np.int64)
+        for part in parts:
+            found = {}
+            for text in part["text"]:
+                spans = base_spans(text)
+                for _, _, kind, value in spans:
+                    if len(value) <= longest:
+                        found[kind, xxhash.xxh3_64_intdigest(value) >> 1] = symbols(value)
+                counts += np.bincount(_pairs(text, spans), minlength=1 << 14)
+            yield pd.DataFrame([(k, h, s, 1) for (k, h), s in found.items()], columns=["kind", "h", "shape", "n"])
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"kind": "pair", "h": at, "shape": None, "n": counts[at]})
+
+    seen = table(map_batches(docs.where("length(text) > 0").select("text"), run, "kind string, h long, shape string, n long"))
+    counts = np.zeros(1 << 14, np.int64)
+    for r in seen.where("kind = 'pair'").groupBy("h").agg(F.sum("n").alias("n")).collect():  # 16,384 rows at most
+        counts[r.h] = r.n
+    automata = {}
+    for kind in KINDS[:3]:
+        shapes = [r.shape for r in seen.where(F.col("kind") == kind).groupBy("h").agg(F.first("shape").alias("shape")).orderBy("h").limit(per_kind).collect()]
+        if len(shapes) >= 20:
+            automata[kind] = Automaton(shapes)
+    drop(seen)
+    return automata, Prose(counts)
+
+
+def likely(value: str, automata: list[Automaton], prose: Prose, bits: float) -> bool:
+    """Whether some automaton finds a run as likely as nearly all its sample, and likelier than text by `bits`."""
+    shape = symbols(value)
+    drawn = sum(math.log2(_CLASS.get(c, 1)) for c in shape)
+    text = None
+    for x in automata:
+        if len(value) >= x.shortest and (score := x.score(shape)) >= x.least:
+            text = prose.score(value) if text is None else text
+            if score * (len(shape) + 1) - drawn >= text + bits:
+                return True
+    return False
+
+
+def find(docs: DataFrame, per_kind: int = 300, bits: float = 16.0) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans) of each row of docs (doc_id, text).
 
-    A run is kind format if some automaton gives it at least the score of all but
-    the lowest twentieth of its sample, and at least `prose` bits a character.
+    A run is kind format if some automaton gives its shape at least the score of all but the lowest twentieth of
+    its sample, and the run is `bits` (of log2 likelihood) likelier as a random value of that shape than as text.
     """
-    scanned = table(scan(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(infer(scanned, per_kind))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, per_kind))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
-        automata = list(shared.value.values())
+        automata, prose = list(shared.value[0].values()), shared.value[1]
         for part in parts:
             rows = []
-            for starts, ends, kinds, runs_at, runs in zip(part["starts"], part["ends"], part["kinds"], part["cand_starts"], part["cands"], strict=True):
-                base = [f"{k}:{a}:{b}" for k, a, b in zip(kinds, starts, ends, strict=True)]
-                more = [(a, a + len(v), "format") for a, v in zip(runs_at, runs, strict=True) if any(len(v) >= x.shortest and x.score(v) >= max(x.least, prose) for x in automata)]
-                spans = sorted([*zip(starts, ends, kinds, strict=True), *more], key=lambda s: (s[0], KINDS.index(s[2])))
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))
+            for text in part["text"]:
+                spans = [s[:3] for s in base_spans(text or "")]
+                kinds = [k for _, _, k in spans]
+                base = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+                runs = [m for m in CANDIDATE.finditer(text or "") if automata and not any(s[0] < m.end() and m.start() < s[1] for s in spans) and likely(m[0], automata, prose, bits)]
+                every = sorted([*spans, *((m.start(), m.end(), "format") for m in runs)], key=lambda s: (s[0], KINDS.index(s[2])))
+                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(runs), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in every)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
             out.insert(0, "doc_id", pd.Series(part["doc_id"], dtype="object"))
             yield out
 
-    return map_batches(scanned, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")

@@ -4,9 +4,10 @@ Of each text only the suffixes at minimiser positions are kept: words at which a
 window of `SPAN` successive word k-grams has its smallest hash.  Any passage of
 `least` words holds such a position, chosen by its content alone, so that its copies
 choose the same one.  Suffixes whose first k words occur in several texts are
-grouped by their surroundings and sorted; the longest match to the right of each is
-with a neighbour in that order, and the longest match to the left with a neighbour
-in the order of what stands before.  Where both together reach `least` words, the
+grouped by their surroundings and sorted over the cluster; the longest match to the
+right of each is with a neighbour in that order, and the longest match to the left
+with a neighbour in the order of what stands before (a range of the order ends at a
+row that is taken to match in full).  Where both together reach `least` words, the
 windows of `least` words in between are checked exactly for a second text.
 
 A word is repeated if it lies in a window of `least` words that occurs in two
@@ -21,17 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridate.llm.common import map_batches, table
+from veridate.llm.common import check_of, drop, map_batches, map_frames, table
 from veridate.llm.words import batches, words
 
 K = 10
 #: Repeated k-grams up to which the second scan filters by a shared sorted list; beyond, a join does.
 FILTER_LIMIT = 2_000_000
-#: Words after the k-gram, and before it, that suffixes must share to be sorted together; shorter matches are taken as that long.
-SHARED = 5
 
 
 def _slide(h: np.ndarray, width: int, pick) -> np.ndarray:
@@ -68,17 +67,41 @@ def _anchors(texts: list[str], span: int) -> Iterator[tuple[int, int, np.ndarray
                 yield base + i, int(w.first[i + 1] - w.first[i]), own[pos], pos, w.hash[w.first[i] : w.first[i + 1]]
 
 
-def _lcp(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two arrays (0 if one is null)."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
-    return F.coalesce(F.when(differ == 0, F.least(F.size(a), F.size(b))).otherwise(differ - 1), F.lit(0)).cast("int")
+def _longest(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the longest common prefix of `column` with any other row of the k-gram, from the neighbours in the order of (kgram, column); the first and last row of a task get the whole length."""
+    ordered = rows.repartitionByRange("kgram", column, "ctx").sortWithinPartitions("kgram", column, "ctx")
 
-
-def _longest(rows: DataFrame, column: str, skip: int, name: str) -> DataFrame:
-    """Adds an upper bound of the longest common prefix of `column` with any other row of the k-gram, by comparing sorted neighbours."""
-    order = Window.partitionBy("kgram", F.xxhash64(F.slice(column, skip + 1, SHARED))).orderBy(column, "ctx")
-    with_both = rows.withColumns({"before": F.lag(column).over(order), "after": F.lead(column).over(order)})
-    return with_both.withColumn(name, F.greatest(F.lit(skip + SHARED - 1), _lcp(F.col(column), F.col("before")), _lcp(F.col(column), F.col("after")))).drop("before", "after")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        before: np.ndarray | None = None  # matches of the held rows' first one with the row before
+        for part in parts:
+            for at in range(0, len(part), 4096):
+                few = part.iloc[at : at + 4096]
+                if held is not None:
+                    few = pd.concat([held, few], ignore_index=True)
+                done, before = _judged(few, column, name, before)
+                yield done
+                held = few.iloc[-1:]
+        if held is not None:
+            yield held.assign(**{name: held[column].map(len).to_numpy(np.int32)})
+
+    return map_frames(ordered, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {name} int")
+
+
+def _judged(rows: pd.DataFrame, column: str, name: str, before: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
+    """All rows but the last with their longest match, given the first one's match with the row before (None: taken as whole), and the last one's match with the row before it."""
+    size = rows[column].map(len).to_numpy(np.int64)
+    flat = np.full((len(rows), int(size.max(initial=0)) + 1), -1, np.int64)
+    inside = np.arange(flat.shape[1]) < size[:, None]
+    if inside.any():
+        flat[inside] = np.concatenate(rows[column].tolist())
+    kgram = rows["kgram"].to_numpy(np.int64)
+    differ = flat[1:] != flat[:-1]
+    differ[:, -1] = True
+    match = np.minimum(np.argmax(differ, axis=1), np.minimum(size[1:], size[:-1])) * (kgram[1:] == kgram[:-1])
+    first = size[:1] if before is None else before
+    up = np.concatenate([first, match])[: len(rows) - 1]
+    return rows.iloc[:-1].assign(**{name: np.maximum(up, match).astype(np.int32)}), match[-1:] if len(match) else first
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -126,13 +149,13 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     grouped = found.groupBy("ctx").agg(F.first("kgram").alias("kgram"), F.first("right").alias("right"), F.first("left").alias("left"), F.min("id").alias("low"), F.max("id").alias("high"))
     grouped = table(grouped)
     sure = grouped.where("low <> high").select("ctx", F.lit(reach).alias("j"), F.lit(least + reach).alias("width"))
-    open_ = _longest(_longest(grouped, "right", K, "to_right"), "left", 0, "to_left").where(f"to_left + to_right >= {least} and not (low <> high and size(left) + size(right) < {least})")
+    open_ = _longest(_longest(grouped, "right", "to_right"), "left", "to_left").where(f"to_left + to_right >= {least} and not (low <> high and size(left) + size(right) < {least})")
     starts = F.sequence(F.greatest(F.lit(0), least - F.least("to_right", F.size("right"))), F.least(F.lit(reach), "to_left", F.size("left")))
     enough = F.greatest(F.lit(0), least - F.least("to_right", F.size("right"))) <= F.least(F.lit(reach), "to_left", F.size("left"))
-    windows = open_.where(enough).select("ctx", "low", "high", F.explode(starts).alias("j"), "left", "right").select("ctx", "low", "high", "j", F.xxhash64(F.concat(F.reverse(F.slice("left", F.lit(1), F.col("j"))), F.slice("right", F.lit(1), F.lit(least) - F.col("j")))).alias("window"))
+    windows = open_.where(enough).select("ctx", "low", "high", F.explode(starts).alias("j"), "left", "right").withColumn("words", F.concat(F.reverse(F.slice("left", F.lit(1), F.col("j"))), F.slice("right", F.lit(1), F.lit(least) - F.col("j")))).select("ctx", "low", "high", "j", F.xxhash64("words").alias("window"), check_of("words").alias("check"))
     windows = table(windows)
-    twice = windows.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("window")
-    proven = windows.where("low = high").join(twice, "window", "left_semi").select("ctx", "j", F.lit(least).alias("width"))
+    twice = table(windows.groupBy("window", "check").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("window", "check"))
+    proven = windows.where("low = high").join(twice, ["window", "check"], "left_semi").select("ctx", "j", F.lit(least).alias("width"))
     places = found.select("ctx", "id", "pos", F.size("left").alias("before"), F.size("right").alias("after"))
     spans = places.join(sure.unionByName(proven), "ctx").select("id", F.greatest(F.lit(0), F.col("pos") - F.least("j", "before")).alias("a"), F.least(F.col("pos") - F.col("j") + F.col("width"), F.col("pos") + F.col("after")).alias("b")).where(f"b - a >= {least}")
     copies = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(anchors.select("id", "n_words").distinct(), "id").select("id", F.lit(0).alias("a"), F.col("n_words").alias("b"))
@@ -142,4 +165,6 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b)))),
             concat(acc, array(named_struct('a', x.a, 'b', x.b)))))""").alias("spans"))
     merged = merged.join(anchors.select("id", "n_words").distinct(), "id").withColumn("repeated_words", F.aggregate("spans", F.lit(0), lambda s, x: s + x["b"] - x["a"]))
-    return own.drop("text").join(merged, "id").select("doc_id", "repeated_words", "n_words", "spans")
+    done = table(merged.select("id", "repeated_words", "n_words", "spans"))
+    drop(anchors, shared, found, grouped, windows, twice)
+    return own.drop("text").join(done, "id").select("doc_id", "repeated_words", "n_words", "spans")

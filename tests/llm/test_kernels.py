@@ -154,3 +154,27 @@ def test_tokens_of_runs_that_fool_a_polynomial_hash(file, style):
     texts = [x, x.translate(str.maketrans("ab", "ba"))]
     ids, at = enc.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_what_sets_share_in_blocks(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(dartminhash, "COLUMNS", 7)
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(25)]
+    both = dartminhash.shared(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(25) for j in range(25) if i != j)
+    part = pd.DataFrame({"id": np.arange(25), "component": np.arange(25) // 2, "value": sets})
+    links = dartminhash.joining(part, 0.4)
+    alike = {(i, j) for i in range(25) for j in range(i + 1, 25) if i // 2 != j // 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j])) > 0}
+    assert set(zip(links["a"], links["b"], strict=True)) <= alike
+
+    def parts(edges):
+        top = {i: i // 2 * 2 for i in range(25)}
+        while any(top[i] != top[j] for i, j in edges):
+            for i, j in edges:
+                low = min(top[i], top[j])
+                top = {k: low if v in (top[i], top[j]) else v for k, v in top.items()}
+        return top
+
+    assert parts(alike) == parts(list(zip(links["a"].tolist(), links["b"].tolist(), strict=True)))

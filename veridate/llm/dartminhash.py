@@ -7,7 +7,9 @@ that land below each element's weight and below a rank limit set so that about
 k ln k + 2k darts remain however many elements there are; the earliest dart of each
 coordinate is its signature.  Two texts agree on a coordinate with the probability
 of their weighted Jaccard similarity.  An element weighs as often as it occurs.  Bands
-of coordinates are join keys, and candidate pairs are verified exactly on their windows.
+of coordinates are join keys, and candidate pairs are verified exactly on their windows:
+first those with the leaders of keys, then all others in blocks, where one matrix
+product gives what each two texts share.
 
 Nulls and edge cases: a null or empty text is alone in its class.  Texts of one to
 four words are one window each; texts without any word are linked only if they are
@@ -25,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridate.llm.common import check_of, drop, map_frames, table
-from veridate.llm.links import link, rarest, repeated
+from veridate.llm.common import check_of, drop, map_frames, small_batches, table
+from veridate.llm.links import in_blocks, link, rarest, repeated
 from veridate.llm.words import batches, mix, shingles
 
 _U = np.uint64
-#: Pairs for each text of a key that are compared before finer keys come in.
-PAIRS_A_TEXT = 16
+#: Pairs for each text of a key that are compared before finer keys come in; texts, and elements of texts, of one block; elements of one matrix product; characters sketched at a time.
+PAIRS_A_TEXT, BLOCK, BLOCK_ELEMENTS, COLUMNS, SKETCHED = 512, 512, 500_000.0, 2048, 1_000_000
 _LOWEST = -8  #: the first rank cell is [0, 2**_LOWEST), each further one reaches twice as far
 
 
@@ -146,6 +148,48 @@ def numbered(texts: list[str], n: int, counts: bool) -> tuple[np.ndarray, np.nda
     return mix(h + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), own
 
 
+def shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets of hashes share."""
+    size = np.array([len(v) for v in values])
+    doc = np.repeat(np.arange(len(values)), size)
+    _, column, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    keep = times[column] > 1  # an element of one set alone is shared with none
+    _, column = np.unique(column[keep], return_inverse=True)
+    doc, order = doc[keep], np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((len(values), len(values)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        some = np.zeros((len(values), COLUMNS), np.float32)
+        some[doc[a:b], column[a:b] - low] = 1
+        out += some @ some.T
+    return out
+
+
+def joining(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (a, b) between similar rows (id, component, value) that join components: a forest, whatever the number of similar pairs."""
+    part = part.drop_duplicates("id")
+    ids, both = part["id"].to_numpy(), shared(part["value"].tolist()).astype(np.float64)
+    size = np.array([len(v) for v in part["value"]], np.float64)
+    total = size[:, None] + size[None, :] - both
+    names = part["component"].to_numpy()
+    x, y = np.nonzero(np.triu((both >= threshold * total - 1e-9) & (names[:, None] != names[None, :]), 1))
+    top: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := top.get(i, i)) != i:
+            top[i] = i = top.get(up, up)
+        return i
+
+    links = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(int(names[i])), find(int(names[j]))
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32, rows: int = 5, counts: bool = True) -> DataFrame:
     """(doc_id, class_id, class_size, kept, key) of each row of docs (doc_id, text).
 
@@ -158,7 +202,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             ids, whole = part["id"].to_numpy(), part["text"].tolist()
-            for base, texts in batches(whole):
+            for base, texts in batches(whole, SKETCHED):
                 h, doc, weight = elements(texts, n, counts)
                 total = np.bincount(doc, weight, len(texts))
                 here = np.flatnonzero(total)
@@ -196,7 +240,19 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
         drop(some)
         return out
 
-    linked = link(members, verify, finer, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9, PAIRS_A_TEXT)
+    def values(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for base, some in batches(part["text"].tolist()):
+                h, of = numbered(some, n, counts)
+                edge = np.searchsorted(of, np.arange(len(some) + 1))
+                yield pd.DataFrame({"id": part["id"].to_numpy(np.int64)[base : base + len(some)], "value": [h[a:b].view(np.int64) for a, b in zip(edge[:-1], edge[1:], strict=True)]})
+
+    def across(some: DataFrame) -> DataFrame:
+        small_batches(docs.sparkSession)
+        own = texts.join(some.select("id").distinct(), "id", "left_semi").select("id", "text")
+        return in_blocks(some, map_frames(own, values, "id long, value array<long>"), lambda part: joining(part, threshold), BLOCK, BLOCK_ELEMENTS)
+
+    linked = link(members, verify, finer, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9, across, PAIRS_A_TEXT)
     out = _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), linked.join(texts.select("id", "check"), "id"))
     drop(sketched, members, texts, linked)
     return out

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import drop, map_batches, map_frames, small_batches, table
-from veridate.llm.links import link, rarest, repeated
+from veridate.llm.links import link, rarest, repeated, sketched
 from veridate.llm.words import Spans, batches, join, mix
 
 _U = np.uint64
@@ -293,7 +293,8 @@ def line_classes(docs: DataFrame, threshold: int = 2, least: int = 24) -> tuple[
         drop(some)
         return out
 
-    linked = link(members, verify, finer, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4 * threshold, PAIRS_A_LINE)
+    alike = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4 * threshold
+    linked = link(members, verify, finer, alike, lambda some: verify(sketched(some, alike)), PAIRS_A_LINE)
     out = table(linked.join(texts.select("id", "check"), "id"))
     drop(shared, texts, members, linked)
     return places, out

@@ -13,8 +13,10 @@ rounds keep the work near the number of members:
 3.  All pairs between components that finer keys still hold are checked, in blocks, so
     that no key ends in one task.
 
-`alike` is a condition on small sketches of two ids that holds for all similar pairs;
-it is part of the joins, so that most unlike pairs never become rows.
+`across` checks all pairs of keys: `sketched` as a join with a condition on small
+sketches of two ids that holds for all similar pairs, so that most unlike pairs never
+become rows; `in_blocks` within Arrow groups, of which only links that join
+components come out.
 """
 
 from __future__ import annotations
@@ -83,8 +85,8 @@ def _led(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataF
     return _pairs(asked, heads, ["key"], alike, F.col("cx") != F.col("cy"))
 
 
-def _crossing(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
-    """All pairs of members of one key (with n) in different components; a large key is dealt out in blocks, each two of which meet once."""
+def sketched(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs of members of one key (with n) that are in different components and may be similar; a large key is dealt out in blocks, each two of which meet once."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     a = dealt.withColumn("q", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "p")
@@ -93,45 +95,57 @@ def _crossing(members: DataFrame, alike: Callable[[Column, Column], Column]) ->
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the keys that still hold several components, with n (members of the key) and pairs (between components)."""
+    """Members of the keys that still hold several components, with n (members of the key), weight (of their sketches) and pairs (between components)."""
     now = table(members.select("key", "id", "sketch").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    sizes = now.groupBy("key", "component").count()
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares")).where("parts > 1")
-    out = table(now.join(keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "key"))
+    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("sketch").cast("double")).alias("weight"))
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("count") * F.col("count")).alias("squares")).where("parts > 1")
+    out = table(now.join(keys.select("key", "n", "weight", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "key"))
     drop(now)
     return out
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], pairs_a_member: int) -> DataFrame:
+def in_blocks(members: DataFrame, values: DataFrame, check: Callable[[pd.DataFrame], pd.DataFrame], most: int, heaviest: float) -> DataFrame:
+    """Links (a, b) that `check` finds between the members (with n and weight of their key) of one key, given the rows of two blocks with values (id, value) and component.
+
+    Blocks hold about `most` members or `heaviest` weight; each two blocks of a key meet once.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("weight") / heaviest)).cast("int")
+    dealt = members.select("key", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "id", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    return dealt.join(values, "id").groupBy("key", "p", "q").applyInPandas(check, "a long, b long").distinct()
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], across: Callable[[DataFrame], DataFrame], pairs_a_member: int) -> DataFrame:
     """(id, component) of all ids with a link.
 
     members: distinct (key, id, sketch).  verify: keeps those rows of (a, b) that are similar.  finer: other keys
     (key, id, sketch) of given ids, of which two similar ids share one at least.  alike: holds for the sketches of
-    all similar pairs.  pairs_a_member: pairs between components up to which a key has all of them checked at once.
+    all similar pairs.  across: links that join the components of members of one key.  pairs_a_member: pairs between
+    components up to which a key has all of them checked at once.
     """
     found: list[DataFrame] = []
     small = F.col("pairs") <= pairs_a_member * F.col("n")
 
-    def labels(*pairs: DataFrame) -> DataFrame:
-        found.append(table(verify(reduce(DataFrame.unionByName, pairs).distinct())))
+    def labels(*links: DataFrame) -> DataFrame:
+        found.extend(table(x) for x in links)
         return components(reduce(DataFrame.unionByName, found))
 
-    named = labels(_led(members.withColumn("component", F.col("id")), alike))
+    named = labels(verify(_led(members.withColumn("component", F.col("id")), alike)))
     rest = _open(members, named)
     if rest.isEmpty():
         drop(rest, *found)
         return named
     large = rest.where(~small)
     if large.isEmpty():
-        named = labels(_crossing(rest, alike))
+        named = labels(across(rest))
         drop(rest, *found)
         return named
     split = _open(repeated(finer(large.select("id").distinct())), named)
     drop(named)
-    named = labels(_crossing(rest.where(small), alike), _crossing(split.where(small), alike), _led(split.where(~small), alike))
+    named = labels(across(rest.where(small)), across(split.where(small)), verify(_led(split.where(~small), alike)))
     last = _open(split.where(~small), named)
     if not last.isEmpty():
-        named = labels(_crossing(last, alike))
+        named = labels(across(last))
     drop(rest, split, last, *found)
     return named
 

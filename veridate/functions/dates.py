@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 #: Month names by number, in five languages.
 MONTHS = {
-    1: "JAN JANUARY ENERO JANVIER JANUAR GENNAIO", 2: "FEB FEBRUARY FEBRERO FEVRIER FEBRUAR FEBBRAIO", 3: "MAR MARCH MARZO MARS MARZ", 4: "APR APRIL ABRIL AVRIL APRILE",
-    5: "MAY MAYO MAI MAGGIO", 6: "JUN JUNE JUNIO JUIN JUNI GIUGNO", 7: "JUL JULY JULIO JUILLET JULI LUGLIO", 8: "AUG AUGUST AGOSTO AOUT",
-    9: "SEP SEPT SEPTEMBER SEPTIEMBRE SEPTEMBRE SETTEMBRE", 10: "OCT OCTOBER OCTUBRE OCTOBRE OKTOBER OTTOBRE", 11: "NOV NOVEMBER NOVIEMBRE NOVEMBRE", 12: "DEC DECEMBER DICIEMBRE DECEMBRE DEZEMBER DICEMBRE",
+    1: "JAN JANUARY ENE ENERO JANVIER JANUAR GEN", 2: "FEB FEBRUARY FEBRERO FEVRIER FÉVRIER FEBRUAR", 3: "MAR MARCH MARZO MARS MARZ MÄRZ", 4: "APR APRIL ABR ABRIL AVR AVRIL",
+    5: "MAY MAI MAYO MAGGIO", 6: "JUN JUNE JUNIO JUIN JUNI GIUGNO", 7: "JUL JULY JULIO JUIL JUILLET JULI LUGLIO", 8: "AUG AUGUST AGO AGOSTO AOU AOUT AOÛT",
+    9: "SEP SEPT SEPTEMBER SEPTIEMBRE SEPTEMBRE", 10: "OCT OCTOBER OCTUBRE OCTOBRE OKT OKTOBER", 11: "NOV NOVEMBER NOVIEMBRE NOVEMBRE", 12: "DEC DECEMBER DIC DICIEMBRE DECEMBRE DEZ DEZEMBER",
 }
 SEP = r"[/\-.\s]"
 RANGE = r"(?i)\s*(?:–|—|-{1,2}|\bTO\b|\bTHRU\b|\bTHROUGH\b)\s*"

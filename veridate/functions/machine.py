@@ -13,13 +13,13 @@ TD3 = (("document_number", 1, 9, 10), ("birth_date", 14, 6, 20), ("expiry_date",
 
 def character_value(c: Column) -> Column:
     """0 for the filler, digits as they are, A to Z as 10 to 35, null otherwise."""
-    return F.when(c == "<", 0).when(c.rlike("^[0-9]$"), F.ascii(c) - 48).when(c.rlike("^[A-Z]$"), F.ascii(c) - 55)
+    return dates.let(F.ascii(c), lambda a: F.when(a == 60, 0).when(a.between(48, 57), a - 48).when(a.between(65, 90), a - 55))
 
 
 def check_digit(text: Column) -> Column:
     """Weights 7, 3, 1 in turn, modulo 10; null if a character has no value."""
-    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(at, lambda i: character_value(F.substring(text, i, F.lit(1))) * F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), (i % 3 + 1).cast("int")))
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    parts = F.transform(characters, lambda c, i: character_value(c) * F.when(i % 3 == 0, 7).when(i % 3 == 1, 3).otherwise(1))
     return F.aggregate(parts, F.lit(0), lambda a, x: a + x, lambda a: (a % 10).cast("string"))
 
 
@@ -58,3 +58,98 @@ def aamva_resolved(value: Column, country: Column, version: Column) -> Column:
     own, other = F.when(declared == "CAN", can).when(declared == "USA", usa), F.when(declared == "CAN", usa).when(declared == "USA", can)
     iso = F.when(declared.isin("CAN", "USA"), own).when(usa.isNull(), can).when(can.isNull(), usa)
     return F.struct(iso.alias("iso"), (F.coalesce(declared.isin("CAN", "USA"), F.lit(False)) & own.isNull() & other.isNotNull()).alias("conflict"))
+
+
+#: Fixed values (ICAO 9303): format, characters of a line, lines.
+LAYOUTS = [("TD1", 30, 3), ("TD2", 36, 2), ("TD3", 44, 2)]
+#: Fixed values (ICAO 9303): for each format the check digits as (field, line, place, covered parts as (line, first, length)), lines and places from 1.
+CHECKS = {
+    "TD1": [("documentNumber", 1, 15, [(1, 6, 9)]), ("birthDate", 2, 7, [(2, 1, 6)]), ("expirationDate", 2, 15, [(2, 9, 6)]), ("composite", 2, 30, [(1, 6, 25), (2, 1, 7), (2, 9, 7), (2, 19, 11)])],
+    "TD2": [("documentNumber", 2, 10, [(2, 1, 9)]), ("birthDate", 2, 20, [(2, 14, 6)]), ("expirationDate", 2, 28, [(2, 22, 6)]), ("composite", 2, 36, [(2, 1, 10), (2, 14, 7), (2, 22, 14)])],
+    "TD3": [("documentNumber", 2, 10, [(2, 1, 9)]), ("birthDate", 2, 20, [(2, 14, 6)]), ("expirationDate", 2, 28, [(2, 22, 6)]), ("personalNumber", 2, 43, [(2, 29, 14)]), ("composite", 2, 44, [(2, 1, 10), (2, 14, 7), (2, 22, 22)])],
+}
+#: Letters that optical readers put for digits, and the digits.
+_LETTERS, _DIGITS = "OQDILZSGB", "000112568"
+_BAND = "struct<score:double,ord:int,format:string,start:int,lines:array<string>>"
+
+
+def sanitized(line: Column) -> Column:
+    """A scanned line in the alphabet of the zone: guillemets and a small c stand for the filler, the rest goes."""
+    filled = F.regexp_replace(F.regexp_replace(line, "«", "<<"), "[‹\u200cc]", "<")
+    return F.regexp_replace(F.upper(filled), "[^A-Z0-9<]", "")
+
+
+def band(lines: Column, top: float = 0.7) -> Column:
+    """Struct (format, start, lines) of the machine-readable zone among a page's lines: as many lines as a format has, all of its length and alphabet, one with a filler, the lowest on the page; null if there is none."""
+    clean = F.transform(lines, lambda x: F.struct(sanitized(x).alias("text"), alphabet_ratio(x).alias("ratio")))
+
+    def found(rows: Column) -> Column:
+        last = F.size(rows) - 1
+
+        def of_layout(ord: int, name: str, length: int, many: int) -> Column:
+            def option(i: Column) -> Column:
+                own = F.slice(rows, i + 1, many)
+                fits = F.forall(own, lambda x: (F.length(x["text"]) == length) & (x["ratio"] >= 0.8)) & F.exists(own, lambda x: F.contains(x["text"], F.lit("<")))
+                at = F.when(last > 0, i / F.greatest(last, F.lit(1))).otherwise(1.0)
+                return F.when(fits, F.struct((at + F.when(at >= top, 1.0).otherwise(0.0)).alias("score"), (-i - 1000 * ord).alias("ord"), F.lit(name).alias("format"), i.alias("start"), F.transform(own, lambda x: x["text"]).alias("lines")).cast(_BAND))
+
+            return F.transform(F.when(F.size(rows) >= many, F.sequence(F.lit(0), F.size(rows) - many)).otherwise(F.array().cast("array<int>")), option)
+
+        options = [of_layout(ord, *layout) for ord, layout in enumerate(LAYOUTS)]
+        return F.array_max(F.filter(F.concat(*options), lambda o: o.isNotNull()))
+
+    return dates.let(clean, found)
+
+
+def _report(names: list[Column], digits: Column) -> Column:
+    return dates.let(digits, lambda r: F.struct(*names, r["found"].alias("found"), r["expected"].alias("expected"), F.coalesce(r["found"] == r["expected"], F.lit(False)).alias("valid")))
+
+
+def check_reports(format: Column, lines: Column) -> Column:
+    """Array of (field, line, position, found, expected, valid), one for each check digit of the format."""
+    out = F
+    for name, checks in CHECKS.items():
+        reports = []
+        for field, line, place, parts in checks:
+            covered = F.concat(*(F.substring(F.get(lines, F.lit(n - 1)), a, size) for n, a, size in parts))
+            found = F.nullif(F.substring(F.get(lines, F.lit(line - 1)), place, 1), F.lit(""))
+            names = [F.lit(x).alias(n) for x, n in ((field, "field"), (line, "line"), (place, "position"))]
+            reports.append(_report(names, F.struct(found.alias("found"), check_digit(covered).alias("expected"))))
+        out = out.when(format == name, F.array(*reports))
+    return out.otherwise(F.array().cast("array<struct<field:string,line:int,position:int,found:string,expected:string,valid:boolean>>"))
+
+
+def repaired(format: Column, lines: Column) -> Column:
+    """Lines with letters read for digits changed back where only digits can stand: dates and check digits."""
+
+    def fixed(line: int, places: list[tuple[int, int]]) -> Column:
+        text, out, at = F.get(lines, F.lit(line - 1)), [], 1
+        for a, n in sorted(places):
+            out += [F.substring(text, at, a - at), F.translate(F.substring(text, a, n), _LETTERS, _DIGITS)]
+            at = a + n
+        return F.concat(*out, text.substr(F.lit(at), F.length(text)))
+
+    numbers = {"TD1": {1: [(15, 1)], 2: [(1, 7), (9, 7), (30, 1)], 3: []}, "TD2": {1: [], 2: [(10, 1), (14, 7), (22, 7), (36, 1)]}, "TD3": {1: [], 2: [(10, 1), (14, 7), (22, 7), (43, 2)]}}
+    out = F
+    for name, own in numbers.items():
+        out = out.when(format == name, F.array(*(fixed(line, places) if places else F.get(lines, F.lit(line - 1)) for line, places in own.items())))
+    return out
+
+
+def repair_notes(format: Column, lines: Column) -> Column:
+    """Which letters changed to digits would make every check digit valid, as `O→0 at line 2 col 14`; null if none would."""
+
+    def body(new: Column) -> Column:
+        notes = F.flatten(F.transform(F.arrays_zip(lines.alias("a"), new.alias("b")), lambda p, i: F.filter(F.transform(F.sequence(F.lit(1), F.length(p["a"])), lambda j: F.when(F.substring(p["a"], j, F.lit(1)) != F.substring(p["b"], j, F.lit(1)), F.concat(F.substring(p["a"], j, F.lit(1)), F.lit("→"), F.substring(p["b"], j, F.lit(1)), F.lit(" at line "), (i + 1).cast("string"), F.lit(" col "), j.cast("string")))), lambda n: n.isNotNull())))
+        sound = F.forall(check_reports(format, new), lambda r: r["valid"])
+        return F.when(sound & (F.size(notes) > 0), F.array_join(notes, ", "))
+
+    return dates.let(repaired(format, lines), body)
+
+
+def zone_fields(format: Column, lines: Column) -> Column:
+    """Struct (issuer, birth, expiry) as they stand in a zone's lines."""
+    at = lambda line, a, n: F.substring(F.get(lines, F.lit(line - 1)), a, n)
+    td1 = format == "TD1"
+    birth, expiry = F.when(td1, at(2, 1, 6)).otherwise(at(2, 14, 6)), F.when(td1, at(2, 9, 6)).otherwise(at(2, 22, 6))
+    return F.struct(F.nullif(F.replace(at(1, 3, 3), F.lit("<"), F.lit("")), F.lit("")).alias("issuer"), birth.alias("birth"), expiry.alias("expiry"))

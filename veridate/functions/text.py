@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented capitals and what they become.
-_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸŠŽ"
-_TO = "AAAAAACEEEEIIIINOOOOOUUUUYYSZ"
+#: Letters with marks, and the letters that are left when the marks go.
+_PLAIN = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
 #: What stands where a date would, to say that there is none.
-SENTINELS = ["NONE", "N A", "NA", "NEVER", "INDEFINITE", "NON EXPIRING", "DOES NOT EXPIRE", "NO EXPIRY", "NO EXPIRATION", "PERMANENT", "UNLIMITED", "LIFETIME", "INDEF"]
+SENTINELS = ["NONE", "N A", "NA", "NIL", "INDEFINITE", "INDEFINITELY", "NON EXPIRING", "NONEXPIRING", "DOES NOT EXPIRE", "NO EXPIRATION", "NO EXPIRY", "PERMANENT", "UNLIMITED"]
+#: Ranges of code points of letters that are not Latin: Greek, Cyrillic and its supplement, Armenian, Hebrew, Arabic, Syriac, Arabic supplement,
+#: Devanagari, Bengali to Sinhala, Thai, Hangul Jamo, Hiragana and Katakana, CJK extension A, CJK, Hangul syllables.
+OTHER_SCRIPTS = [("0370", "03ff"), ("0400", "052f"), ("0530", "058f"), ("0590", "05ff"), ("0600", "06ff"), ("0700", "074f"), ("0750", "077f"), ("0900", "097f"), ("0980", "0dff"), ("0e00", "0e7f"), ("1100", "11ff"), ("3040", "30ff"), ("3400", "4dbf"), ("4e00", "9fff"), ("ac00", "d7af")]
 
 
 def label_form(text: Column) -> Column:
     """Upper case without accents; runs of anything but letters and digits become one blank."""
-    return F.trim(F.regexp_replace(F.translate(F.upper(text), _FROM, _TO), "[^A-Z0-9]+", " "))
+    bare = F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), "".join(_PLAIN), "".join(_PLAIN.values()))
+    return F.trim(F.regexp_replace(F.upper(bare), "[^A-Z0-9]+", " "))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -40,17 +45,30 @@ def grounded(raw: Column, page: Column) -> Column:
 
 
 def latin_letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^A-Za-zÀ-ÖØ-öø-ɏ]", ""))
+    return F.length(F.regexp_replace(text, "[^A-Za-z\u00c0-\u024f]", ""))
 
 
 def other_letters(text: Column) -> Column:
-    """Letters of scripts other than Latin: Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai, kana, Hangul, Han."""
-    return F.length(F.regexp_replace(text, r"[^Ͱ-ϿЀ-ԯ԰-֏֐-׿؀-ۿऀ-෿฀-໿぀-ヿ가-힯一-鿿]", ""))
+    """Letters of scripts other than Latin, by OTHER_SCRIPTS."""
+    return F.length(F.regexp_replace(text, "[^" + "".join(rf"\u{a}-\u{b}" for a, b in OTHER_SCRIPTS) + "]", ""))
 
 
 def unsupported_script(latin: Column, other: Column) -> Column:
-    """At least three letters of other scripts, and three in ten of all."""
-    return (other >= 3) & (other / F.greatest(latin + other, F.lit(1)) >= 0.3)
+    """At least three letters, of which three in ten are of other scripts."""
+    return (latin + other >= 3) & (other / F.greatest(latin + other, F.lit(1)) >= 0.3)
+
+
+def non_latin_dominant(text: Column) -> Column:
+    """Whether three in ten characters from 0 on in the code table, without those between Latin and Greek, are beyond Latin."""
+    other = F.length(F.regexp_replace(text, r"[\x{0000}-\x{036f}]", ""))
+    latin = F.length(F.regexp_replace(text, "[^0-\u024f]", ""))
+    return (latin + other > 0) & (other / F.greatest(latin + other, F.lit(1)) >= 0.3)
+
+
+def join_words(words: Column) -> Column:
+    """Words of a line as one text; no blank where a word ends or begins with a mark that joins dates."""
+    glued = lambda a, w: a.rlike(r"[/.\-–—]$") | w.rlike(r"^[/.\-–—]")
+    return F.aggregate(words, F.lit(""), lambda a, w: F.when(a == "", w).otherwise(F.concat(a, F.when(glued(a, w), F.lit("")).otherwise(F.lit(" ")), w)))
 
 
 def client_ip(forwarded: Column, real: Column) -> Column:

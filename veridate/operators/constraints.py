@@ -72,8 +72,11 @@ def score(judged: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.when(s, F.row_number().over(best)))
 
 
-def outcome(scored: DataFrame, as_of: Column) -> DataFrame:
-    """One row a document: winner, counts, anomalies and reason codes."""
+def outcome(scored: DataFrame, as_of: Column, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document: winner, counts, anomalies and reason codes.
+
+    documents (doc_id, class, identity): those that have a row even without any candidate.
+    """
     has = lambda reason: F.count_if(F.col("eliminated_by") == reason) > 0
     flat = scored.groupBy("doc_id").agg(
         F.first("class").alias("class"),
@@ -91,13 +94,20 @@ def outcome(scored: DataFrame, as_of: Column) -> DataFrame:
         F.max("identity").alias("identity"),
         has("NOT_AFTER_ISSUE").alias("not_after_issue"),
         (has("TERM_TOO_LONG") | has("TOO_FAR_AHEAD")).alias("implausible"),
+        (F.count_if(F.col("survives") & ~F.col("grounded")) > 0).alias("ungrounded"),
     )
+    if documents is not None:
+        counts = ["survivors", "eliminated", "candidates", "checks", "before_birth"]
+        flat = documents.select("doc_id", "class", "identity").join(flat.drop("class", "identity"), "doc_id", "left")
+        flat = flat.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {c: F.coalesce(c, F.lit(False)) for c in ("not_after_issue", "implausible", "ungrounded")})
     anomalies = [F.when(F.col("issue") > as_of, "FUTURE_DATED_ISSUE"), F.when(F.col("not_after_issue"), "EXPIRY_BEFORE_ISSUE"), F.when(F.col("implausible"), "IMPLAUSIBLE_VALIDITY_PERIOD")]
     codes = [
         *anomalies,
         F.when(F.col("identity") & F.col("dob").isNotNull() & (F.col("before_birth") > 0), "AMBIGUOUS_DATE_FORMAT"),
+        F.when(F.col("ungrounded"), "VALUE_NOT_GROUNDED_IN_OCR"),
         F.when((F.col("survivors") == 0) & (F.col("candidates") > 0), "NO_EXPIRY_SEMANTICS"),
+        F.when(F.col("candidates") == 0, "NO_DATES_FOUND"),
         F.when(F.abs(F.col("winner_score100") - F.col("second_score100")) < 10, "MULTIPLE_EXPIRY_CANDIDATES"),
     ]
     checks = F.col("checks") + F.when(F.col("issue").isNotNull(), 1).otherwise(0) + F.when(F.col("identity") & F.col("dob").isNotNull(), 1).otherwise(0)
-    return flat.withColumns({"checks": checks, "anomalies": F.array_compact(F.array(*anomalies)), "reason_codes": F.array_compact(F.array(*codes))}).drop("not_after_issue", "implausible", "before_birth")
+    return flat.withColumns({"checks": checks, "anomalies": F.array_compact(F.array(*anomalies)), "reason_codes": F.array_compact(F.array(*codes))}).drop("not_after_issue", "implausible", "before_birth", "ungrounded")

@@ -77,3 +77,16 @@ def side_bar(zone: Column, mean: Column) -> Column:
 def outcome(likeness_negative: Column, screen_negative: Column, positive: Column) -> Column:
     """Cheap signals first: a confident negative rejects, a domain signal admits in full, else limited."""
     return F.when(likeness_negative | screen_negative, "REJECT").when(positive, "ADMIT_FULL").otherwise("ADMIT_LIMITED")
+
+
+def clipping(gray: Column) -> Column:
+    """Struct (highlight, shadow): shares of blown-out (250 and more) and black (5 and less) pixels."""
+    share = lambda test: F.size(F.filter(gray, test)) / F.greatest(F.size(gray), F.lit(1))
+    return F.struct(share(lambda x: x >= 250).alias("highlight"), share(lambda x: x <= 5).alias("shadow"))
+
+
+def quality_codes(blur: Column, highlight: Column, mean: Column, stddev: Column, skew: Column, dpi: Column) -> Column:
+    """Codes of a page's image quality (fixed values: blur 100, glare 0.08, darkness 60, contrast 25, skew 15 degrees, 150 dots an inch)."""
+    return F.array_compact(F.array(
+        F.when(blur < 100, "IMAGE_TOO_BLURRY"), F.when(highlight > 0.08, "GLARE_OBSCURES_FIELD"), F.when((mean < 60) | (stddev < 25), "POOR_CONTRAST"), F.when(F.abs(skew) > 15, "EXTREME_SKEW"), F.when(dpi < 150, "RESOLUTION_TOO_LOW"),
+    ))

@@ -54,9 +54,15 @@ def confidence(df: DataFrame) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 4)))
 
 
+def confidence_codes(df: DataFrame) -> Column:
+    """Reason codes of what lowers the fused confidence."""
+    c = F.col
+    return F.array_compact(F.array(F.when(~c("cross_call_ok"), "HUNTER_MAPPER_DISAGREE"), F.when(~c("grounded_ok"), "VALUE_NOT_GROUNDED_IN_OCR"), F.when(c("blur") < 60, "IMAGE_TOO_BLURRY"), F.when(c("dpi") < 150, "RESOLUTION_TOO_LOW")))
+
+
 def route(df: DataFrame) -> DataFrame:
-    """Adds decision and final_codes from verdict, confidence, anomalies, hard_failed and reason_codes; every REVIEW has a code."""
-    codes = F.array_distinct(F.concat("reason_codes", "anomalies"))
+    """Adds decision and final_codes from verdict, confidence, anomalies, hard_failed, reason_codes and confidence_codes; every REVIEW has a code."""
+    codes = F.array_distinct(F.concat("reason_codes", "confidence_codes", "anomalies"))
     sure = (F.col("confidence") >= AUTO) & ~F.col("hard_failed")
     decision = (
         F.when(F.size("anomalies") > 0, "REVIEW")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridate.functions.dates import let
 from veridate.operators import classify, gate, merge
 from veridate.plans.orders import CLASSES, ROLES, pick, read
 
@@ -44,8 +45,9 @@ def issuer_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first domain keyword in each conversation turn, in listed order; a term is appended to every fourth."""
     terms = GATE_TERMS
-    text = F.lower(F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(" "), pick([t for _, t in terms], (F.col("conv_id") + F.col("turn")) % len(terms)))).otherwise("")))
-    hit = F.coalesce(*(F.when(F.contains(text, F.lit(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("class"))) for c, t in terms))
+    body = F.lower(F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(" "), pick([t for _, t in terms], (F.col("conv_id") + F.col("turn")) % len(terms)))).otherwise("")))
+    # The lower-case text is bound once, not once a term.
+    hit = let(body, lambda x: F.coalesce(*(F.when(F.contains(x, F.lit(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("class"))) for c, t in terms)))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", hit.alias("h")).where("h is not null").select("conv_id", "turn", "h.term", "h.class")
 
 

@@ -30,26 +30,28 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Birth and issue dates of each order and one dated candidate of each line item."""
+    """Birth and issue dates of each order and one dated candidate of each line item; some orders have none."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("issued"))
     born = F.date_add(F.lit("1960-01-01").cast("date"), (F.col("o_custkey") * 37 % 12000).cast("int"))
     fixed = orders.select("o_orderkey", F.explode(F.array(F.struct(F.lit(0).alias("cand_ord"), F.lit("DATE_OF_BIRTH").alias("role"), born.alias("iso")), F.struct(F.lit(1).alias("cand_ord"), F.lit("ISSUE").alias("role"), F.col("issued").alias("iso")))).alias("c")).select(F.col("o_orderkey").alias("doc_id"), "c.*")
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 1).alias("cand_ord"), pick(ROLES, F.col("l_linenumber") % 5).alias("role"), F.add_months(F.to_date("l_shipdate"), F.col("l_linenumber") * 36).alias("iso"))
     known = lines.join(orders.select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi")
     kind = pick(CLASSES, F.col("doc_id") % 12)
-    return fixed.unionByName(known).withColumns({"raw": F.date_format("iso", "yyyy-MM-dd"), "class": kind, "identity": kind.isin(IDENTITY), "recency_validated": kind.isin(*verdict.RECENT), "cross_call": F.lit(None).cast("boolean"), "grounded": (F.col("doc_id") + F.col("cand_ord")) % 7 != 0})
+    return fixed.unionByName(known).where("doc_id % 97 <> 0").withColumns({"raw": F.date_format("iso", "yyyy-MM-dd"), "class": kind, "identity": kind.isin(IDENTITY), "recency_validated": kind.isin(*verdict.RECENT), "cross_call": F.lit(None).cast("boolean"), "grounded": (F.col("doc_id") + F.col("cand_ord")) % 7 != 0})
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = constraints.score(constraints.eliminate(candidates(spark, sf_dir), as_of()))
-    docs = constraints.outcome(scored, as_of())
     k = F.col("doc_id")
+    kind = pick(CLASSES, k % 12)
+    every = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).withColumns({"class": kind, "identity": kind.isin(IDENTITY)})
+    docs = constraints.outcome(scored, as_of(), every)
     extra = {
         "tier": pick(TIERS, k % 4), "checksum": k % 11 != 0, "cross_source": F.when(k % 5 == 0, True), "cross_call_ok": F.when(k % 4 == 3, k % 3 != 0),
         "grounded_ok": F.when(k % 2 == 0, k % 9 != 0), "blur": F.when(k % 6 != 0, (k % 200).cast("double")), "dpi": F.when(k % 8 != 0, (k % 400).cast("double")), "hard_failed": (F.col("survivors") == 0) & (F.col("eliminated") > 0),
     }
     judged = verdict.validity(docs.withColumns(extra), F.col("winner_iso"), as_of())
-    return verdict.route(judged.withColumn("confidence", verdict.confidence(judged)))
+    return verdict.route(judged.withColumns({"confidence": verdict.confidence(judged), "confidence_codes": verdict.confidence_codes(judged)}))
 
 
 def verdict_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +81,19 @@ def elimination_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One delivery row a document: idempotency key and flat properties; nothing for documents without candidates."""
-    v = verdicts(spark, sf_dir)
-    key = F.concat(F.lit("kyc-"), F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
-    return v.select(key.alias("idempotency_key"), "doc_id", F.col("class").alias("document_class"), "verdict", "decision", F.date_format("date", "yyyy-MM-dd").alias("decisive_date"), F.array_join(F.array_sort("final_codes"), ";").alias("reason_codes"), F.col("confidence"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("applicant-"), (F.col("doc_id") % 1000).cast("string"))).alias("associated_applicant"))
+    """One delivery row a document: a key of its content, thirteen flat properties and an association."""
+    k = F.col("doc_id")
+    line = F.concat_ws(":", F.col("cand_ord").cast("string"), "role", "raw")
+    content = candidates(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), ",").alias("content"))
+    v = verdicts(spark, sf_dir).join(content, "doc_id", "left")
+    key = F.concat(F.lit("kyc-"), F.sha2(F.concat_ws("|", k.cast("string"), F.coalesce("content", F.lit(""))).cast("binary"), 256))
+    properties = {
+        "request_id": F.concat(F.lit("req-"), k.cast("string")), "decision": F.col("decision"), "confidence": F.col("confidence"), "document_class": F.col("class"), "document_issuer": F.when(k % 4 < 2, "GBR"),
+        "validity_basis": F.col("basis"), "expiry_date": F.date_format("date", "yyyy-MM-dd"), "verdict": F.col("verdict"), "days_remaining": F.col("days_remaining"), "source_tier": F.col("tier"),
+        "reason_codes": F.array_join(F.array_sort("final_codes"), ";"), "cost_usd": F.when(F.col("tier") == "TC_VLM", 0.02).otherwise(0.0), "evaluated_at": F.lit("1998-08-02T00:00:00Z"),
+    }
+    applicant = F.when(k % 3 == 0, F.concat(F.lit("applicant-"), (k % 1000).cast("string")))
+    return v.select(F.lit("kyc_check").alias("object_type"), key.alias("idempotency_key"), *(c.alias(f"kyc_{n}") for n, c in properties.items()), F.when(applicant.isNotNull(), "contact").alias("to_object_type"), applicant.alias("to_object_id"), F.when(applicant.isNotNull(), "kyc_check_to_contact").alias("association_type"))
 
 
 _CANDIDATES = f"""
@@ -91,7 +102,7 @@ cand AS (
   SELECT o_orderkey doc_id, 0 cand_ord, 'DATE_OF_BIRTH' AS "role", CAST(DATE '1960-01-01' + CAST(o_custkey * 37 % 12000 AS INTEGER) AS DATE) iso FROM orders_
   UNION ALL SELECT o_orderkey, 1, 'ISSUE', issued FROM orders_
   UNION ALL SELECT l_orderkey, l_linenumber + 1, ([{', '.join(f"'{r}'" for r in ROLES)}])[l_linenumber % 5 + 1], CAST(CAST(l_shipdate AS DATE) + to_months(l_linenumber * 36) AS DATE) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-cands AS (SELECT *, ([{', '.join(f"'{c}'" for c in CLASSES)}])[CAST(doc_id % 12 AS INTEGER) + 1] AS "class", (doc_id + cand_ord) % 7 <> 0 grounded FROM cand),
+cands AS (SELECT *, ([{', '.join(f"'{c}'" for c in CLASSES)}])[CAST(doc_id % 12 AS INTEGER) + 1] AS "class", (doc_id + cand_ord) % 7 <> 0 grounded FROM cand WHERE doc_id % 97 <> 0),
 refs AS (SELECT doc_id, min(iso) FILTER ("role" = 'ISSUE') issue, min(iso) FILTER ("role" = 'DATE_OF_BIRTH') dob FROM cands GROUP BY doc_id),
 judged AS (
   SELECT c.*, issue, dob, CASE WHEN "role" IN ({', '.join(f"'{r}'" for r in constraints.NEVER_EXPIRY)}) THEN 'ROLE' WHEN iso <= issue THEN 'NOT_AFTER_ISSUE'
@@ -111,15 +122,19 @@ scored AS (
 ranked AS (SELECT *, CASE WHEN survives THEN row_number() OVER (PARTITION BY doc_id ORDER BY survives DESC, score100 DESC NULLS LAST, cand_ord, iso) END AS "rank" FROM scored),
 """
 _DOCS = f"""
-docs AS (
-  SELECT doc_id, any_value("class") AS "class", max(iso) FILTER ("rank" = 1) winner_iso, max(score100) FILTER ("rank" = 1) winner_score100, max(score100) FILTER ("rank" = 2) runner, count(*) FILTER (survives) survivors,
-    count(*) FILTER (eliminated_by IS NOT NULL) eliminated, max(issue) issue, max(dob) dob, sum(checks) + 1 + CAST(any_value("class") IN ({', '.join(f"'{c}'" for c in IDENTITY)}) AS INTEGER) checks,
+held AS (
+  SELECT doc_id, max(iso) FILTER ("rank" = 1) winner_iso, max(score100) FILTER ("rank" = 1) winner_score100, max(score100) FILTER ("rank" = 2) runner, count(*) FILTER (survives) survivors,
+    count(*) FILTER (eliminated_by IS NOT NULL) eliminated, max(issue) issue, max(dob) dob, sum(checks) + 1 + CAST(any_value("class") IN ({', '.join(f"'{c}'" for c in IDENTITY)}) AS INTEGER) checks, count(*) n, count(*) FILTER (survives AND NOT grounded) > 0 loose,
     count(*) FILTER (iso < dob AND "role" <> 'DATE_OF_BIRTH') before_birth, count(*) FILTER (eliminated_by = 'NOT_AFTER_ISSUE') > 0 nai, count(*) FILTER (eliminated_by IN ('TERM_TOO_LONG', 'TOO_FAR_AHEAD')) > 0 imp
   FROM ranked GROUP BY doc_id),
+docs AS (
+  SELECT o_orderkey doc_id, ([{', '.join(f"'{c}'" for c in CLASSES)}])[CAST(o_orderkey % 12 AS INTEGER) + 1] AS "class", winner_iso, winner_score100, runner, coalesce(survivors, 0) survivors, coalesce(eliminated, 0) eliminated, issue, dob, coalesce(checks, 0) checks, coalesce(n, 0) n, coalesce(loose, false) loose, coalesce(before_birth, 0) before_birth, coalesce(nai, false) nai, coalesce(imp, false) imp
+  FROM orders LEFT JOIN held ON doc_id = o_orderkey),
 based AS (
   SELECT *, CASE WHEN doc_id % 12 < 6 THEN 'EXPIRY_DATE' WHEN doc_id % 12 = 6 THEN 'COVERAGE_END' WHEN doc_id % 12 < 9 THEN 'RECENCY_WINDOW' WHEN doc_id % 12 = 9 THEN 'NO_EXPIRY' ELSE 'UNDETERMINED' END basis,
     list_filter([CASE WHEN issue > DATE '1998-08-02' THEN 'FUTURE_DATED_ISSUE' END, CASE WHEN nai THEN 'EXPIRY_BEFORE_ISSUE' END, CASE WHEN imp THEN 'IMPLAUSIBLE_VALIDITY_PERIOD' END], lambda x: x IS NOT NULL) anomalies,
-    list_filter([CASE WHEN doc_id % 12 < 6 AND before_birth > 0 THEN 'AMBIGUOUS_DATE_FORMAT' END, CASE WHEN survivors = 0 THEN 'NO_EXPIRY_SEMANTICS' END, CASE WHEN abs(winner_score100 - runner) < 10 THEN 'MULTIPLE_EXPIRY_CANDIDATES' END], lambda x: x IS NOT NULL) more FROM docs),
+    list_filter([CASE WHEN doc_id % 12 < 6 AND before_birth > 0 THEN 'AMBIGUOUS_DATE_FORMAT' END, CASE WHEN survivors = 0 AND n > 0 THEN 'NO_EXPIRY_SEMANTICS' END, CASE WHEN n = 0 THEN 'NO_DATES_FOUND' END,
+      CASE WHEN loose OR (doc_id % 2 = 0 AND doc_id % 9 = 0) THEN 'VALUE_NOT_GROUNDED_IN_OCR' END, CASE WHEN doc_id % 4 = 3 AND doc_id % 3 = 0 THEN 'HUNTER_MAPPER_DISAGREE' END, CASE WHEN doc_id % 6 <> 0 AND doc_id % 200 < 60 THEN 'IMAGE_TOO_BLURRY' END, CASE WHEN doc_id % 8 <> 0 AND doc_id % 400 < 150 THEN 'RESOLUTION_TOO_LOW' END, CASE WHEN abs(winner_score100 - runner) < 10 THEN 'MULTIPLE_EXPIRY_CANDIDATES' END], lambda x: x IS NOT NULL) more FROM docs),
 dated AS (
   SELECT *, CASE WHEN basis IN ('EXPIRY_DATE', 'COVERAGE_END') THEN date_diff('day', DATE '1998-08-02', winner_iso) WHEN basis = 'RECENCY_WINDOW' THEN CASE "class" WHEN 'BANK_STATEMENT' THEN 180 ELSE 90 END - date_diff('day', winner_iso, DATE '1998-08-02') END days_remaining,
     ([{', '.join(f"'{t}'" for t in TIERS)}])[CAST(doc_id % 4 AS INTEGER) + 1] tier FROM based),
@@ -143,5 +158,8 @@ ORACLES = {
     "tier_report": f"""WITH {_CANDIDATES} {_DOCS} SELECT tier, count(*) documents, round(count(*) / sum(count(*)) OVER (), 6) AS "share", round(sum(CAST(round(confidence * 10000) AS BIGINT)) / 10000.0 / count(*), 6) mean_confidence, round(count(*) FILTER (decision = 'REVIEW') / count(*), 6) review_rate FROM final GROUP BY tier""",
     "decision_histogram": f"""WITH {_CANDIDATES} {_DOCS} SELECT decision, verdict, count(*) documents FROM final GROUP BY decision, verdict""",
     "elimination_tally": f"""WITH {_CANDIDATES} x AS (SELECT 1) SELECT eliminated_by, count(*) candidates FROM ranked WHERE eliminated_by IS NOT NULL GROUP BY eliminated_by""",
-    "crm_payloads": f"""WITH {_CANDIDATES} {_DOCS} SELECT 'kyc-' || sha256(CAST(doc_id AS VARCHAR)) idempotency_key, doc_id, "class" document_class, verdict, decision, "date" decisive_date, codes reason_codes, confidence, CASE WHEN doc_id % 3 = 0 THEN 'applicant-' || CAST(doc_id % 1000 AS VARCHAR) END associated_applicant FROM final""",
+    "crm_payloads": f"""WITH {_CANDIDATES} {_DOCS}, body AS (SELECT doc_id, string_agg(x, ',' ORDER BY x) content FROM (SELECT doc_id, CAST(cand_ord AS VARCHAR) || ':' || "role" || ':' || strftime(iso, '%Y-%m-%d') x FROM cands) GROUP BY doc_id)
+      SELECT 'kyc_check' object_type, 'kyc-' || sha256(CAST(f.doc_id AS VARCHAR) || '|' || coalesce(content, '')) idempotency_key, 'req-' || CAST(f.doc_id AS VARCHAR) kyc_request_id, decision kyc_decision, confidence kyc_confidence, "class" kyc_document_class, CASE WHEN f.doc_id % 4 < 2 THEN 'GBR' END kyc_document_issuer, basis kyc_validity_basis, "date" kyc_expiry_date, verdict kyc_verdict,
+        CAST(days_remaining AS INTEGER) kyc_days_remaining, tier kyc_source_tier, codes kyc_reason_codes, CAST(CASE WHEN tier = 'TC_VLM' THEN 0.02 ELSE 0 END AS DOUBLE) kyc_cost_usd, '1998-08-02T00:00:00Z' kyc_evaluated_at,
+        CASE WHEN f.doc_id % 3 = 0 THEN 'contact' END to_object_type, CASE WHEN f.doc_id % 3 = 0 THEN 'applicant-' || CAST(f.doc_id % 1000 AS VARCHAR) END to_object_id, CASE WHEN f.doc_id % 3 = 0 THEN 'kyc_check_to_contact' END association_type FROM final f LEFT JOIN body USING (doc_id)""",
 }

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.functions import dates, machine, text
+from veridate.functions import dates, labels, machine, text
 from veridate.plans.orders import as_of, pick, read
 
-#: Printed labels and the role of the date beside them.
-LABELS = [
-    ("EXPIRATION DATE", "EXPIRY"), ("EXPIRY DATE", "EXPIRY"), ("DATE OF EXPIRY", "EXPIRY"), ("EXPIRES", "EXPIRY"), ("EXP", "EXPIRY"), ("VALID UNTIL", "EXPIRY"), ("VALID THRU", "EXPIRY"),
-    ("DATE OF ISSUE", "ISSUE"), ("ISSUED", "ISSUE"), ("DATE OF BIRTH", "DATE_OF_BIRTH"), ("DOB", "DATE_OF_BIRTH"), ("STATEMENT DATE", "STATEMENT_PERIOD_END"), ("BILLING DATE", "STATEMENT_PERIOD_END"),
-]
-
-
 def free_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates printed in nine ways and read back under three conventions."""
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -72,23 +65,25 @@ def confusable_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy label phrases matched to the lexicon: exact first, then by edit distance, longer labels on ties."""
+    """Noisy label phrases matched to the lexicon: exact first, then by edit distance, longer labels on ties; field codes exactly only."""
     k = F.col("p_partkey")
-    label = pick([x for x, _ in LABELS], k % len(LABELS))
+    names = [x for x, _, _ in labels.LEXICON]
+    label = pick(names, k % len(names))
     noisy = F.when(k % 5 == 0, F.concat(label, F.lit(":"))).when(k % 5 == 1, F.translate(label, "IO", "10")).when(k % 5 == 2, F.lower(label)).when(k % 5 == 3, F.col("p_type")).otherwise(F.concat(F.substring(label, 1, 3), F.lit("X"), label.substr(F.lit(5), F.length(label))))
     phrases = read(spark, sf_dir, "part").select(k.alias("doc_id"), noisy.alias("phrase")).withColumn("form", text.label_form(F.col("phrase")))
-    lexicon = spark.createDataFrame([(i, x, r) for i, (x, r) in enumerate(LABELS)], "lex_ord int, canonical string, role string")
-    # The lexicon is fixed and small; each distinct phrase meets it once.
-    met = phrases.select("form").distinct().join(F.broadcast(lexicon), (F.abs(F.length("form") - F.length("canonical")) <= 3))
-    exact, ratio = F.col("form") == F.col("canonical"), text.similarity(F.col("form"), F.col("canonical"))
-    fit = met.withColumns({"exact": exact, "score": F.round(ratio, 6)}).where(F.col("exact") | (F.length("canonical") >= 5) & (F.col("score") >= 0.85))
-    best = fit.groupBy("form").agg(F.max_by(F.struct("canonical", "role", "exact", "score"), F.struct("exact", "score", F.length("canonical"), -F.col("lex_ord"))).alias("m"))
-    return phrases.join(best, "form", "left").select("doc_id", "phrase", "m.canonical", "m.role", "m.exact", "m.score", text.is_sentinel(F.col("phrase")).alias("sentinel"))
+    # Each distinct phrase is matched once.
+    best = phrases.select("form").distinct().withColumn("m", labels.match(F.col("form")))
+    return phrases.join(best, "form", "left").select("doc_id", "phrase", "m.canonical", "m.role", "m.exact", F.round("m.score", 6).alias("score"), text.is_sentinel(F.col("phrase")).alias("sentinel"))
 
 
 _T = "TRY_CAST(printf('%04d-%02d-%02d', year(d), day(d), month(d)) AS DATE)"
 _DIGIT = "list_sum(list_transform(range(1, length({0}) + 1), lambda i: (CASE WHEN substr({0}, i, 1) = '<' THEN 0 WHEN ascii(substr({0}, i, 1)) < 58 THEN ascii(substr({0}, i, 1)) - 48 ELSE ascii(substr({0}, i, 1)) - 55 END) * ([7, 3, 1])[(i - 1) % 3 + 1])) % 10"
-_LEXICON = ", ".join(f"({i}, '{x}', '{r}')" for i, (x, r) in enumerate(LABELS))
+_LEXICON = """(0, 'EXP', 'EXPIRY', false), (1, 'EXPIRES', 'EXPIRY', false), (2, 'EXPIRATION', 'EXPIRY', false), (3, 'EXPIRATION DATE', 'EXPIRY', false), (4, 'EXPIRY', 'EXPIRY', false), (5, 'EXPIRY DATE', 'EXPIRY', false), (6, 'DATE OF EXPIRY', 'EXPIRY', false), (7, 'DATE OF EXPIRATION', 'EXPIRY', false),
+  (8, 'VALID THRU', 'EXPIRY', false), (9, 'VALID THROUGH', 'EXPIRY', false), (10, 'VALID UNTIL', 'EXPIRY', false), (11, 'VALID TO', 'EXPIRY', false), (12, 'ENDS ON', 'EXPIRY', false), (13, 'END DATE', 'EXPIRY', false), (14, 'BENEFIT PERIOD', 'EXPIRY', false), (15, 'COVERAGE PERIOD', 'EXPIRY', false),
+  (16, 'GOOD THRU', 'EXPIRY', false), (17, 'GOOD THROUGH', 'EXPIRY', false), (18, 'NOT VALID AFTER', 'EXPIRY', false), (19, 'EXPIRE LE', 'EXPIRY', false), (20, 'FECHA DE VENCIMIENTO', 'EXPIRY', false), (21, 'STATEMENT PERIOD', 'STATEMENT_PERIOD_END', false), (22, 'STATEMENT DATE', 'STATEMENT_PERIOD_END', false),
+  (23, 'PERIOD ENDING', 'STATEMENT_PERIOD_END', false), (24, 'PERIOD END', 'STATEMENT_PERIOD_END', false), (25, 'CLOSING DATE', 'STATEMENT_PERIOD_END', false), (26, 'BILLING PERIOD', 'STATEMENT_PERIOD_END', false), (27, 'BILL DATE', 'STATEMENT_PERIOD_END', false), (28, 'INVOICE DATE', 'STATEMENT_PERIOD_END', false),
+  (29, 'ISSUED ON', 'STATEMENT_PERIOD_END', false), (30, 'DATE OF ISSUE', 'STATEMENT_PERIOD_END', false), (31, '4A', 'ISSUE', true), (32, '4B', 'EXPIRY', true), (33, '3', 'DATE_OF_BIRTH', true)"""
+_SENTINELS = "'NONE', 'N A', 'NA', 'NIL', 'INDEFINITE', 'INDEFINITELY', 'NON EXPIRING', 'NONEXPIRING', 'DOES NOT EXPIRE', 'NO EXPIRATION', 'NO EXPIRY', 'PERMANENT', 'UNLIMITED'"
 
 QUERIES = {f.__name__: f for f in (free_text_dates, coverage_ranges, aamva_payloads, mrz_lines, confusable_digits, label_matches)}
 ORACLES = {
@@ -114,11 +109,11 @@ ORACLES = {
         CASE WHEN doc_id % 7 = 0 THEN 'expiry_date;composite' ELSE '' END failed, CASE WHEN doc_id % 7 <> 0 THEN strftime(bd, '%Y-%m-%d') END birth, CASE WHEN doc_id % 7 <> 0 THEN strftime(ed, '%Y-%m-%d') END expiry FROM l""",
     "confusable_digits": """WITH k AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') s FROM customer), p AS (SELECT c_custkey, s, unnest(range(1, 7)) i FROM k)
       SELECT c_custkey, substr(s, 1, i - 1) || translate(substr(s, i, 1), '08175639', '80716593') || substr(s, i + 1) variant FROM p WHERE substr(s, i, 1) NOT IN ('2', '4')""",
-    "label_matches": f"""WITH lex(o, canonical, "role") AS (VALUES {_LEXICON}),
-      p AS (SELECT p_partkey doc_id, p_type, ([{', '.join(f"'{x}'" for x, _ in LABELS)}])[CAST(p_partkey % {len(LABELS)} AS INTEGER) + 1] lb FROM part),
+    "label_matches": f"""WITH lex(o, canonical, "role", code) AS (VALUES {_LEXICON}),
+      p AS (SELECT p_partkey doc_id, p_type, canonical lb FROM part JOIN lex ON o = p_partkey % 34),
       q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lb || ':' WHEN 1 THEN translate(lb, 'IO', '10') WHEN 2 THEN lower(lb) WHEN 3 THEN p_type ELSE substr(lb, 1, 3) || 'X' || substr(lb, 5) END phrase FROM p),
       f AS (SELECT *, trim(regexp_replace(upper(phrase), '[^A-Z0-9]+', ' ', 'g')) form FROM q),
-      m AS (SELECT doc_id, phrase, form, o, canonical, "role", form = canonical "exact", round(1 - levenshtein(form, canonical) / CAST(greatest(length(form), length(canonical)) AS DOUBLE), 6) score FROM f JOIN lex ON abs(length(form) - length(canonical)) <= 3),
-      b AS (SELECT * FROM m WHERE "exact" OR (length(canonical) >= 5 AND score >= 0.85) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "exact" DESC, score DESC, length(canonical) DESC, o) = 1)
-      SELECT f.doc_id, f.phrase, canonical, "role", "exact", score, f.form IN ({', '.join(f"'{x}'" for x in text.SENTINELS)}) sentinel FROM f LEFT JOIN b USING (doc_id)""",
+      m AS (SELECT doc_id, phrase, form, o, code, canonical, "role", form = canonical "exact", 1 - levenshtein(form, canonical) / CAST(greatest(length(form), length(canonical)) AS DOUBLE) score FROM f JOIN lex ON abs(length(form) - length(canonical)) <= 3),
+      b AS (SELECT * FROM m WHERE "exact" OR (NOT code AND length(canonical) >= 5 AND score >= 0.85) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "exact" DESC, score DESC, length(canonical) DESC, o) = 1)
+      SELECT f.doc_id, f.phrase, canonical, "role", "exact", round(score, 6) score, f.form IN ({_SENTINELS}) sentinel FROM f LEFT JOIN b USING (doc_id)""",
 }

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridate.plans import evidence, orders, readings, signals, streams
+from veridate.plans import evaluation, evidence, orders, pages, readings, signals, streams
 
 FLAGSHIP = "verdict_per_order"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _plan in (orders, readings, signals, evidence, streams):
+for _plan in (orders, readings, signals, evidence, pages, evaluation, streams):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -32,9 +32,9 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of Latin and other scripts in each document; some get a Cyrillic line."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("СРОК ДЕЙСТВИЯ "), F.substring("text", 1, 30))).otherwise(F.col("text")).alias("text"))
-    p = docs.select("doc_id", text.latin_letters(F.col("text")).alias("latin"), text.other_letters(F.col("text")).alias("other"))
+    """Letters of Latin and other scripts in each document; some get Cyrillic, Hangul and Syriac words, many times."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.repeat(F.lit(" СРОК ДЕЙСТВИЯ 한국 ܫܠܡܐ"), (F.col("doc_id") % 90 + 1).cast("int")))).otherwise(F.col("text")).alias("text"))
+    p = docs.select("doc_id", text.latin_letters(F.col("text")).alias("latin"), text.other_letters(F.col("text")).alias("other"), text.non_latin_dominant(F.col("text")).alias("dominant"))
     return p.withColumn("unsupported", text.unsupported_script(F.col("latin"), F.col("other")))
 
 
@@ -134,9 +134,11 @@ ORACLES = {
       z AS (SELECT unnest({_W}) w, unnest({_H}) h)
       SELECT doc_id, width, height, CASE WHEN abs(r - CAST(85.6 AS DOUBLE) / 54) <= CAST(0.14 AS DOUBLE) THEN 'ID1_CARD' WHEN r BETWEEN 1.25 AND 1.47 THEN 'PAPER' WHEN r < 1.1 THEN 'SQUARE' ELSE 'UNUSUAL' END shape, dpi,
         EXISTS (SELECT 1 FROM z WHERE (abs(width - w) <= 2 AND abs(height - h) <= 2) OR (abs(width - h) <= 2 AND abs(height - w) <= 2)) screen, b < 51200 AND dpi < 150 too_low FROM g""",
-    "script_profiles": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'СРОК ДЕЙСТВИЯ ' || substr(text, 1, 30) ELSE text END x FROM documents),
-      c AS (SELECT doc_id, CAST(length(regexp_replace(x, '[^A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) AS INTEGER) latin, CAST(length(regexp_replace(x, '[^Ͱ-ϿЀ-ԯ԰-֏֐-׿؀-ۿऀ-෿฀-໿぀-ヿ가-힯一-鿿]', '', 'g')) AS INTEGER) other FROM d)
-      SELECT *, other >= 3 AND other / CAST(greatest(latin + other, 1) AS DOUBLE) >= 0.3 unsupported FROM c""",
+    "script_profiles": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || repeat(' СРОК ДЕЙСТВИЯ 한국 ܫܠܡܐ', CAST(doc_id % 90 + 1 AS INTEGER)) ELSE text END x FROM documents),
+      c AS (SELECT doc_id, CAST(length(regexp_replace(x, '[^A-Za-z\x{c0}-\x{24f}]', '', 'g')) AS INTEGER) latin,
+        CAST(length(regexp_replace(x, '[^\x{370}-\x{3ff}\x{400}-\x{52f}\x{530}-\x{58f}\x{590}-\x{5ff}\x{600}-\x{6ff}\x{700}-\x{74f}\x{750}-\x{77f}\x{900}-\x{97f}\x{980}-\x{dff}\x{e00}-\x{e7f}\x{1100}-\x{11ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) AS INTEGER) other,
+        length(regexp_replace(x, '[\x{0}-\x{36f}]', '', 'g')) beyond, length(regexp_replace(x, '[^0-\x{24f}]', '', 'g')) near FROM d)
+      SELECT doc_id, latin, other, beyond + near > 0 AND beyond / CAST(greatest(beyond + near, 1) AS DOUBLE) >= 0.3 dominant, latin + other >= 3 AND other / CAST(greatest(latin + other, 1) AS DOUBLE) >= 0.3 unsupported FROM c""",
     "page_grounding": r"""WITH p AS (SELECT page_id, regexp_extract(url, '/(\d+)', 1) number, trim(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) plain FROM pages)
       SELECT page_id, number, CAST(length(plain) AS INTEGER) n_chars, number <> '' AND contains(regexp_replace(plain, '[^0-9]', '', 'g'), number) grounded FROM p""",
     "cross_checks": """WITH c AS (SELECT c_custkey doc_id, [c_custkey % 11 <> 0, c_custkey % 6 <> 0, c_custkey % 8 <> 0] there, [c_custkey % 9 = 0, c_custkey % 10 = 0, c_custkey % 14 = 0] off FROM customer),

@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
 from veridate.operators import limits
 from veridate.sources import files
@@ -12,6 +13,13 @@ def test_uploads(spark, tmp_path):
     found = {r.path[-6:]: (r.mime, r.rejected) for r in df.collect()}
     assert found["a.docx"] == found["/b.png"] == ("image/png", None)
     assert found["/c.jpg"] == (None, "UNSUPPORTED_TYPE") and found["e.heic"][0] == "image/heic"
+    for brand, kind in ((b"avif", "image/avif"), (b"mif1", "image/heif"), (b"isom", None), (b"mp42", None)):
+        r = spark.createDataFrame([(b"\0\0\0\x18ftyp" + brand + b"....",)], "c binary").select(files.sniff(F.col("c")).alias("m")).first()
+        assert r.m == kind
+    files.write_manifest(df, str(tmp_path / "manifest"))
+    assert {(r.filename, r.mime) for r in spark.read.json(str(tmp_path / "manifest")).collect()} >= {("b.png", "image/png"), ("c.jpg", None)}
+    r = spark.range(1).select(*(files.pages_to_process(F.lit(n)).alias(f"p{n}") for n in (0, 2, 9)), files.positive_number(F.lit("2.5"), F.lit(1.0)).alias("a"), files.positive_number(F.lit("-3"), F.lit(1.0)).alias("b"), files.positive_number(F.lit("x"), F.lit(1.0)).alias("c")).first()
+    assert [tuple(r[f"p{n}"]) for n in (0, 2, 9)] == [(1, False), (2, False), (3, True)] and (r.a, r.b, r.c) == (2.5, 1.0, 1.0)
     once = files.once_by_content(df.where("rejected is null"), lambda d: d.selectExpr("content_hash", "length(content) n"))
     assert sorted(r.n for r in once.collect()) == [16, 28, 28]
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: File signatures as upper-case hex of the first bytes.
 SIGNATURES = [("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("47494638", "image/gif"), ("25504446", "application/pdf"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff")]
-MAX_BYTES = 4_500_000
+#: Brands of the media container and the image types they stand for; other brands are video.
+BRANDS = {"avif": "image/avif", "avis": "image/avif", "mif1": "image/heif", "heic": "image/heic", "heix": "image/heic"}
+MAX_BYTES, MOST_PAGES = 4_500_000, 3
 
 
 def sniff(content: Column) -> Column:
@@ -17,8 +19,10 @@ def sniff(content: Column) -> Column:
     for start, kind in SIGNATURES:
         out = out.when(head.startswith(start), kind)
     riff = head.startswith("52494646") & head.endswith("57454250")
-    heif = F.substring(head, 9, 8) == "66747970"
-    return out.when(riff, "image/webp").when(heif, "image/heic")
+    out = out.when(riff, "image/webp")
+    for brand, kind in BRANDS.items():
+        out = out.when((F.substring(head, 9, 8) == "66747970") & (F.substring(head, 17, 8) == brand.encode().hex().upper()), kind)
+    return out
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +55,22 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def write_manifest(files: DataFrame, path: str) -> None:
+    """One JSON row a file with its name, type, size and content hash, as `manifest` reads it line by line too."""
+    files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "mime", F.col("length").alias("bytes"), "content_hash", "rejected").write.json(path)
+
+
+def pages_to_process(pages: Column, most: int = MOST_PAGES) -> Column:
+    """Struct (process, truncated): at least one page and at most `most` are looked at."""
+    return F.struct(F.greatest(F.lit(1), F.least(pages, F.lit(most))).alias("process"), (pages > most).alias("truncated"))
+
+
+def positive_number(text: Column, otherwise: Column) -> Column:
+    """A setting that has to be a number above zero, else its default."""
+    value = text.try_cast("double")
+    return F.when((value > 0) & (value < float("inf")), value).otherwise(otherwise)
+
+
 def deliver(payloads: DataFrame, path: str, key: str = "idempotency_key") -> int:
     """Append the payloads whose key was not delivered before; returns how many are delivered in all. Delivering twice changes nothing."""
     spark = payloads.sparkSession

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from veridate.functions import dates, labels, machine, text, tokens
@@ -52,25 +51,29 @@ def test_date_shapes(spark):
     assert tuple(r) == ("04/23/2030", "23 APR 2030", "01/2026–01/2028")
 
 
-def page(spark, lines, convention="US", confidence=90.0, step=60):
-    rows = [(w, i, (100.0 + 130 * j, 100.0 + step * i, 220.0 + 130 * j, 130.0 + step * i), confidence) for i, ws in enumerate(lines) for j, w in enumerate(ws.split())]
-    df = spark.createDataFrame([(1, 1000.0, 1400.0, convention, rows)], f"doc_id long, width double, height double, convention string, tokens {pages.TOKENS}")
-    return pages.read_pages(df, as_of()).first()
-
-
-@pytest.mark.parametrize(
-    "lines, reason, isos",
-    [
-        (["EXPIRES 04/23/2030"], None, [D(2030, 4, 23)]), (["EXPIRES", "04/23/2030"], None, [D(2030, 4, 23)]), (["EXPIRATION DATE NONE", "04/23/2030 printed"], "NO_EXPIRY_SEMANTICS", None),
-        (["COVERAGE PERIOD 01/2026 – 01/2028"], None, [D(2028, 1, 31)]), (["EXPIRES", "23", "APR", "2030"], None, [D(2030, 4, 23)]), (["NEXT STATEMENT DATE 04/23/2030"], "NO_EXPIRY_SEMANTICS", None),
-        (["3 04/23/1990", "EXPIRES 04/23/2030"], None, [D(2030, 4, 23)]), (["4a 01/02/2020", "4b 01/02/2030", "3 05/06/1990"], None, [D(2030, 1, 2), D(2020, 1, 2), D(1990, 5, 6)]), ([], "NO_DATES_FOUND", None),
-    ],
-)
-def test_pages(spark, lines, reason, isos):
-    r = page(spark, lines, step=40)
-    assert r.reason == reason and (isos is None) == (r.candidates is None)
-    if isos:
-        assert [c.iso for c in r.candidates] == isos
+PAGES = [
+    (["EXPIRES 04/23/2030"], None, [D(2030, 4, 23)]), (["EXPIRES", "04/23/2030"], None, [D(2030, 4, 23)]), (["EXPIRATION DATE NONE", "04/23/2030 printed"], "NO_EXPIRY_SEMANTICS", None),
+    (["COVERAGE PERIOD 01/2026 – 01/2028"], None, [D(2028, 1, 31)]), (["EXPIRES", "23", "APR", "2030"], None, [D(2030, 4, 23)]), (["NEXT STATEMENT DATE 04/23/2030"], "NO_EXPIRY_SEMANTICS", None),
+    (["3 04/23/1990", "EXPIRES 04/23/2030"], None, [D(2030, 4, 23)]), (["4a 01/02/2020", "4b 01/02/2030", "3 05/06/1990"], None, [D(2030, 1, 2), D(2020, 1, 2), D(1990, 5, 6)]), ([], "NO_DATES_FOUND", None),
+]
+
+
+def test_pages(spark):
+    words = lambda lines: [(w, i, (100.0 + 130 * j, 100.0 + 40 * i, 220.0 + 130 * j, 130.0 + 40 * i), 90.0) for i, ws in enumerate(lines) for j, w in enumerate(ws.split())]
+    df = spark.createDataFrame([(n, 1000.0, 1400.0, "US", words(lines)) for n, (lines, _, _) in enumerate(PAGES)], f"doc_id long, width double, height double, convention string, tokens {pages.TOKENS}")
+    for r in pages.read_pages(df, as_of()).select("doc_id", "reason", "candidates").collect():
+        lines, reason, isos = PAGES[r.doc_id]
+        assert r.reason == reason, lines
+        assert ([c.iso for c in r.candidates] if r.candidates else None) == isos, lines
+
+
+def test_zone_area_and_plain_texts(spark):
+    line = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<"
+    df = spark.createDataFrame([(1, line, [0.1, 0.8, 0.9, 0.85]), (1, line, [0.1, 0.86, 0.95, 0.9]), (1, "else", [0.0, 0.0, 1.0, 0.1]), (2, "no zone", [0.0, 0.0, 1.0, 0.1]), (3, line, None)], "doc_id long, text string, bbox array<double>")
+    found = pages.zone_area(df).collect()
+    assert [r.doc_id for r in found] == [1] and [round(x, 6) for x in found[0].area] == [0.07, 0.25, 0.98, 0.93]
+    r = one(spark, a=text.same_value(F.lit("04-23-2030"), F.lit("04/23/2030")), b=text.same_value(F.lit("a1"), F.lit("A2")), c=text.client_ip(F.lit("1.2.3.4, 5.6.7.8"), F.lit("9.9.9.9")), d=text.client_ip(F.lit(None).cast("string"), F.lit(" 9.9.9.9")), e=text.client_ip(F.lit(""), F.lit(None).cast("string")))
+    assert tuple(r) == (True, False, "1.2.3.4", "9.9.9.9", "unknown")
 
 
 def test_zones(spark):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridate.functions import labels, text, tokens
+from veridate.functions import labels, machine, text, tokens
 from veridate.functions.dates import let
 from veridate.operators import layout
 
@@ -203,3 +203,17 @@ def lines(words: DataFrame) -> DataFrame:
     rows = F.aggregate("words", F.array().cast(f"array<{row}>"), put)
     found = pages.select("doc_id", "width", "height", F.posexplode(rows).alias("line_ord", "r"))
     return found.select("doc_id", "line_ord", F.array_join(F.transform(F.array_sort("r.words"), lambda w: w["text"]), " ").alias("text"), normal_box(F.col("r.box"), F.col("width"), F.col("height")).alias("bbox"))
+
+
+#: Least share of a zone's alphabet in a line, and how far the area reaches beyond its lines and above them.
+ZONE_ALPHABET, ZONE_PAD, ZONE_ABOVE = 0.93, 0.03, 0.55
+
+
+def zone_area(found: DataFrame) -> DataFrame:
+    """(doc_id, area) where a machine-readable zone may stand, from lines (doc_id, text, bbox): around all lines of a zone's length and alphabet."""
+    bare = F.regexp_replace("text", r"\s", "")
+    zone = found.where(F.col("bbox").isNotNull() & F.length(bare).isin([n for _, n, _ in machine.LAYOUTS]) & (machine.alphabet_ratio(F.col("text")) >= ZONE_ALPHABET))
+    side = lambda i, how: how(F.get("bbox", F.lit(i)))
+    low, high = lambda v: F.greatest(F.lit(0.0), v), lambda v: F.least(F.lit(1.0), v)
+    area = F.array(low(side(0, F.min) - ZONE_PAD), low(side(1, F.min) - ZONE_ABOVE), high(side(2, F.max) + ZONE_PAD), high(side(3, F.max) + ZONE_PAD))
+    return zone.groupBy("doc_id").agg(area.alias("area"))

@@ -350,3 +350,48 @@ def test_a_text_of_over_a_million_characters(spark):
     assert {r.doc_id for r in suffixes.repeats(docs).collect()} == {1, 3}
     pieces = packing.pack(docs, WORD, 2).collect()
     assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1)
+
+
+def test_packing_of_a_whole_table(spark):
+    library = Tokenizer.from_file(WORD)
+    library.encode_special_tokens = True
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries.op8_packing(spark, DATA).collect():
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    docs = {r.doc_id: r.text or "" for r in read(spark, DATA, "documents").collect()}
+    assert set(pieces) == set(docs)
+    for i, text in docs.items():
+        ids, at = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    padding = 0
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+        padding += own[0].padded_length - at
+    assert padding <= 0.02 * sum(r.length for own in sequences.values() for r in own) + 4096 * 8
+
+
+def test_token_files_of_a_whole_table(spark):
+    library = Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    start, expected = 0, []
+    for r in sorted(read(spark, DATA, "documents").collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        expected.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op9_token_files(spark, DATA).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == expected
+
+
+def test_held_out_accuracy(spark):
+    data, large = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+    quality_of = queries.op2_quality(spark, large).where("held_out").join(read(spark, large, "labels").select("doc_id", "quality"), "doc_id").cache()
+    language_of = queries.op7_language(spark, data).where("held_out").join(read(spark, data, "documents").select("doc_id", "lang"), "doc_id")
+    assert quality_of.where("predicted = quality").count() >= 0.98 * quality_of.count() > 0
+    assert language_of.where("lang_pred = lang").count() >= 0.97 * language_of.count() > 0

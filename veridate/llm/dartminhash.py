@@ -34,6 +34,8 @@ from veridate.llm.words import batches, mix, shingles
 _U = np.uint64
 #: Pairs for each text of a key that are compared before finer keys come in; texts, and elements of texts, of one block; elements of one matrix product; characters sketched at a time.
 PAIRS_A_TEXT, BLOCK, BLOCK_ELEMENTS, COLUMNS, SKETCHED = 512, 512, 500_000.0, 2048, 1_000_000
+#: Ids up to which they are broadcast to the texts, instead of moving all texts.
+FEW_IDS = 1_000_000
 _LOWEST = -8  #: the first rank cell is [0, 2**_LOWEST), each further one reaches twice as far
 
 
@@ -148,32 +150,35 @@ def numbered(texts: list[str], n: int, counts: bool) -> tuple[np.ndarray, np.nda
     return mix(h + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), own
 
 
-def shared(values: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of some sets of hashes share."""
-    size = np.array([len(v) for v in values])
-    doc = np.repeat(np.arange(len(values)), size)
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of some sets of hashes shares with each of some others."""
+    values, split = [*left, *right], len(left)
+    doc = np.repeat(np.arange(len(values)), [len(v) for v in values])
     _, column, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     keep = times[column] > 1  # an element of one set alone is shared with none
     _, column = np.unique(column[keep], return_inverse=True)
     doc, order = doc[keep], np.argsort(column, kind="stable")
     doc, column = doc[order], column[order]
-    out = np.zeros((len(values), len(values)), np.float32)
+    out = np.zeros((split, len(right)), np.float32)
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, [low, low + COLUMNS])
         some = np.zeros((len(values), COLUMNS), np.float32)
         some[doc[a:b], column[a:b] - low] = 1
-        out += some @ some.T
+        out += some[:split] @ some[split:].T
     return out
 
 
 def joining(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links (a, b) between similar rows (id, component, value) that join components: a forest, whatever the number of similar pairs."""
-    part = part.drop_duplicates("id")
-    ids, both = part["id"].to_numpy(), shared(part["value"].tolist()).astype(np.float64)
-    size = np.array([len(v) for v in part["value"]], np.float64)
-    total = size[:, None] + size[None, :] - both
-    names = part["component"].to_numpy()
-    x, y = np.nonzero(np.triu((both >= threshold * total - 1e-9) & (names[:, None] != names[None, :]), 1))
+    """Links (a, b) between similar rows (id, component, value, first), one of them marked first, that join components: a forest, whatever the number of similar pairs."""
+    part = part.drop_duplicates(["id", "first"])
+    left, right = part[part["first"]], part[~part["first"]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    both = shared(left["value"].tolist(), right["value"].tolist()).astype(np.float64)
+    sizes = [np.array([len(v) for v in side["value"]], np.float64) for side in (left, right)]
+    names = [side["component"].to_numpy() for side in (left, right)]
+    total = sizes[0][:, None] + sizes[1][None, :] - both
+    x, y = np.nonzero((both >= threshold * total - 1e-9) & (names[0][:, None] != names[1][None, :]))
     top: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -181,12 +186,12 @@ def joining(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
             top[i] = i = top.get(up, up)
         return i
 
-    links = []
+    links, a_ids, b_ids = [], left["id"].tolist(), right["id"].tolist()
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = find(int(names[i])), find(int(names[j]))
+        a, b = find(int(names[0][i])), find(int(names[1][j]))
         if a != b:
             top[max(a, b)] = min(a, b)
-            links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            links.append((min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j])))
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
@@ -212,8 +217,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
 
     sketched = table(map_frames(own.where("id is not null").select("id", "text"), sketch, "id long, keys array<long>, sketch long"))
     members = table(repeated(sketched.select(F.explode("keys").alias("key"), "id", "sketch")))
-    wanted = members.select("id").distinct()
-    texts = table(own.join(wanted, "id", "left_semi").groupBy("id").agg(F.first(F.struct("check", "text")).alias("one")).select("id", "one.check", "one.text"))
+    texts = table(own.join(_few(members), "id", "left_semi").groupBy("id").agg(F.first(F.struct("check", "text")).alias("one")).select("id", "one.check", "one.text"))
 
     def similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -249,7 +253,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
 
     def across(some: DataFrame) -> DataFrame:
         small_batches(docs.sparkSession)
-        own = texts.join(some.select("id").distinct(), "id", "left_semi").select("id", "text")
+        own = texts.join(_few(some), "id", "left_semi").select("id", "text")
         return in_blocks(some, map_frames(own, values, "id long, value array<long>"), lambda part: joining(part, threshold), BLOCK, BLOCK_ELEMENTS)
 
     linked = link(members, verify, finer, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9, across, PAIRS_A_TEXT)
@@ -258,6 +262,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
     return out
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """The distinct ids of some rows, broadcast if they are few."""
+    ids = table(rows.select("id").distinct())
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def _stand(own: DataFrame, linked: DataFrame) -> DataFrame:
     """Class figures of rows (doc_id, id, check, key), given the components of linked texts (id, check)."""
     placed = table(own.withColumn("row", F.monotonically_increasing_id()))

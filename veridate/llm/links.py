@@ -85,34 +85,45 @@ def _led(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataF
     return _pairs(asked, heads, ["key"], alike, F.col("cx") != F.col("cy"))
 
 
+def _dealt(members: DataFrame, most: int, heaviest: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Outliers of each key (members outside its largest component), and all its members, dealt into (key, p, q): blocks p of outliers and q of members, each two of which meet once.
+
+    A group of alike members with few outliers costs a row for each, not its square.
+    """
+    blocks = lambda n, weight: F.ceil(n / most) if heaviest is None else F.ceil(F.greatest(n / most, weight / heaviest))
+    some = members.withColumns({"ps": F.greatest(F.lit(1), blocks(F.col("outliers"), F.col("weight") * F.col("outliers") / F.col("n"))).cast("int"), "qs": blocks(F.col("n"), F.col("weight")).cast("int")})
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
+    a = some.where("outlier").withColumn("p", own("ps")).withColumn("q", F.explode(F.expr("sequence(0, qs - 1)")))
+    b = some.withColumn("q", own("qs")).withColumn("p", F.explode(F.expr("sequence(0, ps - 1)")))
+    return a, b
+
+
 def sketched(members: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
-    """All pairs of members of one key (with n) that are in different components and may be similar; a large key is dealt out in blocks, each two of which meet once."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    a = dealt.withColumn("q", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "p")
-    b = dealt.withColumn("p", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "q")
-    return _pairs(_side(a, "x", "key", "p", "q"), _side(b, "y", "key", "p", "q"), ["key", "p", "q"], alike, F.expr("cx <> cy and (p < q or x < y)"))
+    """All pairs of members of one key that are in different components and may be similar."""
+    a, b = _dealt(members, BLOCK)
+    at = ["key", "p", "q"]
+    return _pairs(_side(a, "x", *at), _side(b, "y", *at, "outlier"), at, alike, F.expr("cx <> cy and (not outlier or x < y)"))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the keys that still hold several components, with n (members of the key), weight (of their sketches) and pairs (between components)."""
+    """Members of the keys that still hold several components, with n (members of the key), weight (of their sketches), pairs (between components), outlier (not in the key's largest component) and outliers (how many)."""
     now = table(members.select("key", "id", "sketch").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("sketch").cast("double")).alias("weight"))
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("count") * F.col("count")).alias("squares")).where("parts > 1")
-    out = table(now.join(keys.select("key", "n", "weight", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "key"))
+    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("main")).where("parts > 1")
+    figures = keys.select("key", "n", "weight", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), (F.col("n") - F.col("main.count")).alias("outliers"), F.col("main.component").alias("main"))
+    out = table(now.join(figures, "key").withColumn("outlier", F.col("component") != F.col("main")).drop("main"))
     drop(now)
     return out
 
 
 def in_blocks(members: DataFrame, values: DataFrame, check: Callable[[pd.DataFrame], pd.DataFrame], most: int, heaviest: float) -> DataFrame:
-    """Links (a, b) that `check` finds between the members (with n and weight of their key) of one key, given the rows of two blocks with values (id, value) and component.
+    """Links (a, b) that `check` finds between outliers (first: true) and members (first: false) of one key, given the rows of two blocks with values (id, value) and component.
 
-    Blocks hold about `most` members or `heaviest` weight; each two blocks of a key meet once.
+    Blocks hold about `most` members or `heaviest` weight.
     """
-    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("weight") / heaviest)).cast("int")
-    dealt = members.select("key", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "id", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    return dealt.join(values, "id").groupBy("key", "p", "q").applyInPandas(check, "a long, b long").distinct()
+    a, b = _dealt(members, most, heaviest)
+    rows = lambda side, first: side.select("key", "p", "q", "id", "component", F.lit(first).alias("first"))
+    return rows(a, True).unionByName(rows(b, False)).join(values, "id").groupBy("key", "p", "q").applyInPandas(check, "a long, b long").distinct()
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], across: Callable[[DataFrame], DataFrame], pairs_a_member: int) -> DataFrame:

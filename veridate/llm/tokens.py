@@ -16,11 +16,13 @@ import re
 
 import numpy as np
 
-from veridate.llm.words import Spans, batches, join, tables
+from veridate.llm.words import DIGIT, LETTER, SPACE, Spans, batches, join, tables
 
 #: Characters with which the class rules below equal the library's own splitting and normalisation.
 UNSURE = re.compile("[^\t\n\r\x20-\x26\x28-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
 _SLOTS = 1 << 20
+#: Kind of run of each combination of class bits: 0 white space, 1 letters, 2 digits, 3 others.
+_RUNS = np.array([0 if b & SPACE else 2 if b & DIGIT else 1 if b & LETTER else 3 for b in range(256)], np.uint8)
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -130,11 +132,7 @@ class Encoder:
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, starts = join(texts)
         kinds, lower = tables()
-        bits = kinds[cp]
-        kind = np.full(len(cp), 3, np.uint8)
-        kind[(bits & 8) > 0] = 1
-        kind[(bits & 2) > 0] = 2
-        kind[(bits & 16) > 0] = 0
+        kind = _RUNS[kinds[cp]]
         kind[starts[1:] - 1] = 4
         begin, end = self._borders(kind, cp)
         folded = lower[cp] if self.style == "words" else cp

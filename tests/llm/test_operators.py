@@ -395,3 +395,9 @@ def test_held_out_accuracy(spark):
     language_of = queries.op7_language(spark, data).where("held_out").join(read(spark, data, "documents").select("doc_id", "lang"), "doc_id")
     assert quality_of.where("predicted = quality").count() >= 0.98 * quality_of.count() > 0
     assert language_of.where("lang_pred = lang").count() >= 0.97 * language_of.count() > 0
+
+
+def test_equal_texts_of_fewer_words_do_not_repeat(spark):
+    text = lambda n: " ".join(f"v{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text(49)), (2, text(49)), (3, "x " + text(50)), (4, "y " + text(50))], "doc_id long, text string")
+    assert {r.doc_id for r in suffixes.repeats(docs.where("doc_id < 3")).collect()} == set() and {r.doc_id for r in suffixes.repeats(docs).collect()} == {3, 4}

@@ -158,7 +158,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     proven = windows.where("low = high").join(twice, ["window", "check"], "left_semi").select("ctx", "j", F.lit(least).alias("width"))
     places = found.select("ctx", "id", "pos", F.size("left").alias("before"), F.size("right").alias("after"))
     spans = places.join(sure.unionByName(proven), "ctx").select("id", F.greatest(F.lit(0), F.col("pos") - F.least("j", "before")).alias("a"), F.least(F.col("pos") - F.col("j") + F.col("width"), F.col("pos") + F.col("after")).alias("b")).where(f"b - a >= {least}")
-    copies = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(anchors.select("id", "n_words").distinct(), "id").select("id", F.lit(0).alias("a"), F.col("n_words").alias("b"))
+    copies = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(anchors.where(F.col("n_words") >= least).select("id", "n_words").distinct(), "id").select("id", F.lit(0).alias("a"), F.col("n_words").alias("b"))
     ordered = spans.unionByName(copies).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("parts"))
     merged = ordered.select("id", F.expr("""aggregate(parts, cast(array() as array<struct<a:int,b:int>>),
         (acc, x) -> if(size(acc) > 0 and x.a <= element_at(acc, -1).b,

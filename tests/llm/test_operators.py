@@ -401,3 +401,18 @@ def test_equal_texts_of_fewer_words_do_not_repeat(spark):
     text = lambda n: " ".join(f"v{i}" for i in range(n))
     docs = spark.createDataFrame([(1, text(49)), (2, text(49)), (3, "x " + text(50)), (4, "y " + text(50))], "doc_id long, text string")
     assert {r.doc_id for r in suffixes.repeats(docs.where("doc_id < 3")).collect()} == set() and {r.doc_id for r in suffixes.repeats(docs).collect()} == {3, 4}
+
+
+def test_passages_that_begin_or_end_within_runs_of_one_word(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(40):
+        word, other, m = f"r{n}", f"q{n}", int(rng.integers(30, 46))
+        rows += [f"{word} " * m + f"{other} " * (52 - m), f"{word} " * (m + 15) + f"{other} " * (58 - m), f"{word} " * (m - 1) + f"{other} " * (52 - m)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4, "doc_id")
+    where = defaultdict(set)
+    for i, t in enumerate(rows):
+        w = t.split()
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    assert {r.doc_id for r in suffixes.repeats(docs).collect()} == {i for own in where.values() if len(own) > 1 for i in own}

@@ -42,13 +42,17 @@ def _slide(h: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def minimisers(h: np.ndarray, span: int) -> np.ndarray:
-    """Positions of k-gram hashes that are smallest in some window of `span`; of a run of one k-gram, one in `span` // 2."""
+    """Positions of k-gram hashes that are smallest in some window of `span`; of a run of one k-gram the first, the last, and one in `span` // 2 from the first on.
+
+    The ends of a run are places that its copies share, however long the run is elsewhere.
+    """
     if len(h) < span:
         return np.zeros(0, np.int64)
     at = np.arange(len(h))
     same = np.concatenate([[False], h[1:] == h[:-1]])
     since = at - np.maximum.accumulate(np.where(same, 0, at))
-    keyed = np.where(same & (since % (span // 2) != 0), np.uint64(0xFFFFFFFFFFFFFFFF), h)
+    inner = same & np.concatenate([h[1:] == h[:-1], [False]])
+    keyed = np.where(inner & (since % (span // 2) != 0), np.uint64(0xFFFFFFFFFFFFFFFF), h)
     low = _slide(keyed, span, np.minimum)
     edge = np.zeros(span - 1, np.uint64)
     return np.flatnonzero(_slide(np.concatenate([edge, low, edge]), span, np.maximum) == keyed)

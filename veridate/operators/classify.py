@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import chain
 from operator import or_
 
 from pyspark.sql import Column

@@ -105,10 +105,10 @@ def sketched(members: DataFrame, alike: Callable[[Column, Column], Column]) -> D
     return _pairs(_side(a, "x", *at), _side(b, "y", *at, "outlier"), at, alike, F.expr("cx <> cy and (not outlier or x < y)"))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, weight: Column) -> DataFrame:
     """Members of the keys that still hold several components, with n (members of the key), weight (of their sketches), pairs (between components), outlier (not in the key's largest component) and outliers (how many)."""
     now = table(members.select("key", "id", "sketch").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("sketch").cast("double")).alias("weight"))
+    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(weight).alias("weight"))
     keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("main")).where("parts > 1")
     figures = keys.select("key", "n", "weight", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), (F.col("n") - F.col("main.count")).alias("outliers"), F.col("main.component").alias("main"))
     out = table(now.join(figures, "key").withColumn("outlier", F.col("component") != F.col("main")).drop("main"))
@@ -126,14 +126,15 @@ def in_blocks(members: DataFrame, values: DataFrame, check: Callable[[pd.DataFra
     return rows(a, True).unionByName(rows(b, False)).join(values, "id").groupBy("key", "p", "q").applyInPandas(check, "a long, b long").distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], across: Callable[[DataFrame], DataFrame], pairs_a_member: int) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], across: Callable[[DataFrame], DataFrame], pairs_a_member: int, weight: Column | None = None) -> DataFrame:
     """(id, component) of all ids with a link.
 
     members: distinct (key, id, sketch).  verify: keeps those rows of (a, b) that are similar.  finer: other keys
     (key, id, sketch) of given ids, of which two similar ids share one at least.  alike: holds for the sketches of
     all similar pairs.  across: links that join the components of members of one key.  pairs_a_member: pairs between
-    components up to which a key has all of them checked at once.
+    components up to which a key has all of them checked at once.  weight: of a member, for blocks; its sketch if not given.
     """
+    weight = F.col("sketch").cast("double") if weight is None else weight
     found: list[DataFrame] = []
     small = F.col("pairs") <= pairs_a_member * F.col("n")
 
@@ -142,7 +143,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Ca
         return components(reduce(DataFrame.unionByName, found))
 
     named = labels(verify(_led(members.withColumn("component", F.col("id")), alike)))
-    rest = _open(members, named)
+    rest = _open(members, named, weight)
     if rest.isEmpty():
         drop(rest, *found)
         return named
@@ -151,10 +152,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Ca
         named = labels(across(rest))
         drop(rest, *found)
         return named
-    split = _open(repeated(finer(large.select("id").distinct())), named)
+    split = _open(repeated(finer(large.select("id").distinct())), named, weight)
     drop(named)
     named = labels(across(rest.where(small)), across(split.where(small)), verify(_led(split.where(~small), alike)))
-    last = _open(split.where(~small), named)
+    last = _open(split.where(~small), named, weight)
     if not last.isEmpty():
         named = labels(across(last))
     drop(rest, split, last, *found)

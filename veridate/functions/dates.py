@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridate.functions import sql
+
 #: Month names by number, in five languages.
 MONTHS = {
     1: "JAN JANUARY ENE ENERO JANVIER JANUAR GEN", 2: "FEB FEBRUARY FEBRERO FEVRIER FÉVRIER FEBRUAR", 3: "MAR MARCH MARZO MARS MARZ MÄRZ", 4: "APR APRIL ABR ABRIL AVR AVRIL",
@@ -69,96 +71,81 @@ def mrz_date(value: Column, role: Column, as_of: Column) -> Column:
     return F.when(v.rlike(r"^\d{6}$"), ymd(full_year(part(1), role, as_of), part(3), part(5)))
 
 
-def _month_number(word: Column) -> Column:
-    cases = F
-    for number, names in MONTHS.items():
-        cases = cases.when(word.isin(names.split()), number)
-    return cases
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with `value` computed once and bound, where a deep expression would repeat it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _reading(iso: Column, rule: str, ambiguous: Column | None = None, alternatives: Column | None = None) -> Column:
-    none = F.array().cast("array<date>")
-    return F.struct(iso.alias("iso"), (F.lit(False) if ambiguous is None else ambiguous).alias("ambiguous"), (none if alternatives is None else alternatives).alias("alternatives"), F.lit(rule).alias("rule"))
+def ymd_sql(year: str, month: str, day: str) -> str:
+    return f"if({year} between 1900 and 2200, try_to_date(format_string('%04d-%02d-%02d', {year}, {month}, {day}), 'yyyy-MM-dd'), null)"
 
 
-def _year_of(token: Column, role: Column, as_of: Column) -> Column:
-    return F.when(F.length(token) == 4, token.try_cast("int")).otherwise(full_year(token.try_cast("int"), role, as_of))
+def _full_year_sql(yy: str, role: str, as_of: str) -> str:
+    """full_year() as SQL text."""
+    century = "(c.now - c.now % 100 + c.yy)"
+    nearest = ", ".join(f"struct(abs({century} + {k} - c.now), {century} + {k} as year)" for k in (-100, 0, 100))
+    return sql.let("c", f"named_struct('yy', {yy}, 'now', year({as_of}))", f"if({role} = 'DATE_OF_BIRTH', if({century} > c.now, {century} - 100, {century}), array_min(array({nearest})).year)")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with `value` computed once and bound, where a deep expression would repeat it."""
-    return F.transform(F.array(value), body)[0]
+def _read_sql(iso: str, rule: str, ambiguous: str = "false", alternatives: str = "cast(array() as array<date>)") -> str:
+    return f"named_struct('iso', cast({iso} as date), 'ambiguous', {ambiguous}, 'alternatives', {alternatives}, 'rule', '{rule}')"
 
 
-def _triple(first: Column, second: Column, year: Column, convention: Column) -> Column:
-    """Three numbers: whichever order the calendar allows, else the issuer's convention, else ambiguous."""
+def _whole_sql(date: str, rule: str, invalid: str = "numeric_invalid") -> str:
+    return sql.let("w", date, f"if(w is null, {_read_sql('null', invalid)}, {_read_sql('w', rule)})")
 
-    def decide(r: Column) -> Column:
-        mdy, dmy = r["mdy"], r["dmy"]
-        return (
-            F.when(mdy.isNotNull() & dmy.isNull(), _reading(mdy, "numeric_mdy_only"))
-            .when(dmy.isNotNull() & mdy.isNull(), _reading(dmy, "numeric_dmy_only"))
-            .when(mdy.isNull(), _reading(F.lit(None).cast("date"), "numeric_invalid"))
-            .when(convention == "US", _reading(mdy, "numeric_us_issuer"))
-            .when(convention == "DMY", _reading(dmy, "numeric_dmy_issuer"))
-            .otherwise(_reading(F.lit(None).cast("date"), "numeric_ambiguous", F.lit(True), F.array(mdy, dmy)))
-        )
 
-    numbers = F.struct(first.try_cast("int").alias("a"), second.try_cast("int").alias("b"), year.alias("y"))
-    return let(numbers, lambda n: let(F.struct(ymd(n["y"], n["a"], n["b"]).alias("mdy"), ymd(n["y"], n["b"], n["a"]).alias("dmy")), decide))
+def _triple_sql(first: str, second: str, year: str, convention: str) -> str:
+    """Three numbers: whichever order the calendar allows, else the issuer's convention, else ambiguous."""
+    decide = f"""case when d.mdy is not null and d.dmy is null then {_read_sql("d.mdy", "numeric_mdy_only")} when d.dmy is not null and d.mdy is null then {_read_sql("d.dmy", "numeric_dmy_only")}
+        when d.mdy is null then {_read_sql("null", "numeric_invalid")} when {convention} = 'US' then {_read_sql("d.mdy", "numeric_us_issuer")} when {convention} = 'DMY' then {_read_sql("d.dmy", "numeric_dmy_issuer")}
+        else {_read_sql("null", "numeric_ambiguous", "true", "array(d.mdy, d.dmy)")} end"""
+    both = f"named_struct('mdy', {ymd_sql('n.y', 'n.a', 'n.b')}, 'dmy', {ymd_sql('n.y', 'n.b', 'n.a')})"
+    return sql.let("n", f"named_struct('a', try_cast({first} as int), 'b', try_cast({second} as int), 'y', {year})", sql.let("d", both, decide))
 
 
-def _named(month: Column, numbers: Column, role: Column, as_of: Column) -> Column:
+def _named_sql(month: str, numbers: str, role: str, as_of: str) -> str:
     """A month name with a year, and a day if there is one."""
-    one, two = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2))
-    large = F.try_element_at(F.filter(numbers, lambda n: n >= 1000), F.lit(1))
-    small = F.try_element_at(F.filter(numbers, lambda n: n != large), F.lit(1))
-    year = F.when(large.isNotNull(), large).when(two.isNull(), full_year(one, role, as_of)).otherwise(full_year(F.greatest(one, two), role, as_of))
-    day = F.when(large.isNotNull(), small).when(two.isNotNull(), F.least(one, two))
-
-    def read(p: Column) -> Column:
-        whole = ymd(p["y"], p["m"], p["d"])
-        return F.when(p["d"].isNull(), _reading(F.last_day(ymd(p["y"], p["m"], F.lit(1))), "month_year")).when(whole.isNull(), _reading(whole, "month_name_invalid")).otherwise(_reading(whole, "month_name"))
-
-    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), read)
+    parts = f"named_struct('one', try_element_at({numbers}, 1), 'two', try_element_at({numbers}, 2), 'large', try_element_at(filter({numbers}, v -> v >= 1000), 1))"
+    year = f"case when a.large is not null then a.large else {_full_year_sql('if(a.two is null, a.one, greatest(a.one, a.two))', role, as_of)} end"
+    day = f"case when a.large is not null then try_element_at(filter({numbers}, v -> v <> a.large), 1) when a.two is not null then least(a.one, a.two) end"
+    read = f"if(e.d is null, {_read_sql('last_day(' + ymd_sql('e.y', 'e.m', '1') + ')', 'month_year')}, {_whole_sql(ymd_sql('e.y', 'e.m', 'e.d'), 'month_name', 'month_name_invalid')})"
+    return sql.let("a", parts, sql.let("e", f"named_struct('y', {year}, 'm', {month}, 'd', {day})", read))
+
+
+def free_text_sql(raw: str, convention: str, role: str, as_of: str) -> str:
+    """free_text_date() as SQL text."""
+    iso, my, triple = (sql.text(x) for x in (rf"^(\d{{4}}){SEP}(\d{{1,2}}){SEP}(\d{{1,2}})$", rf"^(\d{{1,2}}){SEP}(\d{{4}}|\d{{2}})$", rf"^(\d{{1,2}}){SEP}(\d{{1,2}}){SEP}(\d{{4}}|\d{{2}})$"))
+    part = lambda pattern, i: f"regexp_extract(t, {pattern}, {i})"
+    number = lambda pattern, i: f"try_cast({part(pattern, i)} as int)"
+    year = lambda token: f"if(length({token}) = 4, try_cast({token} as int), {_full_year_sql(f'try_cast({token} as int)', role, as_of)})"
+    piece = lambda a, n: f"try_cast(substring(t, {a}, {n}) as int)"
+    month = "case " + " ".join(f"when m in ({sql.names(names.split())}) then {i}" for i, names in MONTHS.items()) + " end"
+    worded = sql.let("k", f"split(t, {sql.text(SEP)})", f"named_struct('m', try_element_at(filter(transform(k, m -> {month}), m -> m is not null), 1), 'n', transform(filter(k, v -> v rlike {sql.text(r'^[0-9]{1,4}$')}), v -> try_cast(v as int)))")
+    digits = sql.let("w", ymd_sql(piece(1, 4), piece(5, 2), piece(7, 2)), f"if(w is not null, {_read_sql('w', 'compact_ymd')}, {_triple_sql('substring(t, 1, 2)', 'substring(t, 3, 2)', piece(5, 4), convention)})")
+    body = f"""case when q.m is not null and size(q.n) > 0 then {_named_sql("q.m", "q.n", role, as_of)}
+        when t rlike {iso} then {_whole_sql(ymd_sql(number(iso, 1), number(iso, 2), number(iso, 3)), "iso_order")}
+        when t rlike {my} and {number(my, 1)} between 1 and 12 then {_read_sql("last_day(" + ymd_sql(year(part(my, 2)), number(my, 1), "1") + ")", "month_year")}
+        when t rlike {triple} then {_triple_sql(part(triple, 1), part(triple, 2), year(part(triple, 3)), convention)}
+        when t rlike {sql.text(r"^[0-9]{8}$")} then {digits} else {_read_sql("null", "unrecognised")} end"""
+    return sql.let("t", rf"trim(regexp_replace(replace(upper(trim({raw})), ',', ' '), r'\s+', ' '))", sql.let("q", f"if(t rlike '[A-Z]', {worded}, null)", body))
 
 
 def free_text_date(raw: Column, convention: Column, role: Column, as_of: Column) -> Column:
     """Struct (iso, ambiguous, alternatives, rule): month names, ISO order, month and year, three numbers, eight digits, in this order."""
-    null = F.lit(None).cast("date")
-    iso = rf"^(\d{{4}}){SEP}(\d{{1,2}}){SEP}(\d{{1,2}})$"
-    my = rf"^(\d{{1,2}}){SEP}(\d{{4}}|\d{{2}})$"
-    triple = rf"^(\d{{1,2}}){SEP}(\d{{1,2}}){SEP}(\d{{4}}|\d{{2}})$"
-
-    def body(text: Column) -> Column:
-        number = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
-        piece = lambda a, n: F.substring(text, a, n)
-        tokens = F.split(text, SEP)
-        month = F.try_element_at(F.filter(F.transform(tokens, _month_number), lambda m: m.isNotNull()), F.lit(1))
-        numbers = F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d{1,4}$")), lambda t: t.try_cast("int"))
-        whole = lambda d, rule: let(d, lambda x: F.when(x.isNull(), _reading(null, "numeric_invalid")).otherwise(_reading(x, rule)))
-        digits = let(ymd(piece(1, 4).try_cast("int"), piece(5, 2).try_cast("int"), piece(7, 2).try_cast("int")), lambda d: F.when(d.isNotNull(), _reading(d, "compact_ymd")).otherwise(_triple(piece(1, 2), piece(3, 2), piece(5, 4).try_cast("int"), convention)))
-        return (
-            F.when(text.rlike("[A-Z]") & month.isNotNull() & (F.size(numbers) > 0), _named(month, numbers, role, as_of))
-            .when(text.rlike(iso), whole(ymd(number(iso, 1), number(iso, 2), number(iso, 3)), "iso_order"))
-            .when(text.rlike(my) & number(my, 1).between(1, 12), _reading(F.last_day(ymd(_year_of(F.regexp_extract(text, my, 2), role, as_of), number(my, 1), F.lit(1))), "month_year"))
-            .when(text.rlike(triple), _triple(F.regexp_extract(text, triple, 1), F.regexp_extract(text, triple, 2), _year_of(F.regexp_extract(text, triple, 3), role, as_of), convention))
-            .when(text.rlike(r"^\d{8}$"), digits)
-            .otherwise(_reading(null, "unrecognised"))
-        )
-
-    return let(F.trim(F.regexp_replace(F.replace(F.upper(F.trim(raw)), F.lit(","), F.lit(" ")), r"\s+", " ")), body)
+    return sql.bind(free_text_sql("p.raw", "p.convention", "p.role", "p.as_of"), raw=raw, convention=convention, role=role, as_of=as_of)
 
 
-def date_range(raw: Column, convention: Column, role: Column, as_of: Column) -> Column:
-    """Struct (start, end) of two dates around a range mark; null unless there are two parts of which one is a date."""
+def range_sql(raw: str, convention: str, role: str, as_of: str) -> str:
+    """date_range() as SQL text."""
+    end = lambda i, role: f"{free_text_sql(f'try_element_at(g, {i})', convention, role, as_of)}.iso"
+    both = sql.let("h", f"""named_struct('start', {end(1, "'COVERAGE_START'")}, 'end', {end(2, role)})""", "if(h.start is not null or h.end is not null, h, null)")
+    return sql.let("g", f"filter(transform(split({raw}, {sql.text(RANGE)}), v -> trim(v)), v -> v <> '')", f"if(size(g) = 2, {both}, null)")
 
-    def body(parts: Column) -> Column:
-        start = free_text_date(F.try_element_at(parts, F.lit(1)), convention, F.lit("COVERAGE_START"), as_of)["iso"]
-        end = free_text_date(F.try_element_at(parts, F.lit(2)), convention, role, as_of)["iso"]
-        return let(F.struct(start.alias("start"), end.alias("end")), lambda r: F.when((F.size(parts) == 2) & (r["start"].isNotNull() | r["end"].isNotNull()), r))
 
-    return let(F.filter(F.transform(F.split(raw, RANGE), lambda p: F.trim(p)), lambda p: p != ""), body)
+def date_range(raw: Column, convention: Column, role: Column, as_of: Column) -> Column:
+    """Struct (start, end) of two dates around a range mark; null unless there are two parts of which one is a date."""
+    return sql.bind(range_sql("p.raw", "p.convention", "p.role", "p.as_of"), raw=raw, convention=convention, role=role, as_of=as_of)
 
 
 def confusable_variants(digits: Column) -> Column:
@@ -168,3 +155,8 @@ def confusable_variants(digits: Column) -> Column:
     at = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits))).otherwise(F.array().cast("array<int>"))
     changed = F.transform(at, lambda i: F.when(other(F.substring(digits, i, F.lit(1))).isNotNull(), F.concat(F.substring(digits, F.lit(1), i - 1), other(F.substring(digits, i, F.lit(1))), F.substring(digits, i + 1, F.length(digits)))))
     return F.filter(changed, lambda v: v.isNotNull())
+
+
+def probable_misread(raw: Column, satisfies: Callable[[Column], Column]) -> Column:
+    """Whether a text of six digits or more would satisfy a condition if an optical reader had taken one of its digits for another; the text itself is never changed."""
+    return (F.length(F.regexp_replace(raw, "[^0-9]", "")) >= 6) & F.exists(confusable_variants(raw), satisfies)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridate.functions import text
+from veridate.functions import sql, text
 
 #: Labels of a date that ends validity, of one that dates a statement, and field codes of licence cards.
 EXPIRY_LABELS = [
@@ -19,7 +19,15 @@ LEXICON = [*((x, "EXPIRY", False) for x in EXPIRY_LABELS), *((x, "STATEMENT_PERI
 #: Codes that mark a licence card's layout, and words before a label that make its date one to come.
 LAYOUT_CODES, FORWARD = ["4A", "4B", "4D"], ["NEXT", "UPCOMING", "FOLLOWING"]
 MOST_WORDS, FUZZY, FUZZY_LENGTH, FUZZY_SLACK = 3, 0.85, 5, 3
-_ENTRY = "struct<canonical:string,role:string,code:boolean,score:double,exact:boolean,ord:int>"
+
+
+def match_sql(form: str) -> str:
+    """match() as SQL text."""
+    entries = ", ".join(f"named_struct('canonical', {sql.text(c)}, 'role', '{r}', 'code', {str(k).lower()}, 'ord', {i})" for i, (c, r, k) in enumerate(LEXICON))
+    like = f"cast(if(e.canonical = {form}, 1, 1 - levenshtein(e.canonical, {form}) / greatest(length(e.canonical), length({form}))) as double)"
+    kept = f"e.canonical = {form} or not e.code and length(e.canonical) >= {FUZZY_LENGTH} and e.score >= {FUZZY}"
+    near = f"transform(filter(array({entries}), e -> abs(length(e.canonical) - length({form})) <= {FUZZY_SLACK}), e -> struct({like} as score, length(e.canonical) as length, -e.ord as later, e.canonical, e.role, e.code))"
+    return sql.let("b", f"array_max(filter({near}, e -> {kept}))", f"if(b is null, null, named_struct('canonical', b.canonical, 'role', b.role, 'code', b.code, 'score', b.score, 'exact', b.canonical = {form}, 'ord', -b.later))")
 
 
 def match(form: Column) -> Column:
@@ -27,28 +35,11 @@ def match(form: Column) -> Column:
 
     An exact label wins; field codes and short labels match exactly only; else the nearest one, longer ones on ties, then the first.
     """
-    entries = F.array(*(F.struct(F.lit(c).alias("canonical"), F.lit(r).alias("role"), F.lit(k).alias("code"), F.lit(i).alias("ord")) for i, (c, r, k) in enumerate(LEXICON)))
-
-    def weigh(e: Column) -> Column:
-        exact = e["canonical"] == form
-        score = F.when(exact, 1.0).otherwise(text.similarity(e["canonical"], form))
-        fuzzy = ~e["code"] & (F.length(e["canonical"]) >= FUZZY_LENGTH) & (score >= FUZZY)
-        return F.when(exact | fuzzy, F.struct(e["canonical"].alias("canonical"), e["role"].alias("role"), e["code"].alias("code"), score.alias("score"), exact.alias("exact"), e["ord"].alias("ord")))
-
-    near = F.filter(entries, lambda e: F.abs(F.length(e["canonical"]) - F.length(form)) <= FUZZY_SLACK)
-    found = F.filter(F.transform(near, weigh), lambda e: e.isNotNull())
-    better = lambda a, e: a.isNull() | (e["score"] > a["score"]) | (e["score"] == a["score"]) & (F.length(e["canonical"]) > F.length(a["canonical"]))
-    return F.aggregate(found, F.lit(None).cast(_ENTRY), lambda a, e: F.when(better(a, e), e.cast(_ENTRY)).otherwise(a))
-
-
-def needs_corroboration(entry: Column) -> Column:
-    """A code of digits alone looks like any number on the page."""
-    return entry["code"] & entry["canonical"].rlike("^[0-9]+$")
+    return sql.bind(match_sql("p.form"), form=form)
 
 
-def field_code_layout(forms: Column) -> Column:
-    """Whether some word (in label form) marks a licence card's layout."""
-    return F.exists(forms, lambda w: w.isin(LAYOUT_CODES))
+#: A code of digits alone looks like any number on the page.
+BARE = "^[0-9]+$"
 
 
 def declares_no_expiry(page: Column) -> Column:

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridate.functions import dates
+from veridate.functions import dates, sql
 
 #: Fixed values (ICAO 9303, TD3 second line): field, first character (from 1), length, place of its check digit.
 TD3 = (("document_number", 1, 9, 10), ("birth_date", 14, 6, 20), ("expiry_date", 22, 6, 28), ("personal_number", 29, 14, 43))
 
 
-def character_value(c: Column) -> Column:
-    """0 for the filler, digits as they are, A to Z as 10 to 35, null otherwise."""
-    return dates.let(F.ascii(c), lambda a: F.when(a == 60, 0).when(a.between(48, 57), a - 48).when(a.between(65, 90), a - 55))
+def check_digit_sql(text: str) -> str:
+    """check_digit() as SQL text."""
+    weight = "case i % 3 when 0 then 7 when 1 then 3 else 1 end"
+    value = "case when ascii(c) = 60 then 0 when ascii(c) between 48 and 57 then ascii(c) - 48 when ascii(c) between 65 and 90 then ascii(c) - 55 end"
+    return f"aggregate(transform(filter(split({text}, ''), c -> c <> ''), (c, i) -> {value} * {weight}), 0, (a, v) -> a + v, a -> cast(a % 10 as string))"
 
 
 def check_digit(text: Column) -> Column:
-    """Weights 7, 3, 1 in turn, modulo 10; null if a character has no value."""
-    characters = F.filter(F.split(text, ""), lambda c: c != "")
-    parts = F.transform(characters, lambda c, i: character_value(c) * F.when(i % 3 == 0, 7).when(i % 3 == 1, 3).otherwise(1))
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + x, lambda a: (a % 10).cast("string"))
+    """Weights 7, 3, 1 in turn over 0 for the filler, digits as they are and A to Z as 10 to 35, modulo 10; null if a character has no value."""
+    return sql.bind(check_digit_sql("p.text"), text=text)
 
 
 def td3_failures(line: Column) -> Column:
@@ -68,8 +68,10 @@ CHECKS = {
     "TD2": [("documentNumber", 2, 10, [(2, 1, 9)]), ("birthDate", 2, 20, [(2, 14, 6)]), ("expirationDate", 2, 28, [(2, 22, 6)]), ("composite", 2, 36, [(2, 1, 10), (2, 14, 7), (2, 22, 14)])],
     "TD3": [("documentNumber", 2, 10, [(2, 1, 9)]), ("birthDate", 2, 20, [(2, 14, 6)]), ("expirationDate", 2, 28, [(2, 22, 6)]), ("personalNumber", 2, 43, [(2, 29, 14)]), ("composite", 2, 44, [(2, 1, 10), (2, 14, 7), (2, 22, 22)])],
 }
-#: Letters that optical readers put for digits, and the digits.
-_LETTERS, _DIGITS = "OQDILZSGB", "000112568"
+#: Letters that optical readers put for digits, and the digits; digits that they put for letters, and the letters.
+_LETTERS, _DIGITS, _READ, _MEANT = "OQDILZSGB", "000112568", "012568", "OIZSGB"
+#: Fixed values (ICAO 9303): what stands at each place of a line, as runs: A letters, N digits, X either.
+FORMS = {"TD1": ["5A 9X 1N 15X", "7N 1A 7N 3A 11X 1N", "30A"], "TD2": ["36A", "9X 1N 3A 7N 1A 7N 7X 1N"], "TD3": ["44A", "9X 1N 3A 7N 1A 7N 14X 2N"]}
 _BAND = "struct<score:double,ord:int,format:string,start:int,lines:array<string>>"
 
 
@@ -101,50 +103,42 @@ def band(lines: Column, top: float = 0.7) -> Column:
     return dates.let(clean, found)
 
 
-def _report(names: list[Column], digits: Column) -> Column:
-    return dates.let(digits, lambda r: F.struct(*names, r["found"].alias("found"), r["expected"].alias("expected"), F.coalesce(r["found"] == r["expected"], F.lit(False)).alias("valid")))
+def _reports_sql(format: str, lines: str) -> str:
+    def report(field: str, line: int, place: int, parts: list[tuple[int, int, int]]) -> str:
+        covered = ", ".join(f"substring({lines}[{n - 1}], {a}, {size})" for n, a, size in parts)
+        digits = f"named_struct('found', nullif(substring({lines}[{line - 1}], {place}, 1), ''), 'expected', {check_digit_sql(f'concat({covered})')})"
+        return sql.let("r", digits, f"named_struct('field', '{field}', 'line', {line}, 'position', {place}, 'found', r.found, 'expected', r.expected, 'valid', coalesce(r.found = r.expected, false))")
+
+    cases = " ".join(f"when '{name}' then array({', '.join(report(*c) for c in checks)})" for name, checks in CHECKS.items())
+    return f"case {format} {cases} else cast(array() as array<struct<field:string,line:int,position:int,found:string,expected:string,valid:boolean>>) end"
 
 
 def check_reports(format: Column, lines: Column) -> Column:
     """Array of (field, line, position, found, expected, valid), one for each check digit of the format."""
-    out = F
-    for name, checks in CHECKS.items():
-        reports = []
-        for field, line, place, parts in checks:
-            covered = F.concat(*(F.substring(F.get(lines, F.lit(n - 1)), a, size) for n, a, size in parts))
-            found = F.nullif(F.substring(F.get(lines, F.lit(line - 1)), place, 1), F.lit(""))
-            names = [F.lit(x).alias(n) for x, n in ((field, "field"), (line, "line"), (place, "position"))]
-            reports.append(_report(names, F.struct(found.alias("found"), check_digit(covered).alias("expected"))))
-        out = out.when(format == name, F.array(*reports))
-    return out.otherwise(F.array().cast("array<struct<field:string,line:int,position:int,found:string,expected:string,valid:boolean>>"))
-
-
-def repaired(format: Column, lines: Column) -> Column:
-    """Lines with letters read for digits changed back where only digits can stand: dates and check digits."""
-
-    def fixed(line: int, places: list[tuple[int, int]]) -> Column:
-        text, out, at = F.get(lines, F.lit(line - 1)), [], 1
-        for a, n in sorted(places):
-            out += [F.substring(text, at, a - at), F.translate(F.substring(text, a, n), _LETTERS, _DIGITS)]
-            at = a + n
-        return F.concat(*out, text.substr(F.lit(at), F.length(text)))
-
-    numbers = {"TD1": {1: [(15, 1)], 2: [(1, 7), (9, 7), (30, 1)], 3: []}, "TD2": {1: [], 2: [(10, 1), (14, 7), (22, 7), (36, 1)]}, "TD3": {1: [], 2: [(10, 1), (14, 7), (22, 7), (43, 2)]}}
-    out = F
-    for name, own in numbers.items():
-        out = out.when(format == name, F.array(*(fixed(line, places) if places else F.get(lines, F.lit(line - 1)) for line, places in own.items())))
-    return out
+    return sql.bind(_reports_sql("p.format", "p.lines"), format=format, lines=lines)
 
 
-def repair_notes(format: Column, lines: Column) -> Column:
-    """Which letters changed to digits would make every check digit valid, as `O→0 at line 2 col 14`; null if none would."""
+def _repaired_sql(format: str, lines: str) -> str:
+    def mended(text: str, runs: str) -> str:
+        out, at = [], 1
+        for run in runs.split():
+            size, kind = int(run[:-1]), run[-1]
+            part = f"substring({text}, {at}, {size})"
+            out.append({"N": f"translate({part}, '{_LETTERS}', '{_DIGITS}')", "A": f"translate({part}, '{_READ}', '{_MEANT}')", "X": part}[kind])
+            at += size
+        return f"concat({', '.join(out)}, substring({text}, {at}))"
 
-    def body(new: Column) -> Column:
-        notes = F.flatten(F.transform(F.arrays_zip(lines.alias("a"), new.alias("b")), lambda p, i: F.filter(F.transform(F.sequence(F.lit(1), F.length(p["a"])), lambda j: F.when(F.substring(p["a"], j, F.lit(1)) != F.substring(p["b"], j, F.lit(1)), F.concat(F.substring(p["a"], j, F.lit(1)), F.lit("→"), F.substring(p["b"], j, F.lit(1)), F.lit(" at line "), (i + 1).cast("string"), F.lit(" col "), j.cast("string")))), lambda n: n.isNotNull())))
-        sound = F.forall(check_reports(format, new), lambda r: r["valid"])
-        return F.when(sound & (F.size(notes) > 0), F.array_join(notes, ", "))
+    cases = " ".join(f"when '{name}' then array({', '.join(mended(f'{lines}[{i}]', runs) for i, runs in enumerate(forms))})" for name, forms in FORMS.items())
+    return f"case {format} {cases} end"
 
-    return dates.let(repaired(format, lines), body)
+
+def repair_notes(format: Column, lines: Column) -> Column:
+    """Which letters changed to digits where only digits stand, and digits to letters where only letters do, would make every check digit valid, as `O→0 at line 2 col 14`; null if none would."""
+    place = "concat(substring(z.a, k, 1), '→', substring(z.b, k, 1), ' at line ', i + 1, ' col ', k)"
+    notes = f"flatten(transform(zip_with(p.lines, n, (u, v) -> struct(u as a, v as b)), (z, i) -> transform(filter(sequence(1, length(z.a)), k -> substring(z.a, k, 1) <> substring(z.b, k, 1)), k -> {place})))"
+    sound = f"forall({_reports_sql('p.format', 'n')}, c -> c.valid)"
+    told = sql.let("o", notes, "if(size(o) > 0, array_join(o, ', '), null)")
+    return sql.bind(sql.let("n", _repaired_sql("p.format", "p.lines"), f"if({sound}, {told}, null)"), format=format, lines=lines)
 
 
 def zone_fields(format: Column, lines: Column) -> Column:

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridate.functions import sql
+
 #: Letters with marks, and the letters that are left when the marks go.
 _PLAIN = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
 #: What stands where a date would, to say that there is none.
@@ -65,10 +67,14 @@ def non_latin_dominant(text: Column) -> Column:
     return (latin + other > 0) & (other / F.greatest(latin + other, F.lit(1)) >= 0.3)
 
 
+def join_sql(words: str) -> str:
+    """join_words() as SQL text."""
+    return f"""aggregate({words}, '', (a, v) -> case when a = '' then v when a rlike {sql.text("[/.–—-]$")} or v rlike {sql.text("^[/.–—-]")} then concat(a, v) else concat(a, ' ', v) end)"""
+
+
 def join_words(words: Column) -> Column:
     """Words of a line as one text; no blank where a word ends or begins with a mark that joins dates."""
-    glued = lambda a, w: a.rlike(r"[/.\-–—]$") | w.rlike(r"^[/.\-–—]")
-    return F.aggregate(words, F.lit(""), lambda a, w: F.when(a == "", w).otherwise(F.concat(a, F.when(glued(a, w), F.lit("")).otherwise(F.lit(" ")), w)))
+    return sql.bind(join_sql("p.words"), words=words)
 
 
 def client_ip(forwarded: Column, real: Column) -> Column:

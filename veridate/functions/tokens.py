@@ -1,11 +1,10 @@
-"""Date-shaped text among the words of a page, as Columns."""
+"""Date-shaped text among the words of a page, as Columns and as SQL text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from veridate.functions import dates
+from veridate.functions import dates, sql
 
 _MARK = r"[/.\-\s]"
 #: Fixed values: (pattern, parts of a date, whether it is all numbers), in order.
@@ -16,40 +15,27 @@ SHAPES = [
 RANGE_STRENGTH = 4
 
 
-def shape_strength(raw: Column) -> Column:
+def shape_sql(raw: str) -> str:
     """How many parts of a date a text has the shape of; 0 for none.  Numbers need a mark between them, or to be eight digits."""
+    marked = rf"(s rlike {sql.text('[/.-]')} or s rlike {sql.text('^[0-9]{8}$')})"
+    cases = " ".join(f"when s rlike {sql.text(pattern)}{' and ' + marked if numeric else ''} then {parts}" for pattern, parts, numeric in SHAPES)
+    return sql.let("s", rf"trim(regexp_replace(replace(upper(trim({raw})), ',', ' '), r'\s+', ' '))", f"case {cases} else 0 end")
 
-    def body(t: Column) -> Column:
-        out = F
-        for pattern, parts, numeric in SHAPES:
-            fits = t.rlike(pattern)
-            out = out.when(fits & (t.rlike(r"[/.\-]") | t.rlike(r"^\d{8}$")) if numeric else fits, parts)
-        return out.otherwise(0)
 
-    return dates.let(F.trim(F.regexp_replace(F.replace(F.upper(F.trim(raw)), F.lit(","), F.lit(" ")), r"\s+", " ")), body)
+def parts_sql(raw: str) -> str:
+    return f"transform(split({raw}, {sql.text(dates.RANGE)}), v -> trim(v))"
 
 
-def range_parts(raw: Column) -> Column:
-    return F.transform(F.split(raw, dates.RANGE), lambda p: F.trim(p))
-
-
-def is_range(raw: Column) -> Column:
-    """Whether a text is two date shapes around a range mark."""
-    return dates.let(range_parts(raw), lambda p: (F.size(p) == 2) & F.forall(p, lambda x: shape_strength(x) > 0))
+def strength_sql(raw: str) -> str:
+    """Parts of a date, or RANGE_STRENGTH for two date shapes around a range mark."""
+    return sql.let("g", parts_sql(raw), f"if(size(g) = 2 and forall(g, v -> {shape_sql('v')} > 0), {RANGE_STRENGTH}, {shape_sql(raw)})")
 
 
 def strength(raw: Column) -> Column:
-    return F.when(is_range(raw), RANGE_STRENGTH).otherwise(shape_strength(raw))
-
-
-def reading(raw: Column, is_range: Column, convention: Column, role: Column, as_of: Column) -> Column:
-    """Struct (iso, ambiguous) of a date token; a range is read as its end."""
-
-    def single(text: Column) -> Column:
-        return dates.let(dates.free_text_date(text, convention, role, as_of), lambda r: F.struct(r["iso"].alias("iso"), r["ambiguous"].alias("ambiguous")))
-
-    return single(F.when(is_range, F.try_element_at(range_parts(raw), F.lit(2))).otherwise(raw))
+    return sql.bind(strength_sql("p.raw"), raw=raw)
 
 
-def is_date(read: Column) -> Column:
-    return read["iso"].isNotNull() | read["ambiguous"]
+def reading_sql(raw: str, is_range: str, convention: str, role: str, as_of: str) -> str:
+    """Struct (iso, ambiguous) of a date token, null if it reads as no date; a range is read as its end."""
+    read = dates.free_text_sql(f"if({is_range}, try_element_at({parts_sql(raw)}, 2), {raw})", convention, role, as_of)
+    return sql.let("f", read, "if(f.iso is not null or f.ambiguous, named_struct('iso', f.iso, 'ambiguous', f.ambiguous), null)")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridate.functions import sql
+
 #: Reach to the right and below, least line overlap, left alignment.
 RIGHT, BELOW, OVERLAP, ALIGN = 12.0, 2.5, 0.35, 2.0
 
@@ -22,15 +24,29 @@ def vertical_overlap(a: Column, b: Column) -> Column:
     return shared / F.least(height(a), height(b))
 
 
+def height_sql(box: str) -> str:
+    return f"greatest({box}.y1 - {box}.y0, 1.0D)"
+
+
+def across_sql(a: str, b: str) -> str:
+    """Whether box b lies below box a as far as its sides go."""
+    return f"({b}.x0 <= {a}.x1 and {b}.x1 >= {a}.x0 or abs({b}.x0 - {a}.x0) <= {ALIGN}D * {height_sql(a)})"
+
+
+def place_sql(label: str, value: str) -> str:
+    """place() as SQL text."""
+    h = height_sql(label)
+    gap = lambda axis: f"greatest({value}.{axis}0 - {label}.{axis}1, 0.0D) / {h}"
+    overlap = f"greatest(least({label}.y1, {value}.y1) - greatest({label}.y0, {value}.y0), 0.0D) / least({h}, {height_sql(value)})"
+    beside = f"{overlap} >= {OVERLAP}D and {value}.x0 >= {label}.x1 - 0.25D * {h} and {gap('x')} <= {RIGHT}D"
+    under = f"{value}.y0 >= {label}.y1 - 0.25D * {h} and {across_sql(label, value)} and {gap('y')} <= {BELOW}D"
+    option = lambda ok, distance, i, name, bound: f"if({ok}, named_struct('distance', {distance}, 'relation_ord', {i}, 'relation', '{name}', 'bound', {bound}D), null)"
+    return f"array_min(array_compact(array({option(beside, gap('x'), 0, 'RIGHT', RIGHT)}, {option(under, gap('y'), 1, 'BELOW', BELOW)})))"
+
+
 def place(label: Column, value: Column) -> Column:
     """Struct (distance, relation_ord, relation, bound) of the nearer admissible placement, right first on a tie; null if there is none."""
-    h = height(label)
-    dx, dy = F.greatest(value["x0"] - label["x1"], F.lit(0.0)) / h, F.greatest(value["y0"] - label["y1"], F.lit(0.0)) / h
-    beside = (vertical_overlap(label, value) >= OVERLAP) & (value["x0"] >= label["x1"] - 0.25 * h) & (dx <= RIGHT)
-    across = (value["x0"] <= label["x1"]) & (value["x1"] >= label["x0"]) | (F.abs(value["x0"] - label["x0"]) <= ALIGN * h)
-    under = (value["y0"] >= label["y1"] - 0.25 * h) & across & (dy <= BELOW)
-    option = lambda ok, d, i, name, bound: F.when(ok, F.struct(d.alias("distance"), F.lit(i).alias("relation_ord"), F.lit(name).alias("relation"), F.lit(bound).alias("bound")))
-    return F.array_min(F.array_compact(F.array(option(beside, dx, 0, "RIGHT", RIGHT), option(under, dy, 1, "BELOW", BELOW))))
+    return sql.bind(place_sql("p.label", "p.value"), label=label, value=value)
 
 
 def bind(labels: DataFrame, values: DataFrame) -> DataFrame:

@@ -7,13 +7,10 @@ so that a page never leaves its row and nothing is shuffled; a page's words are
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridate.functions import labels, machine, text, tokens
-from veridate.functions.dates import let
+from veridate.functions import labels, machine, sql, text, tokens
 from veridate.operators import layout
 
 #: Words of a date at most, text heights to a next line, base confidences, bonus of agreement, ceiling, and the word confidence of handwriting.
@@ -21,10 +18,6 @@ DATE_WORDS, NEXT_LINE, LABEL_BASE, CODE_BASE, AGREED, CEILING, LOW_WORDS = 7, 2.
 SOUGHT = ["EXPIRY", "STATEMENT_PERIOD_END"]
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 TOKENS = f"array<struct<text:string,line:int,box:{BOX},confidence:double>>"
-_SPAN = f"start:int,width:int,raw:string,box:{BOX},confidence:double,line:int"
-_DATE = f"struct<{_SPAN},strength:int,crosses:boolean>"
-_LABEL = f"struct<{_SPAN},role:string,code:boolean,bare:boolean,score:double>"
-
 
 def union_box(a: Column, b: Column) -> Column:
     return F.struct(F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"), F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1"))
@@ -36,79 +29,59 @@ def normal_box(box: Column, width: Column, height: Column) -> Column:
     return F.when((width > 0) & (height > 0), F.array(inside(box["x0"] / width), inside(box["y0"] / height), inside(box["x1"] / width), inside(box["y1"] / height)))
 
 
-def continues(a: Column, b: Column) -> Column:
+def continues_sql(a: str, b: str) -> str:
     """Whether box b can be the next line of box a."""
-    h, gap = layout.height(a), b["y0"] - a["y1"]
-    across = (b["x0"] <= a["x1"]) & (b["x1"] >= a["x0"]) | (F.abs(b["x0"] - a["x0"]) <= layout.ALIGN * h)
-    return (gap >= -0.5 * h) & (gap <= NEXT_LINE * h) & across
-
+    h, gap = layout.height_sql(a), f"({b}.y0 - {a}.y1)"
+    return f"{gap} >= -0.5D * {h} and {gap} <= {NEXT_LINE}D * {h} and {layout.across_sql(a, b)}"
 
-def _span(members: Column, start: Column, width: Column, raw: Column) -> list[Column]:
-    box = F.aggregate(F.slice(members, 2, 1000), members[0]["box"], lambda a, m: union_box(a, m["box"]))
-    return [start.alias("start"), width.alias("width"), raw.alias("raw"), box.cast(BOX).alias("box"), F.array_min(F.transform(members, lambda m: m["confidence"])).alias("confidence"), members[0]["line"].alias("line")]
 
+def _widest(found: str, most: int, better: str) -> str:
+    """SQL of the best window of up to `most` words from place i on, or null; found: SQL of a window of members m, w words wide, as a struct that starts with `better` and width, or null.
 
-def _greedy(words: Column, most: int, kind: str, joined: Callable[[Column, Column], Column], found: Callable[[Column, Column, Column], Column], better: Callable[[Column, Column], Column], skip: Callable[[Column], Column] | None = None) -> Column:
-    """The best window of up to `most` words from each place on, in order, none over another.
-
-    joined(i, end): whether word `end` continues word `end` - 1 in a window from i; found: the window as `kind` or null; better(new, best).
+    j says of each word whether it continues the one before it.
     """
+    goes = sql.let("z", f"slice(j, i + 2, {most - 1})", "if(array_position(z, false) > 0, int(array_position(z, false)), size(z) + 1)")
+    return f"array_max(filter(transform(sequence(1, {goes}), w -> {sql.let('m', 'slice(p.words, i + 1, w)', found)}), o -> o is not null))"
 
-    def widest(i: Column) -> Column:
-        best = lambda s: s["best"]
 
-        def widen(s: Column, w: Column) -> Column:
-            end = i + w - 1
-            goes_on = s["open"] & (end < F.size(words)) & ((w == 1) | joined(i, end))
-            new = F.when(goes_on, found(F.slice(words, i + 1, w), i, w))
-            return let(new, lambda n: F.struct(goes_on.alias("open"), F.when(n.isNotNull() & (best(s).isNull() | better(n, best(s))), n).otherwise(best(s)).alias("best")))
+def _greedy(found: str, most: int, kind: str, joined: str, skip: str = "false") -> str:
+    """SQL of the best windows of up to `most` words from each place of p.words on, in order, none over another.
 
-        first = F.struct(F.lit(True).alias("open"), F.lit(None).cast(kind).alias("best"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, widen, best)
+    joined: whether word x (at place i, from 1 on) continues word y before it; skip: whether no window starts at place i.
+    """
+    step = sql.let("b", f"if(i < s.next or {skip}, null, {_widest(found, most, kind)})", "named_struct('next', if(b is null, s.next, i + b.width), 'all', if(b is null, s.all, concat(s.all, array(b))))")
+    places = "if(size(p.words) > 0, sequence(0, size(p.words) - 1), cast(array() as array<int>))"
+    walk = f"aggregate({places}, named_struct('next', 0, 'all', cast(array() as array<{kind}>)), (s, i) -> {step}, s -> s.all)"
+    return sql.let("j", f"transform(p.words, (x, i) -> i > 0 and {sql.let('y', 'p.words[greatest(i - 1, 0)]', joined)})", walk)
 
-    def step(s: Column, i: Column) -> Column:
-        free = (i >= s["next"]) & (F.lit(True) if skip is None else ~skip(i))
-        return let(F.when(free, widest(i)), lambda b: F.struct(F.when(b.isNull(), s["next"]).otherwise(i + b["width"]).alias("next"), F.when(b.isNull(), s["all"]).otherwise(F.concat(s["all"], F.array(b))).alias("all")))
 
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{kind}>").alias("all"))
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["all"])
+_BOX = "named_struct('x0', array_min(m.box.x0), 'y0', array_min(m.box.y0), 'x1', array_max(m.box.x1), 'y1', array_max(m.box.y1))"
+_SPAN = f"w as width, i as start, raw, {_BOX} as box, array_min(m.confidence) as confidence, m[0].line as line"
+_SPAN_TYPE = f"width:int,start:int,raw:string,box:{BOX},confidence:double,line:int"
+_DATE = f"struct<strength:int,{_SPAN_TYPE},crosses:boolean>"
+_LABEL = f"struct<score:double,{_SPAN_TYPE},role:string,code:boolean,bare:boolean>"
 
 
 def date_tokens(words: Column, convention: Column, as_of: Column) -> Column:
     """Array of date tokens: windows of up to seven words, also over a line's end, that read as a date; more parts win, then more words."""
-
-    def joined(i: Column, end: Column) -> Column:
-        a, b = words[end - 1], words[end]
-        return (a["line"] == b["line"]) | (b["line"] == a["line"] + 1) & continues(a["box"], b["box"])
-
-    def found(members: Column, i: Column, w: Column) -> Column:
-        raw = text.join_words(F.transform(members, lambda m: m["text"]))
-
-        def whole(raw: Column) -> Column:
-            return let(tokens.strength(raw), lambda s: F.when((s > 0) & tokens.is_date(tokens.reading(raw, s == tokens.RANGE_STRENGTH, convention, F.lit("EXPIRY"), as_of)), F.struct(*_span(members, i, w, raw), s.alias("strength"), F.exists(members, lambda m: m["line"] != members[0]["line"]).alias("crosses")).cast(_DATE)))
-
-        return let(raw, whole)
-
-    return _greedy(words, DATE_WORDS, _DATE, joined, found, lambda n, b: n["strength"] >= b["strength"])
+    reads = tokens.reading_sql("raw", f"n = {tokens.RANGE_STRENGTH}", "p.convention", "'EXPIRY'", "p.as_of")
+    token = f"if({reads} is null, null, struct(n as strength, {_SPAN}, exists(m, v -> v.line <> m[0].line) as crosses))"
+    # No date without a digit: most windows are done after one look.
+    found = sql.let("raw", text.join_sql("m.text"), f"if(raw rlike '[0-9]', {sql.let('n', tokens.strength_sql('raw'), f'if(n > 0, {token}, null)')}, null)")
+    joined = f"(x.line = y.line or x.line = y.line + 1 and {continues_sql('y.box', 'x.box')})"
+    return sql.bind(_greedy(found, DATE_WORDS, _DATE, joined), words=words, convention=convention, as_of=as_of)
 
 
 def label_hits(words: Column) -> Column:
     """Array of lexicon labels on the page, within lines, not after a word that makes their date one to come; bare codes need the layout of a licence card."""
-    form = lambda i: text.label_form(words[i]["text"])
-    card = labels.field_code_layout(F.transform(words, lambda w: text.label_form(w["text"])))
-
-    def found(members: Column, i: Column, w: Column) -> Column:
-        raw = F.array_join(F.transform(members, lambda m: m["text"]), " ")
-
-        def hit(m: Column) -> Column:
-            bare = labels.needs_corroboration(m)
-            return F.when(m.isNotNull() & (~bare | card), F.struct(*_span(members, i, w, raw), m["role"].alias("role"), m["code"].alias("code"), bare.alias("bare"), m["score"].alias("score")).cast(_LABEL))
-
-        return let(labels.match(text.label_form(raw)), hit)
-
-    after = lambda i: (i > 0) & (words[F.greatest(i - 1, F.lit(0))]["line"] == words[i]["line"]) & form(F.greatest(i - 1, F.lit(0))).isin(labels.FORWARD)
-    return _greedy(words, labels.MOST_WORDS, _LABEL, lambda i, end: words[i]["line"] == words[end]["line"], found, lambda n, b: n["score"] >= b["score"], after)
+    forms = F.transform(words, lambda w: text.label_form(w["text"]))
+    bare = f"(e.code and e.canonical rlike '{labels.BARE}')"
+    hit = f"if(e is null or {bare} and not exists(p.forms, v -> v in ({sql.names(labels.LAYOUT_CODES)})), null, struct(e.score, {_SPAN}, e.role, e.code, {bare} as bare))"
+    # The label form of joined words is that of their forms joined, without blanks for words of marks alone.
+    form = "array_join(filter(slice(p.forms, i + 1, w), v -> v <> ''), ' ')"
+    found = sql.let("raw", "array_join(m.text, ' ')", sql.let("f", form, sql.let("e", labels.match_sql("f"), hit)))
+    forward = f"(i > 0 and j[i] and p.forms[greatest(i - 1, 0)] in ({sql.names(labels.FORWARD)}))"
+    return sql.bind(_greedy(found, labels.MOST_WORDS, _LABEL, "x.line = y.line", forward), words=words, forms=forms)
 
 
 def followed_by_sentinel(words: Column, label: Column) -> Column:
@@ -124,16 +97,10 @@ def followed_by_sentinel(words: Column, label: Column) -> Column:
 
 def bindings(found: Column, values: Column, convention: Column, as_of: Column) -> Column:
     """For each label the nearest admissible date, as (label, token, distance, bound, relation, iso, ambiguous); nearer first, then surer words."""
-
-    def bind(label: Column) -> Column:
-        def weigh(v: Column) -> Column:
-            read = tokens.reading(v["raw"], v["strength"] == tokens.RANGE_STRENGTH, convention, label["role"], as_of)
-            pair = F.struct(layout.place(label["box"], v["box"]).alias("p"), read.alias("r"))
-            return let(pair, lambda x: F.when((v["start"] != label["start"]) & x["p"].isNotNull() & tokens.is_date(x["r"]), F.struct((x["p"]["distance"] / x["p"]["bound"]).alias("far"), (-v["confidence"]).alias("unsure"), (-label["score"]).alias("unlike"), v["start"].alias("at"), label.alias("label"), v.alias("token"), x["p"]["distance"].alias("distance"), x["p"]["bound"].alias("bound"), x["p"]["relation"].alias("relation"), x["r"]["iso"].alias("iso"), x["r"]["ambiguous"].alias("ambiguous"))))
-
-        return F.array_min(F.filter(F.transform(values, weigh), lambda b: b.isNotNull()))
-
-    return F.transform(found, bind)
+    read = tokens.reading_sql("v.raw", f"v.strength = {tokens.RANGE_STRENGTH}", "p.convention", "l.role", "p.as_of")
+    bound = "struct(o.distance / o.bound as far, -v.confidence as unsure, -l.score as unlike, v.start as at, l as label, v as token, o.distance, o.bound, o.relation, r.iso, r.ambiguous)"
+    weighed = sql.let("o", f"if(v.start = l.start, null, {layout.place_sql('l.box', 'v.box')})", f"if(o is null, null, {sql.let('r', read, f'if(r is null, null, {bound})')})")
+    return sql.bind(f"transform(p.labels, l -> array_min(filter(transform(p.dates, v -> {weighed}), b -> b is not null)))", labels=found, dates=values, convention=convention, as_of=as_of)
 
 
 def candidate_confidence(b: Column, agreed: Column) -> Column:

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridate.functions import dates
-from veridate.functions.dates import let
+from veridate.functions import dates, sql
 
 #: Confidence of a date that both calls report, of the mapper's expiry and other dates, of an ambiguous one, of the hunter's alone against the mapper or without it, and the factor of an illegible value.
 BOTH, EXPIRY, OTHER, AMBIGUOUS, AGAINST, ALONE, ILLEGIBLE = 0.85, 0.6, 0.5, 0.3, 0.15, 0.5, 0.5
@@ -19,52 +18,49 @@ WITHOUT, BEARING = ["EMPLOYMENT_LETTER", "OTHER_DOCUMENT", "NOT_A_DOCUMENT"], ["
 CANDIDATE = "struct<raw:string,iso:date,role:string,confidence:double,ambiguous:boolean,illegible:boolean,keys:array<string>>"
 
 
+def keys_sql(raw: str, iso: str) -> str:
+    return sql.let("k", f"regexp_replace(upper({raw}), '[^A-Z0-9]', '')", f"array_compact(array(concat('iso:', cast({iso} as string)), if(k <> '', concat('raw:', k), null)))")
+
+
 def match_keys(raw: Column, iso: Column) -> Column:
     """What two reports of one value have in common: its date, or its letters and digits."""
-    bare = F.regexp_replace(F.upper(raw), "[^A-Z0-9]", "")
-    return F.array_compact(F.array(F.concat(F.lit("iso:"), iso.cast("string")), F.when(bare != "", F.concat(F.lit("raw:"), bare))))
-
-
-def mapper_candidate(entry: Column, convention: Column, as_of: Column) -> Column:
-    """A candidate from an entry (raw, role, illegible): a range counts by its end."""
-    raw = F.trim(entry["raw"])
-    span = dates.date_range(raw, convention, F.lit("COVERAGE_END"), as_of)
-
-    def body(x: Column) -> Column:
-        ranged = x["range"]["end"].isNotNull()
-        role = F.when(ranged & entry["role"].isin("UNKNOWN", "COVERAGE_START"), "COVERAGE_END").otherwise(entry["role"])
-        iso = F.when(ranged, x["range"]["end"]).otherwise(x["one"]["iso"])
-        unclear = ~ranged & x["one"]["ambiguous"]
-        base = F.when(role.isin(BEARING), EXPIRY).otherwise(OTHER) * F.when(entry["illegible"], ILLEGIBLE).otherwise(1.0)
-        sure = F.when(unclear | iso.isNull(), F.least(base, F.lit(AMBIGUOUS))).otherwise(base)
-        return F.struct(raw.alias("raw"), iso.alias("iso"), role.alias("role"), sure.alias("confidence"), unclear.alias("ambiguous"), entry["illegible"].alias("illegible"), match_keys(raw, iso).alias("keys")).cast(CANDIDATE)
-
-    return let(F.struct(span.alias("range"), dates.free_text_date(raw, convention, entry["role"], as_of).alias("one")), body)
-
-
-def merge(hunter: Column, hunter_ok: Column, mapper: Column, mapper_ok: Column, document_class: Column, injected: Column, convention: Column, as_of: Column) -> Column:
-    """Struct (candidates, codes, abstained): hunter is a raw value or null, mapper an array of (raw, role, illegible); a call that failed has its flag false."""
-    built = F.when(mapper_ok, F.transform(mapper, lambda e: mapper_candidate(e, convention, as_of))).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
-    said = F.when(hunter_ok, F.nullif(F.trim(hunter), F.lit("")))
-
-    def body(x: Column) -> Column:
-        own = match_keys(x["said"], x["read"]["iso"])
-        at = F.array_position(F.transform(x["built"], lambda c: F.arrays_overlap(c["keys"], own)), True)
-        met = x["said"].isNotNull() & (at > 0)
-        ceiling = lambda c: F.when(c["ambiguous"] | c["iso"].isNull(), AMBIGUOUS).otherwise(F.when(c["illegible"], BOTH * ILLEGIBLE).otherwise(BOTH))
-        raised = lambda c: F.struct(c["raw"], c["iso"], F.when(c["role"] == "UNKNOWN", "EXPIRY").otherwise(c["role"]).alias("role"), F.greatest(c["confidence"], ceiling(c)).alias("confidence"), c["ambiguous"], c["illegible"], c["keys"]).cast(CANDIDATE)
-        kept = F.transform(x["built"], lambda c, i: F.when(met & (i + 1 == at), raised(c)).otherwise(c))
-        alone = F.struct(x["said"].alias("raw"), x["read"]["iso"].alias("iso"), F.lit("EXPIRY").alias("role"), F.when(mapper_ok, AGAINST).otherwise(ALONE).alias("confidence"), x["read"]["ambiguous"].alias("ambiguous"), F.lit(False).alias("illegible"), own.alias("keys")).cast(CANDIDATE)
-        beside = x["said"].isNotNull() & ~met
-        found = F.concat(kept, F.when(beside, F.array(alone)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
-        none = F.when(document_class.isin(WITHOUT), "NO_EXPIRY_SEMANTICS").otherwise("NO_DATES_FOUND")
-        codes = F.array_compact(F.array(
-            F.when(~hunter_ok | ~mapper_ok, "MODEL_UNAVAILABLE"), F.when(injected & mapper_ok, "PROMPT_INJECTION_SUSPECTED"), F.when(F.exists(found, lambda c: c["ambiguous"]), "AMBIGUOUS_DATE_FORMAT"),
-            F.when(beside & mapper_ok, "HUNTER_MAPPER_DISAGREE"), F.when(beside & ~mapper_ok, "LOW_TIER_CONFIDENCE"), F.when((hunter_ok | mapper_ok) & (F.size(found) == 0), none),
-        ))
-        return F.struct(found.alias("candidates"), codes.alias("codes"), (F.size(found) == 0).alias("abstained"))
-
-    return let(F.struct(built.alias("built"), said.alias("said"), dates.free_text_date(said, convention, F.lit("EXPIRY"), as_of).alias("read")), body)
+    return sql.bind(keys_sql("p.raw", "p.iso"), raw=raw, iso=iso)
+
+
+def mapper_sql(entry: str) -> str:
+    """SQL of a candidate from an entry (raw, role, illegible): a range counts by its end."""
+    role = f"if(x.ends is not null and {entry}.role in ('UNKNOWN', 'COVERAGE_START'), 'COVERAGE_END', {entry}.role)"
+    iso, unclear = "coalesce(x.ends, x.one.iso)", "(x.ends is null and x.one.ambiguous)"
+    base = f"if(y.role in ({sql.names(BEARING)}), {EXPIRY}D, {OTHER}D) * if({entry}.illegible, {ILLEGIBLE}D, 1.0D)"
+    built = f"named_struct('raw', trim({entry}.raw), 'iso', y.iso, 'role', y.role, 'confidence', if(y.unclear or y.iso is null, least({base}, {AMBIGUOUS}D), {base}), 'ambiguous', y.unclear, 'illegible', {entry}.illegible, 'keys', {keys_sql(f'trim({entry}.raw)', 'y.iso')})"
+    read = sql.let("y", f"named_struct('role', {role}, 'iso', {iso}, 'unclear', {unclear})", built)
+    given = f"named_struct('ends', {dates.range_sql(f'trim({entry}.raw)', 'p.convention', chr(39) + 'COVERAGE_END' + chr(39), 'p.as_of')}.end, 'one', {dates.free_text_sql(f'trim({entry}.raw)', 'p.convention', f'{entry}.role', 'p.as_of')})"
+    return sql.let("x", given, read)
+
+
+#: Codes of a failed call.
+FAILURES = ["RATE_LIMITED", "TIMEOUT", "MODEL_UNAVAILABLE"]
+
+
+def merge(hunter: Column, hunter_ok: Column, mapper: Column, mapper_ok: Column, document_class: Column, injected: Column, convention: Column, as_of: Column, failures: Column | None = None) -> Column:
+    """Struct (candidates, codes, abstained): hunter is a raw value or null, mapper an array of (raw, role, illegible); a call that failed has its flag false.
+
+    failures: codes of the calls that failed, as `attempts` gives them; MODEL_UNAVAILABLE if not given.
+    """
+    empty = f"cast(array() as array<{CANDIDATE}>)"
+    ceiling = f"if(c.ambiguous or c.iso is null, {AMBIGUOUS}D, if(c.illegible, {BOTH * ILLEGIBLE}D, {BOTH}D))"
+    raised = f"named_struct('raw', c.raw, 'iso', c.iso, 'role', if(c.role = 'UNKNOWN', 'EXPIRY', c.role), 'confidence', greatest(c.confidence, {ceiling}), 'ambiguous', c.ambiguous, 'illegible', c.illegible, 'keys', c.keys)"
+    alone = f"named_struct('raw', h.said, 'iso', h.read.iso, 'role', 'EXPIRY', 'confidence', if(p.mapper_ok, {AGAINST}D, {ALONE}D), 'ambiguous', h.read.ambiguous, 'illegible', false, 'keys', h.keys)"
+    found = f"concat(transform(b, (c, i) -> if(at > 0 and i + 1 = at, {raised}, c)), if(h.said is not null and at = 0, array({alone}), {empty}))"
+    beside = "(h.said is not null and at = 0)"
+    codes = f"""array_distinct(concat(if(p.hunter_ok and p.mapper_ok, cast(array() as array<string>), p.failures), array_compact(array(
+        if(p.injected and p.mapper_ok, 'PROMPT_INJECTION_SUSPECTED', null), if(exists(f, c -> c.ambiguous), 'AMBIGUOUS_DATE_FORMAT', null), if({beside} and p.mapper_ok, 'HUNTER_MAPPER_DISAGREE', null),
+        if({beside} and not p.mapper_ok, 'LOW_TIER_CONFIDENCE', null), if((p.hunter_ok or p.mapper_ok) and size(f) = 0, if(p.class in ({sql.names(WITHOUT)}), 'NO_EXPIRY_SEMANTICS', 'NO_DATES_FOUND'), null)))))"""
+    said = sql.let("said", "if(p.hunter_ok, nullif(trim(p.hunter), ''), null)", sql.let("read", dates.free_text_sql("said", "p.convention", "'EXPIRY'", "p.as_of"), f"named_struct('said', said, 'read', read, 'keys', {keys_sql('said', 'read.iso')})"))
+    at = "if(h.said is null, 0, int(array_position(transform(b, c -> arrays_overlap(c.keys, h.keys)), true)))"
+    body = sql.let("b", f"if(p.mapper_ok, transform(p.mapper, e -> {mapper_sql('e')}), {empty})", sql.let("h", said, sql.let("at", at, sql.let("f", found, f"named_struct('candidates', f, 'codes', {codes}, 'abstained', size(f) = 0)"))))
+    given = F.array(F.lit("MODEL_UNAVAILABLE")) if failures is None else failures
+    return sql.bind(body, hunter=hunter, hunter_ok=hunter_ok, mapper=mapper, mapper_ok=mapper_ok, injected=injected, convention=convention, as_of=as_of, failures=given, **{"class": document_class})
 
 
 def agreed(winner_raw: Column, hunter: Column, mapper: Column) -> Column:

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from veridate.functions import dates, labels, machine, text, tokens
+from veridate.functions import dates, labels, machine, phrases, text, tokens
 from veridate.operators import classify, crosscheck, evaluate, gate, pages, respond, twocalls
 
 D = dt.date
@@ -33,10 +33,42 @@ def test_sentinels_and_labels(spark):
     cases = {"EXP.": ("EXP", "EXPIRY"), "EXPIRAT10N DATE": ("EXPIRATION DATE", "EXPIRY"), "Date of issue": ("DATE OF ISSUE", "STATEMENT_PERIOD_END"), "4b": ("4B", "EXPIRY"), "4c": None, "EXPORT": None, "Fecha de Vencimiento": ("FECHA DE VENCIMIENTO", "EXPIRY"), "ISSUED": None, "DOB": None, "billing date": None}
     df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", labels.match(text.label_form(F.col("x"))).alias("m"))
     assert {r.x: (r.m.canonical, r.m.role) if r.m else None for r in df.collect()} == cases
-    r = one(spark, a=labels.declares_no_expiry(F.lit("Expiry date: N/A")), b=labels.declares_no_expiry(F.lit("EXPIRES 04/23/2030")), f=text.label_form(F.lit("Ǆ Żółć ﬁ émigré ß")))
+    r = one(spark, a=labels.declares_no_expiry(F.lit("VALID: NON-EXPIRING")), b=labels.declares_no_expiry(F.lit("EXPIRES 04/23/2030")), f=text.label_form(F.lit("Ǆ Żółć ﬁ émigré ß")))
     assert r.a and not r.b and r.f == "ZO C FI EMIGRE SS"
 
 
+def test_documents_that_say_they_have_no_end(spark):
+    cases = {"VALID: NON-EXPIRING": True, "NON-EXPIRING": True, "permanent": True, "Coverage continuous while employed": True, "EXPIRES 04/2030": False, "Expiry date: N/A": False, "": False, None: False}
+    df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", labels.declares_no_expiry(F.col("x")).alias("d"))
+    assert {r.x: r.d for r in df.collect()} == cases
+
+
+def test_phrases_of_one_pass(spark):
+    texts = ["ushers", "", None, "he she", "x" * 2_000_000 + "hers"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", phrases.hits(F.col("t"), ["he", "she", "his", "hers", "he"]).alias("h"))
+    assert {r.i: r.h for r in df.collect()} == {0: [0, 1, 3], 1: [], 2: None, 3: [0, 1], 4: [0, 3]}
+
+
+def test_misreads_and_repairs_both_ways(spark):
+    is_date = lambda v: F.try_to_date(v, "MM/dd/yyyy").isNotNull()
+    r = one(spark, a=dates.probable_misread(F.lit("81/01/2030"), is_date), b=dates.probable_misread(F.lit("99/99/2030"), is_date), c=dates.probable_misread(F.lit("0/8"), is_date))
+    assert (r.a, r.b, r.c) == (True, False, False)
+    td3 = ["P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"]
+    r = one(spark, a=machine.repair_notes(F.lit("TD3"), F.array(F.lit(td3[0].replace("UTO", "UT0")), F.lit(td3[1].replace("UTO", "UT0")))), b=machine.repair_notes(F.lit("TD3"), F.array(F.lit(td3[0]), F.lit(td3[1].replace("1204159", "1204158")))), c=machine.repair_notes(F.lit("TD3"), F.array(*map(F.lit, td3))))
+    assert (r.a, r.b, r.c) == ("0→O at line 1 col 5, 0→O at line 2 col 13", None, None)
+
+
+def test_payloads(spark):
+    version2 = "@\n\x1e\rANSI 636014100102DL00410279ZC03200010DLDAQD123\nDBA04232030\nDBD04232024 \nDBB04231990\nDBA01012099\nDAC\rDCGUSA\x1eDAJCA\r"
+    version1 = "ANSI 6360140101DL00290179DLDBA20300423\nDBB19900423\n"
+    df = spark.createDataFrame([(0, version2), (1, version1), (2, "no header"), (3, None), (4, "AAMVA63601405")], "i int, p string").select("i", machine.aamva_payload(F.col("p")).alias("x"))
+    found = {r.i: r.x for r in df.collect()}
+    assert (found[0].iin, found[0].version, found[0].types) == ("636014", 10, ["DL", "ZC"])
+    assert found[0].elements == {"DAQ": "D123", "DBA": "04232030", "DBD": "04232024", "DBB": "04231990", "DCG": "USA", "DAJ": "CA"}
+    assert (found[1].version, found[1].elements) == (1, {"DBA": "20300423", "DBB": "19900423"})
+    assert found[2] is None and found[3] is None and found[4].elements == {}
+
+
 def test_scripts(spark):
     r = one(spark, n=text.other_letters(F.lit("한ᄒ㐀ݐ")), u=text.unsupported_script(F.lit(2), F.lit(2)), v=text.unsupported_script(F.lit(1), F.lit(1)), l=text.latin_letters(F.lit("aÀ×ɏ1")), d=text.non_latin_dominant(F.lit("СРОК do")), e=text.non_latin_dominant(F.lit("...")))
     assert (r.n, r.u, r.v, r.l, r.d, r.e) == (4, True, False, 4, True, False)
@@ -128,6 +160,8 @@ def test_rejections_and_quality(spark):
     assert r.gate.codes == ["OUT_OF_DOMAIN", "SCREEN_CAPTURE_NOT_DOCUMENT"] and r.gate.confidence == 0.9 and r.seen is None
     a = one(spark, a=respond.admission(F.lit(False), F.lit(True), F.lit(True), F.lit(0.02))).a
     assert (a.decision, len(a.signals), a.codes, a.spend_avoided_usd) == ("REJECT", 2, ["SCREEN_CAPTURE_NOT_DOCUMENT"], 0.02)
+    limited, full = (one(spark, a=respond.admission(F.lit(False), F.lit(False), F.lit(p))).a for p in (False, True))
+    assert (limited.decision, limited.spend_avoided_usd, full.decision, full.spend_avoided_usd) == ("ADMIT_LIMITED", 0.0, "ADMIT_FULL", None)
     q = one(spark, c=gate.clipping(F.array(*(F.lit(float(x)) for x in (0, 5, 100, 250)))), q=gate.quality_codes(F.lit(99.0), F.lit(0.1), F.lit(50.0), F.lit(40.0), F.lit(-16.0), F.lit(149)))
     assert (q.c.highlight, q.c.shadow, len(q.q)) == (0.25, 0.5, 5)
 

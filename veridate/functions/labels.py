@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridate.functions import sql, text
+from veridate.functions import phrases, sql, text
 
 #: Labels of a date that ends validity, of one that dates a statement, and field codes of licence cards.
 EXPIRY_LABELS = [
@@ -42,8 +42,10 @@ def match(form: Column) -> Column:
 BARE = "^[0-9]+$"
 
 
-def declares_no_expiry(page: Column) -> Column:
-    """Whether some expiry label on a page is followed by a word that says there is no date."""
-    ends = "|".join(sorted((s.replace(" ", r"\W+") for s in text.SENTINELS), key=len, reverse=True))
-    names = "|".join(sorted((x.replace(" ", r"\W+") for x in EXPIRY_LABELS), key=len, reverse=True))
-    return F.coalesce(F.upper(page).rlike(rf"(^|\W)({names})\W+({ends})(\W|$)"), F.lit(False))
+#: Phrases by which a document says that it has no end.
+NON_EXPIRING = ["NON-EXPIRING", "NON EXPIRING", "NONEXPIRING", "INDEFINITE", "DOES NOT EXPIRE", "NO EXPIRATION", "NO EXPIRY", "PERMANENT", "COVERAGE CONTINUOUS", "CONTINUOUS COVERAGE", "NO TERMINATION DATE"]
+
+
+def declares_no_expiry(words: Column) -> Column:
+    """Whether a text says in words, anywhere and in either case, that there is no end; false for null."""
+    return F.coalesce(F.size(phrases.hits(F.upper(words), NON_EXPIRING)) > 0, F.lit(False))

@@ -37,14 +37,30 @@ def alphabet_ratio(line: Column) -> Column:
     return F.when(F.length(seen) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(seen, "[^A-Z0-9<]", "")) / F.length(seen))
 
 
+def aamva_payload(payload: Column) -> Column:
+    """Struct (iin, version, types, elements) of a barcode payload; null without a compliance header.
+
+    Records are found by their own codes, not by the header's offsets: after as many subfile designators as it
+    counts, or else from the first mark of a subfile on.  Records end with LF, CR or RS; the first of a code wins,
+    empty values drop out.
+    """
+    header = r"(ANSI |AAMVA)([0-9]{6})([0-9]{2})"
+    after = "substring(p.payload, regexp_instr(p.payload, h) + 13)"
+    plain = sql.let("n", "coalesce(try_cast(substring(t, 1, 2) as int), 0)", "regexp_extract(substring(t, 3), concat('^((?:[A-Z]{2}[0-9]{8}){0,', n, '})'), 1)")
+    types = "if(d = '', array('DL', 'ID'), transform(sequence(1, int(length(d) / 10)), i -> substring(d, 10 * i - 9, 2)))"
+    body = "if(d <> '', substring(t, 3 + length(d)), substring(t, 2 + greatest(1, regexp_instr(substring(t, 3), '(?:DL|ID|EN)[A-Z]{3}'))))"
+    bare = "if(exists(y, k -> startswith(s, k) and substring(s, 3, 3) rlike '^[A-Z]{3}'), substring(s, 3), s)"
+    pair = "named_struct('code', substring(s, 1, 3), 'value', regexp_replace(substring(s, 4), r'^\\s+|\\s+$', ''))"
+    pairs = f"filter(transform(filter(transform(split({body}, r'[\\n\\r\\x1e]+'), s -> {bare}), s -> s rlike '^[A-Z]{{3}}'), s -> {pair}), v -> v.value <> '')"
+    elements = sql.let("r", pairs, "map_from_entries(filter(r, (v, i) -> not exists(slice(r, 1, i), u -> u.code = v.code)))")
+    found = sql.let("d", plain, sql.let("y", types, f"named_struct('iin', regexp_extract(p.payload, h, 2), 'version', int(regexp_extract(p.payload, h, 3)), 'types', y, 'elements', {elements})"))
+    tail = f"if(regexp_extract(p.payload, h, 3) >= '02', substring({after}, 3), {after})"
+    return sql.bind(sql.let("h", sql.text(header), f"if(p.payload rlike h, {sql.let('t', tail, found)}, null)"), payload=payload)
+
+
 def aamva_elements(payload: Column) -> Column:
-    """Map of element codes to values: records end with LF, CR or RS, the first of a code wins, empty values drop out."""
-    body = F.regexp_replace(payload, r"(?s)^.*?ANSI \d{6}\d{2}\d{2}\d{2}(?:[A-Z]{2}\d{8})+[A-Z]{2}", "")
-    records = F.filter(F.split(body, "[\n\r\x1e]"), lambda r: r.rlike("^[A-Z]{3}.+"))
-    pairs = F.transform(records, lambda r: F.struct(F.substring(r, 1, 3).alias("code"), F.trim(r.substr(F.lit(4), F.length(r))).alias("value")))
-    filled = F.filter(pairs, lambda p: p["value"] != "")
-    first = F.aggregate(filled, F.array().cast("array<struct<code:string,value:string>>"), lambda acc, p: F.when(F.exists(acc, lambda q: q["code"] == p["code"]), acc).otherwise(F.concat(acc, F.array(p))))
-    return F.map_from_entries(first)
+    """Map of element codes to values."""
+    return aamva_payload(payload)["elements"]
 
 
 def aamva_version(payload: Column) -> Column:

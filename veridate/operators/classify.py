@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridate.functions import phrases, sql
 from veridate.functions import text as texts
 from veridate.functions.dates import let
 
@@ -28,18 +29,34 @@ KEYWORDS = [
 SCREENS = [(1920, 1080), (2560, 1440), (3840, 2160), (1366, 768), (1536, 864), (1440, 900), (1280, 720), (1600, 900), (1280, 800), (1170, 2532), (1179, 2556), (1284, 2778), (1290, 2796), (1080, 1920), (1080, 2340), (1080, 2400), (1080, 2280), (828, 1792), (750, 1334), (640, 1136), (1440, 3040), (1440, 3200)]
 
 
-def keyword_scores(text: Column) -> Column:
-    """Array of (score, class_ord, class) of the classes with a hit, best first, listed order on ties; hits anywhere in the lower-case text."""
+#: Terms too general for the gate.
+EXCLUDED = ["restrictions", "endorsements", "bill date", "total due", "amount due", "effective date"]
+GATE_TERMS = [(c, t) for c, _, ts in KEYWORDS for t in ts if t not in EXCLUDED]
+#: All terms in order, as phrases of one automaton.
+TERMS = [t for _, _, terms in KEYWORDS for t in terms]
 
-    def body(low: Column) -> Column:
-        scores: dict[str, Column] = {}
-        for name, weight, terms in KEYWORDS:
-            hits = reduce(lambda a, b: a + b, (F.contains(low, F.lit(t)).cast("int") for t in terms)) * F.lit(weight)
-            scores[name] = scores[name] + hits if name in scores else hits
-        found = F.array(*(F.struct((-F.round(s, 6)).alias("less"), F.lit(i).alias("class_ord"), F.lit(name).alias("class")) for i, (name, s) in enumerate(scores.items())))
-        return F.array_sort(F.filter(found, lambda x: x["less"] < 0))
 
-    return let(F.lower(text), body)  # once a text, not once a term
+def keyword_hits(text: Column) -> Column:
+    """Indexes of the TERMS, and after them the STATES, that stand anywhere in the lower-case text."""
+    return phrases.hits(F.lower(text), [*TERMS, *STATES])
+
+
+def gate_hit(text: Column) -> Column:
+    """Struct (term, class) of the first term, in listed order, that speaks for a document of this domain; null if there is none."""
+    terms = ", ".join(f"named_struct('term', {sql.text(t)}, 'class', '{c}')" for c, t in GATE_TERMS)
+    return sql.bind(f"get(array({terms}), get(p.found, 0))", found=phrases.hits(F.lower(text), [t for _, t in GATE_TERMS]))
+
+
+def keyword_scores(found: Column) -> Column:
+    """Array of (less, class_ord, class) of the classes with a hit among keyword_hits(), best first, listed order on ties."""
+    scores: dict[str, str] = {}
+    at = 0
+    for name, weight, terms in KEYWORDS:
+        part = f"size(filter(p.found, h -> h between {at} and {at + len(terms) - 1})) * {weight}D"
+        scores[name] = f"{scores[name]} + {part}" if name in scores else part
+        at += len(terms)
+    rows = ", ".join(f"named_struct('less', -round({s}, 6), 'class_ord', {i}, 'class', '{name}')" for i, (name, s) in enumerate(scores.items()))
+    return sql.bind(f"array_sort(filter(array({rows}), c -> c.less < 0))", found=found)
 
 
 def aspect(width: Column, height: Column) -> Column:
@@ -81,11 +98,11 @@ SETTLED, BLANK, BLUR, DPI, CLIPPED, PASSPORT_PAGE = 0.85, 5, 100, 150, 0.15, (1.
 PAPERS = ["BANK_STATEMENT", "UTILITY_BILL", "EMPLOYMENT_LETTER"]
 
 
-def issuer(hint: Column, mrz_issuer: Column, low: Column) -> Column:
-    """The issuer that was given, or read, or the first state whose name is in the text."""
-    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("code")) for n, c in STATES.items()))
-    found = F.get(F.filter(names, lambda s: F.contains(low, s["name"])), F.lit(0))["code"]
-    return F.coalesce(F.nullif(hint, F.lit("")), F.nullif(mrz_issuer, F.lit("")), found)
+def issuer(hint: Column, mrz_issuer: Column, found: Column) -> Column:
+    """The issuer that was given, or read, or the first state whose name is among keyword_hits()."""
+    codes = ", ".join(f"'{c}'" for c in STATES.values())
+    state = sql.bind(f"get(array({codes}), get(filter(p.found, h -> h >= {len(TERMS)}), 0) - {len(TERMS)})", found=found)
+    return F.coalesce(F.nullif(hint, F.lit("")), F.nullif(mrz_issuer, F.lit("")), state)
 
 
 def damping(blur: Column, dpi: Column, clipping: Column) -> Column:
@@ -141,7 +158,7 @@ def classify(text: Column, width: Column, height: Column, has_mrz: Column, mrz_f
     names = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
 
     def body(x: Column) -> Column:
-        by = issuer(hint, mrz_issuer, x["low"])
+        by = issuer(hint, mrz_issuer, x["found"])
         foreign = text.isNotNull() & (x["letters"] > 0) & texts.non_latin_dominant(text)
         codes = F.when(foreign, names("UNSUPPORTED_SCRIPT")).otherwise(names())
         damped = damping(blur, dpi, clipping)
@@ -162,4 +179,6 @@ def classify(text: Column, width: Column, height: Column, has_mrz: Column, mrz_f
             .otherwise(_result("OTHER_DOCUMENT", F.round(damped * 0.25, 2), "UNKNOWN", by, True, shape_hypotheses(width, height, pages, pdf), bare, "shape"))
         )
 
-    return let(F.struct(low.alias("low"), F.length(F.regexp_replace(low, "[^a-z0-9]", "")).alias("letters"), keyword_scores(low).alias("scored")), body)
+    letters = F.length(F.regexp_replace(low, "[^a-z0-9]", "")).alias("letters")
+    seen = F.struct(letters, keyword_hits(low).alias("found"))
+    return let(seen, lambda x: let(F.struct(x["letters"], x["found"], keyword_scores(x["found"]).alias("scored")), body))

@@ -14,6 +14,8 @@ TERMINAL = ["EMPTY_FILE", "UNSUPPORTED_TYPE"]
 REJECTION_CODES = {"UNSUPPORTED_TYPE": "UNSUPPORTED_TYPE", "CORRUPT_FILE": "CORRUPT_FILE", "ENCRYPTED_PDF": "ENCRYPTED_PDF", "RESOLUTION_TOO_LOW": "RESOLUTION_TOO_LOW"}
 #: Code of each signal that is a confident negative.
 GATE_CODES = [("DOCUMENT_LIKENESS", "NOT_A_DOCUMENT_IMAGE"), ("SCREEN_CAPTURE", "SCREEN_CAPTURE_NOT_DOCUMENT")]
+#: Fixed value: dollars that two model calls cost at most, by estimate.
+CALLS_USD = 0.08
 _SIGNALS = ("DOCUMENT_LIKENESS", "SCREEN_CAPTURE", "POSITIVE_DOMAIN_SIGNAL")
 
 
@@ -35,11 +37,12 @@ def gate_codes(asked: Column) -> Column:
     return F.array_compact(F.array(*(F.when(negative(name), code) for name, code in GATE_CODES)))
 
 
-def admission(likeness_negative: Column, screen_negative: Column, positive: Column, call_cost: Column) -> Column:
-    """Struct (decision, signals, codes, spend_avoided_usd): what the gate found, and what was not spent because of it."""
+def admission(likeness_negative: Column, screen_negative: Column, positive: Column, call_cost: Column | None = None) -> Column:
+    """Struct (decision, signals, codes, spend_avoided_usd): what the gate found, and what was not spent because of it: a rejection saves the calls, a limited admission nothing yet, and a full one has no figure."""
+    call_cost = F.lit(CALLS_USD) if call_cost is None else call_cost
     decision = gate.outcome(likeness_negative, screen_negative, positive)
     asked = signals(likeness_negative, screen_negative, positive)
-    return let(F.struct(decision.alias("decision"), asked.alias("signals")), lambda a: F.struct(a["decision"].alias("decision"), a["signals"].alias("signals"), gate_codes(a["signals"]).alias("codes"), F.when(a["decision"] == "ADMIT_FULL", 0.0).otherwise(call_cost).alias("spend_avoided_usd")))
+    return let(F.struct(decision.alias("decision"), asked.alias("signals")), lambda a: F.struct(a["decision"].alias("decision"), a["signals"].alias("signals"), gate_codes(a["signals"]).alias("codes"), F.when(a["decision"] == "REJECT", call_cost).when(a["decision"] == "ADMIT_LIMITED", 0.0).alias("spend_avoided_usd")))
 
 
 def rejected(kind: Column, gate_found: Column) -> Column:

@@ -43,7 +43,10 @@ def two_call_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array(entry(F.date_format(day, "dd MMM yyyy"), "UNKNOWN", k % 5 == 0), entry(us(other), "ISSUE", F.lit(False)))
     mapper = F.when(k % 4 == 3, F.array().cast("array<struct<raw:string,role:string,illegible:boolean>>")).otherwise(both)
     hunter = F.when(k % 3 == 0, us(day)).when(k % 3 == 1, us(F.date_add(day, 7)))
-    found = twocalls.merge(hunter, k % 11 != 0, mapper, k % 7 != 0, pick(CLASSES, k % 12), k % 10 == 0, F.lit("US"), as_of())
+    errors = F.when(k % 11 != 0, F.array(F.lit(None).cast("string"))).when(k % 6 == 1, F.array(F.lit("rate_limit"), F.lit("rate_limit"))).when(k % 6 == 2, F.array(F.lit("timeout"))).otherwise(F.array(F.lit("overloaded")))
+    asked = twocalls.attempts(errors)["outcome"]
+    failures = F.array_compact(F.array(F.when(asked != "OK", asked), F.when(k % 7 == 0, "MODEL_UNAVAILABLE")))
+    found = twocalls.merge(hunter, asked == "OK", mapper, k % 7 != 0, pick(CLASSES, k % 12), k % 10 == 0, F.lit("US"), as_of(), failures)
     tried = twocalls.attempts(F.when(k % 6 == 0, F.array(F.lit("rate_limit"), F.lit(None))).when(k % 6 == 1, F.array(F.lit("rate_limit"), F.lit("rate_limit"))).when(k % 6 == 2, F.array(F.lit("timeout"))).otherwise(F.array(F.lit(None).cast("string"))))
     rows = read(spark, sf_dir, "customer").select(k.alias("doc_id"), found.alias("m"), tried.alias("t"))
     told = F.array_join(F.transform("m.candidates", lambda c: F.concat_ws(":", c["role"], F.date_format(c["iso"], "yyyy-MM-dd"), F.format_string("%.3f", c["confidence"]))), ";")
@@ -61,10 +64,10 @@ ORACLES = {
     "evaluation_summary": f"""{_EVALUATED}, n AS (SELECT count(*) n, count(*) FILTER (ok) c, count(*) FILTER (committed) a, count(*) FILTER (committed AND ok) r, count(*) FILTER (committed AND NOT ok) w, count(*) FILTER (adv) adversarial, count(*) FILTER (adv AND decision = 'REJECTED') t, count(*) FILTER (adv AND "cost" = 0) contained, count(*) FILTER (NOT adv AND decision = 'REJECTED') f, sum("cost") usd FROM s)
       SELECT n documents, round(a / n, 6) coverage, round(CASE WHEN a > 0 THEN r / a ELSE 0 END, 6) accuracy, round(c / n, 6) overall, w confidently_wrong, adversarial, t turned_away, contained, f false_rejects, CAST(round(usd / 10000.0, 4) AS DOUBLE) usd, CAST(round(t * 16.0, 4) AS DOUBLE) minutes_low, CAST(round(t * 24.0, 4) AS DOUBLE) minutes_high FROM n""",
     "evaluation_tiers": f"""{_EVALUATED} SELECT tier, count(*) documents, round(count(*) / sum(count(*)) OVER (), 6) AS "share", round(sum(ms) / count(*), 4) mean_ms, CAST(round(CAST(sum("cost") AS DOUBLE) / 10000 / count(*), 6) AS DOUBLE) mean_usd, CAST(row_number() OVER (ORDER BY count(*) DESC, tier) AS INTEGER) tier_rank FROM s GROUP BY tier""",
-    "two_call_candidates": """WITH c AS (SELECT c_custkey k, CAST(DATE '1999-01-13' + CAST(c_custkey * 31 % 300 AS INTEGER) AS DATE) d, c_custkey % 11 <> 0 h, c_custkey % 7 <> 0 m, c_custkey % 4 = 3 bare FROM customer),
+    "two_call_candidates": """WITH c AS (SELECT c_custkey k, CAST(DATE '1999-01-13' + CAST(c_custkey * 31 % 300 AS INTEGER) AS DATE) d, c_custkey % 11 <> 0 h, c_custkey % 7 <> 0 m, c_custkey % 4 = 3 bare, CASE c_custkey % 6 WHEN 1 THEN 'RATE_LIMITED' WHEN 2 THEN 'TIMEOUT' ELSE 'MODEL_UNAVAILABLE' END fc FROM customer),
       r AS (SELECT *, h AND k % 3 <> 2 said, h AND k % 3 = 0 AND m AND NOT bare met FROM c),
       x AS (SELECT *, said AND NOT met beside, CASE WHEN m AND NOT bare THEN [CASE WHEN met THEN 'EXPIRY' ELSE 'UNKNOWN' END || ':' || strftime(d, '%Y-%m-%d') || ':' || CASE WHEN met THEN CASE WHEN k % 5 = 0 THEN '0.425' ELSE '0.850' END WHEN k % 5 = 0 THEN '0.250' ELSE '0.500' END, 'ISSUE:' || strftime(d + 500, '%Y-%m-%d') || ':0.500'] ELSE [] END own FROM r),
       y AS (SELECT *, CASE WHEN beside THEN list_append(own, 'EXPIRY:' || strftime(d + CASE WHEN k % 3 = 1 THEN 7 ELSE 0 END, '%Y-%m-%d') || ':' || CASE WHEN m THEN '0.150' ELSE '0.500' END) ELSE own END every FROM x)
-      SELECT k doc_id, array_to_string(every, ';') candidates, concat_ws(';', CASE WHEN NOT h OR NOT m THEN 'MODEL_UNAVAILABLE' END, CASE WHEN k % 10 = 0 AND m THEN 'PROMPT_INJECTION_SUSPECTED' END, CASE WHEN beside AND m THEN 'HUNTER_MAPPER_DISAGREE' END, CASE WHEN beside AND NOT m THEN 'LOW_TIER_CONFIDENCE' END, CASE WHEN (h OR m) AND len(every) = 0 THEN CASE WHEN k % 12 IN (9, 10, 11) THEN 'NO_EXPIRY_SEMANTICS' ELSE 'NO_DATES_FOUND' END END) codes,
+      SELECT k doc_id, array_to_string(every, ';') candidates, concat_ws(';', CASE WHEN NOT h THEN fc END, CASE WHEN NOT m AND (h OR fc <> 'MODEL_UNAVAILABLE') THEN 'MODEL_UNAVAILABLE' END, CASE WHEN k % 10 = 0 AND m THEN 'PROMPT_INJECTION_SUSPECTED' END, CASE WHEN beside AND m THEN 'HUNTER_MAPPER_DISAGREE' END, CASE WHEN beside AND NOT m THEN 'LOW_TIER_CONFIDENCE' END, CASE WHEN (h OR m) AND len(every) = 0 THEN CASE WHEN k % 12 IN (9, 10, 11) THEN 'NO_EXPIRY_SEMANTICS' ELSE 'NO_DATES_FOUND' END END) codes,
         len(every) = 0 abstained, CASE k % 6 WHEN 1 THEN 'RATE_LIMITED' WHEN 2 THEN 'TIMEOUT' ELSE 'OK' END outcome, CAST(CASE WHEN k % 6 < 2 THEN 500 ELSE 0 END AS BIGINT) waited_ms FROM y""",
 }

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.functions.dates import let
 from veridate.operators import classify, gate, merge
 from veridate.plans.orders import CLASSES, ROLES, pick, read
 
-#: The class keywords without those too general for the gate (fixed values).
-EXCLUDED = ["restrictions", "endorsements", "bill date", "total due", "amount due", "effective date"]
-GATE_TERMS = [(c, t) for c, _, ts in classify.KEYWORDS for t in ts if t not in EXCLUDED]
 ISSUERS = ["USA", "TX", "United States of America", "DEU", "Ontario", "", "CAN"]
 
 
@@ -44,21 +40,33 @@ def issuer_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first domain keyword in each conversation turn, in listed order; a term is appended to every fourth."""
-    terms = GATE_TERMS
-    body = F.lower(F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(" "), pick([t for _, t in terms], (F.col("conv_id") + F.col("turn")) % len(terms)))).otherwise("")))
-    # The lower-case text is bound once, not once a term.
-    hit = let(body, lambda x: F.coalesce(*(F.when(F.contains(x, F.lit(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("class"))) for c, t in terms)))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", hit.alias("h")).where("h is not null").select("conv_id", "turn", "h.term", "h.class")
+    terms = [t for _, t in classify.GATE_TERMS]
+    body = F.concat("text", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(" "), pick(terms, (F.col("conv_id") + F.col("turn")) % len(terms)))).otherwise(""))
+    found = read(spark, sf_dir, "conversations").select("conv_id", "turn", classify.gate_hit(body).alias("h"))
+    return found.where("h is not null").select("conv_id", "turn", "h.term", "h.class")
 
 
 def content_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work done once for each distinct content and given to all its copies: figures of one row a content hash, joined back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.length("text").alias("chars"))
     once = docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("chars").alias("chars"))
-    return docs.select("doc_id", "content_hash").join(once, "content_hash")
-
-
-_TERMS = GATE_TERMS
+    own, hashed = docs.select("doc_id", F.col("content_hash").alias("own")), once.alias("once")
+    return own.join(hashed, F.col("own").eqNullSafe(F.col("content_hash"))).drop("own")
+
+
+#: The SQL's own list of the gate's terms by class, in order (fixed values).
+_GATE = {
+    "BANK_STATEMENT": "statement period|account statement|account holder|account number|transaction history|statement of account|opening balance|closing balance|available balance|account summary|sort code|routing number|iban|withdrawals|deposits",
+    "UTILITY_BILL": "meter reading|utility|supply address|kwh|tariff|billing period|council tax|electricity supply|gas supply|water services|service address",
+    "EMPLOYMENT_LETTER": "to whom it may concern|confirmation of employment|employment history|letter confirms|employment status|employment verification|is employed|date of joining|annual salary|per annum|human resources|hereby certify|job title|designation",
+    "MEDICAL_INSURANCE_CARD": "member id|insurance|coverage|plan name|benefits|group number|rx bin|rx pcn|copay|subscriber|health plan|policy number|coverage period",
+    "PASSPORT": "passport|passeport|pasaporte|reisepass",
+    "US_DRIVERS_LICENSE": "driver license|driver's license|driving licence|dl no|dln|department of licensing|department of motor vehicles",
+    "US_STATE_ID": "identification card|state id|non-driver",
+    "RESIDENCE_PERMIT": "residence permit|titre de sejour|aufenthaltstitel|aufenthaltserlaubnis|permesso di soggiorno",
+    "NATIONAL_ID_CARD": "identity card|national id|carte nationale|personalausweis",
+}
+_TERMS = [(c, t) for c, ts in _GATE.items() for t in ts.split("|")]
 _LIST = "[" + ", ".join("'" + t.replace("'", "''") + "'" for _, t in _TERMS) + "]"
 _KEYS = ", ".join(f"({i}, '{c}', '" + t.replace("'", "''") + "')" for i, (c, t) in enumerate(_TERMS))
 _Z = {"ta": "i < 8", "tb": "i BETWEEN 8 AND 23", "ba": "i >= 56", "bb": "i BETWEEN 40 AND 55", "la": "i % 8 = 0", "ra": "i % 8 = 7"}
@@ -73,9 +81,9 @@ ORACLES = {
     "merged_candidates": """WITH c AS (SELECT DISTINCT l_orderkey doc_id, CAST(l_suppkey % 4 AS INTEGER) tier_rank, CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey cand_ord, CASE WHEN l_linenumber % 2 = 0 THEN 'EXPIRY' ELSE 'UNKNOWN' END AS "role", strftime(date_trunc('quarter', l_shipdate), '%Y-%m-%d') iso FROM lineitem),
       n AS (SELECT doc_id, "role", iso, count(DISTINCT tier_rank) readers FROM c GROUP BY ALL)
       SELECT doc_id, "role", iso, tier_rank, cand_ord, CAST(readers AS INTEGER) readers FROM c JOIN n USING (doc_id, "role", iso) QUALIFY row_number() OVER (PARTITION BY doc_id, "role", iso ORDER BY tier_rank, cand_ord) = 1""",
-    "issuer_conventions": f"""WITH c AS (SELECT c_custkey doc_id, CASE WHEN c_custkey % 9 <> 0 THEN ([{', '.join(f"'{x}'" for x in ISSUERS)}])[CAST(c_custkey % {len(ISSUERS)} AS INTEGER) + 1] END issuer, ([{', '.join(f"'{x}'" for x in CLASSES)}])[CAST(c_custkey % 12 AS INTEGER) + 1] AS "class" FROM customer)
+    "issuer_conventions": f"""WITH c AS (SELECT c_custkey doc_id, CASE WHEN c_custkey % 9 <> 0 THEN (['USA', 'TX', 'United States of America', 'DEU', 'Ontario', '', 'CAN'])[CAST(c_custkey % 7 AS INTEGER) + 1] END issuer, (['US_DRIVERS_LICENSE', 'US_STATE_ID', 'NON_US_DRIVERS_LICENSE', 'PASSPORT', 'NATIONAL_ID_CARD', 'RESIDENCE_PERMIT', 'MEDICAL_INSURANCE_CARD', 'BANK_STATEMENT', 'UTILITY_BILL', 'EMPLOYMENT_LETTER', 'OTHER_DOCUMENT', 'NOT_A_DOCUMENT'])[CAST(c_custkey % 12 AS INTEGER) + 1] AS "class" FROM customer)
       SELECT *, CASE WHEN issuer IN ('USA', 'TX', 'United States of America') THEN 'US' WHEN issuer <> '' THEN 'DMY' WHEN "class" IN ('NON_US_DRIVERS_LICENSE', 'NATIONAL_ID_CARD') THEN 'DMY' END convention FROM c""",
     "gate_keywords": f"""WITH k(o, "class", term) AS (VALUES {_KEYS}), t AS (SELECT conv_id, turn, lower(text || CASE WHEN conv_id % 4 = 0 THEN ' ' || ({_LIST})[CAST((conv_id + turn) % {len(_TERMS)} AS INTEGER) + 1] ELSE '' END) x FROM conversations)
       SELECT conv_id, turn, term, "class" FROM t JOIN k ON contains(x, term) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) = 1""",
-    "content_memo": """WITH d AS (SELECT doc_id, sha256(text) content_hash, length(text) chars FROM documents), o AS (SELECT content_hash, count(*) copies, min(doc_id) first_doc, CAST(max(chars) AS INTEGER) chars FROM d GROUP BY 1) SELECT doc_id, content_hash, copies, first_doc, o.chars FROM d JOIN o USING (content_hash)""",
+    "content_memo": """WITH d AS (SELECT doc_id, sha256(text) content_hash, length(text) chars FROM documents), o AS (SELECT content_hash, count(*) copies, min(doc_id) first_doc, CAST(max(chars) AS INTEGER) chars FROM d GROUP BY 1) SELECT doc_id, o.content_hash, copies, first_doc, o.chars FROM d JOIN o ON d.content_hash IS NOT DISTINCT FROM o.content_hash""",
 }

@@ -101,11 +101,11 @@ orders_ AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) issued FROM
 cand AS (
   SELECT o_orderkey doc_id, 0 cand_ord, 'DATE_OF_BIRTH' AS "role", CAST(DATE '1960-01-01' + CAST(o_custkey * 37 % 12000 AS INTEGER) AS DATE) iso FROM orders_
   UNION ALL SELECT o_orderkey, 1, 'ISSUE', issued FROM orders_
-  UNION ALL SELECT l_orderkey, l_linenumber + 1, ([{', '.join(f"'{r}'" for r in ROLES)}])[l_linenumber % 5 + 1], CAST(CAST(l_shipdate AS DATE) + to_months(l_linenumber * 36) AS DATE) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-cands AS (SELECT *, ([{', '.join(f"'{c}'" for c in CLASSES)}])[CAST(doc_id % 12 AS INTEGER) + 1] AS "class", (doc_id + cand_ord) % 7 <> 0 grounded FROM cand WHERE doc_id % 97 <> 0),
+  UNION ALL SELECT l_orderkey, l_linenumber + 1, (['EXPIRY', 'UNKNOWN', 'TRANSACTION', 'STATEMENT_PERIOD_END', 'COVERAGE_END'])[l_linenumber % 5 + 1], CAST(CAST(l_shipdate AS DATE) + to_months(l_linenumber * 36) AS DATE) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+cands AS (SELECT *, (['US_DRIVERS_LICENSE', 'US_STATE_ID', 'NON_US_DRIVERS_LICENSE', 'PASSPORT', 'NATIONAL_ID_CARD', 'RESIDENCE_PERMIT', 'MEDICAL_INSURANCE_CARD', 'BANK_STATEMENT', 'UTILITY_BILL', 'EMPLOYMENT_LETTER', 'OTHER_DOCUMENT', 'NOT_A_DOCUMENT'])[CAST(doc_id % 12 AS INTEGER) + 1] AS "class", (doc_id + cand_ord) % 7 <> 0 grounded FROM cand WHERE doc_id % 97 <> 0),
 refs AS (SELECT doc_id, min(iso) FILTER ("role" = 'ISSUE') issue, min(iso) FILTER ("role" = 'DATE_OF_BIRTH') dob FROM cands GROUP BY doc_id),
 judged AS (
-  SELECT c.*, issue, dob, CASE WHEN "role" IN ({', '.join(f"'{r}'" for r in constraints.NEVER_EXPIRY)}) THEN 'ROLE' WHEN iso <= issue THEN 'NOT_AFTER_ISSUE'
+  SELECT c.*, issue, dob, CASE WHEN "role" IN ('DATE_OF_BIRTH', 'ISSUE', 'COVERAGE_START', 'STATEMENT_PERIOD_START', 'EMPLOYMENT_START', 'EMPLOYMENT_END', 'APPRAISAL', 'PRINT_DATE', 'TRANSACTION') THEN 'ROLE' WHEN iso <= issue THEN 'NOT_AFTER_ISSUE'
     WHEN iso > CAST(issue + to_years(20) AS DATE) THEN 'TERM_TOO_LONG' WHEN iso > DATE '1998-08-02' AND iso > DATE '2023-08-02' THEN 'TOO_FAR_AHEAD'
     WHEN iso < CAST(dob + to_years(15) AS DATE) THEN 'HOLDER_TOO_YOUNG' WHEN dob > iso THEN 'BEFORE_BIRTH' END eliminated_by
   FROM cands c JOIN refs USING (doc_id)),
@@ -124,11 +124,11 @@ ranked AS (SELECT *, CASE WHEN survives THEN row_number() OVER (PARTITION BY doc
 _DOCS = f"""
 held AS (
   SELECT doc_id, max(iso) FILTER ("rank" = 1) winner_iso, max(score100) FILTER ("rank" = 1) winner_score100, max(score100) FILTER ("rank" = 2) runner, count(*) FILTER (survives) survivors,
-    count(*) FILTER (eliminated_by IS NOT NULL) eliminated, max(issue) issue, max(dob) dob, sum(checks) + 1 + CAST(any_value("class") IN ({', '.join(f"'{c}'" for c in IDENTITY)}) AS INTEGER) checks, count(*) n, count(*) FILTER (survives AND NOT grounded) > 0 loose,
+    count(*) FILTER (eliminated_by IS NOT NULL) eliminated, max(issue) issue, max(dob) dob, sum(checks) + 1 + CAST(any_value("class") IN ('US_DRIVERS_LICENSE', 'US_STATE_ID', 'NON_US_DRIVERS_LICENSE', 'PASSPORT', 'NATIONAL_ID_CARD', 'RESIDENCE_PERMIT') AS INTEGER) checks, count(*) n, count(*) FILTER (survives AND NOT grounded) > 0 loose,
     count(*) FILTER (iso < dob AND "role" <> 'DATE_OF_BIRTH') before_birth, count(*) FILTER (eliminated_by = 'NOT_AFTER_ISSUE') > 0 nai, count(*) FILTER (eliminated_by IN ('TERM_TOO_LONG', 'TOO_FAR_AHEAD')) > 0 imp
   FROM ranked GROUP BY doc_id),
 docs AS (
-  SELECT o_orderkey doc_id, ([{', '.join(f"'{c}'" for c in CLASSES)}])[CAST(o_orderkey % 12 AS INTEGER) + 1] AS "class", winner_iso, winner_score100, runner, coalesce(survivors, 0) survivors, coalesce(eliminated, 0) eliminated, issue, dob, coalesce(checks, 0) checks, coalesce(n, 0) n, coalesce(loose, false) loose, coalesce(before_birth, 0) before_birth, coalesce(nai, false) nai, coalesce(imp, false) imp
+  SELECT o_orderkey doc_id, (['US_DRIVERS_LICENSE', 'US_STATE_ID', 'NON_US_DRIVERS_LICENSE', 'PASSPORT', 'NATIONAL_ID_CARD', 'RESIDENCE_PERMIT', 'MEDICAL_INSURANCE_CARD', 'BANK_STATEMENT', 'UTILITY_BILL', 'EMPLOYMENT_LETTER', 'OTHER_DOCUMENT', 'NOT_A_DOCUMENT'])[CAST(o_orderkey % 12 AS INTEGER) + 1] AS "class", winner_iso, winner_score100, runner, coalesce(survivors, 0) survivors, coalesce(eliminated, 0) eliminated, issue, dob, coalesce(checks, 0) checks, coalesce(n, 0) n, coalesce(loose, false) loose, coalesce(before_birth, 0) before_birth, coalesce(nai, false) nai, coalesce(imp, false) imp
   FROM orders LEFT JOIN held ON doc_id = o_orderkey),
 based AS (
   SELECT *, CASE WHEN doc_id % 12 < 6 THEN 'EXPIRY_DATE' WHEN doc_id % 12 = 6 THEN 'COVERAGE_END' WHEN doc_id % 12 < 9 THEN 'RECENCY_WINDOW' WHEN doc_id % 12 = 9 THEN 'NO_EXPIRY' ELSE 'UNDETERMINED' END basis,
@@ -137,7 +137,7 @@ based AS (
       CASE WHEN loose OR (doc_id % 2 = 0 AND doc_id % 9 = 0) THEN 'VALUE_NOT_GROUNDED_IN_OCR' END, CASE WHEN doc_id % 4 = 3 AND doc_id % 3 = 0 THEN 'HUNTER_MAPPER_DISAGREE' END, CASE WHEN doc_id % 6 <> 0 AND doc_id % 200 < 60 THEN 'IMAGE_TOO_BLURRY' END, CASE WHEN doc_id % 8 <> 0 AND doc_id % 400 < 150 THEN 'RESOLUTION_TOO_LOW' END, CASE WHEN abs(winner_score100 - runner) < 10 THEN 'MULTIPLE_EXPIRY_CANDIDATES' END], lambda x: x IS NOT NULL) more FROM docs),
 dated AS (
   SELECT *, CASE WHEN basis IN ('EXPIRY_DATE', 'COVERAGE_END') THEN date_diff('day', DATE '1998-08-02', winner_iso) WHEN basis = 'RECENCY_WINDOW' THEN CASE "class" WHEN 'BANK_STATEMENT' THEN 180 ELSE 90 END - date_diff('day', winner_iso, DATE '1998-08-02') END days_remaining,
-    ([{', '.join(f"'{t}'" for t in TIERS)}])[CAST(doc_id % 4 AS INTEGER) + 1] tier FROM based),
+    (['TA_MRZ', 'TA_PDF417', 'TB_OCR', 'TC_VLM'])[CAST(doc_id % 4 AS INTEGER) + 1] tier FROM based),
 fused AS (
   SELECT *, CASE WHEN basis = 'NO_EXPIRY' THEN 'NOT_APPLICABLE' WHEN days_remaining IS NULL THEN 'INDETERMINATE' WHEN days_remaining >= 0 THEN 'VALID' ELSE 'EXPIRED' END verdict,
     CASE WHEN basis NOT IN ('NO_EXPIRY', 'UNDETERMINED') THEN strftime(winner_iso, '%Y-%m-%d') END AS "date",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridate.functions import dates, labels, machine
 from veridate.operators import classify, crosscheck, gate, pages, respond
+from veridate.plans import evidence
 from veridate.plans.orders import as_of, pick, read
 
 TEXT_LABELS = [*labels.EXPIRY_LABELS, *labels.RECENCY_LABELS]
@@ -135,8 +136,8 @@ def turned_away(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     kinds = ["EMPTY_FILE", "UNSUPPORTED_TYPE", "CORRUPT_FILE", "ENCRYPTED_PDF", "RESOLUTION_TOO_LOW", "RENDER_FAILED"]
     kind = F.when(k % 5 == 0, pick(kinds, k % 6))
-    adm = respond.admission(k % 4 == 1, k % 4 == 2, F.contains(F.lower("text"), F.lit("an")), F.lit(0.02))
-    rows = read(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), adm.alias("a"))
+    adm = respond.admission(k % 4 == 1, k % 4 == 2, F.col("hit").isNotNull() | (k % 7 == 0))
+    rows = read(spark, sf_dir, "documents").withColumn("hit", classify.gate_hit(F.col("text"))).select("doc_id", kind.alias("kind"), adm.alias("a"))
     rows = rows.withColumn("r", respond.rejected(F.col("kind"), F.col("a.codes")))
     signals = F.array_join(F.transform("a.signals", lambda s: F.concat(s["signal"], F.lit(":"), s["outcome"])), ";")
     return rows.select("doc_id", "kind", F.col("a.decision").alias("admission"), signals.alias("signals"), F.col("a.spend_avoided_usd").alias("spend_avoided"), "r.verdict", "r.decision", "r.confidence", F.array_join("r.codes", ";").alias("codes"), "r.delivered")
@@ -209,10 +210,10 @@ ORACLES = {
       y AS (SELECT *, list_transform(list_filter(range(1, 10), lambda n: raised[n] IS NOT NULL AND list_position(raised, raised[n]) = n), lambda n: raised[n]) anomalies FROM x)
       SELECT k doc_id, array_to_string(anomalies, ';') anomalies, CASE WHEN len(met) > 0 THEN CASE WHEN k % 2 = 0 THEN 'MRZ' ELSE 'PDF417' END || CASE WHEN len(bad) = 0 THEN ' agrees with the printed values on ' || array_to_string(met, ', ') ELSE ' disagrees with the printed values on ' || array_to_string(bad, ', ') END END agreement,
         CAST(CASE WHEN len(bad) > 0 THEN 0.5 WHEN len(met) > 0 THEN 0.995 ELSE 0.99 END AS DOUBLE) confidence, len(anomalies) > 0 force_review, CAST(len(met) AS INTEGER) compared FROM y""",
-    "turned_away": """WITH d AS (SELECT doc_id k, CASE WHEN doc_id % 5 = 0 THEN (['EMPTY_FILE', 'UNSUPPORTED_TYPE', 'CORRUPT_FILE', 'ENCRYPTED_PDF', 'RESOLUTION_TOO_LOW', 'RENDER_FAILED'])[CAST(doc_id % 6 AS INTEGER) + 1] END kind, doc_id % 4 = 1 likeness, doc_id % 4 = 2 screen, contains(lower(text), 'an') positive FROM documents)
+    "turned_away": f"""WITH d AS (SELECT doc_id k, CASE WHEN doc_id % 5 = 0 THEN (['EMPTY_FILE', 'UNSUPPORTED_TYPE', 'CORRUPT_FILE', 'ENCRYPTED_PDF', 'RESOLUTION_TOO_LOW', 'RENDER_FAILED'])[CAST(doc_id % 6 AS INTEGER) + 1] END kind, doc_id % 4 = 1 likeness, doc_id % 4 = 2 screen, doc_id % 7 = 0 OR coalesce(len(list_filter({evidence._LIST}, lambda t: contains(lower(text), t))), 0) > 0 positive FROM documents)
       SELECT k doc_id, kind, CASE WHEN likeness OR screen THEN 'REJECT' WHEN positive THEN 'ADMIT_FULL' ELSE 'ADMIT_LIMITED' END admission,
         CASE WHEN likeness THEN 'DOCUMENT_LIKENESS:CONFIDENT_NEGATIVE' ELSE 'DOCUMENT_LIKENESS:UNCERTAIN;SCREEN_CAPTURE:' || CASE WHEN screen THEN 'CONFIDENT_NEGATIVE' ELSE 'UNCERTAIN;POSITIVE_DOMAIN_SIGNAL:' || CASE WHEN positive THEN 'CONFIDENT_POSITIVE' ELSE 'NOT_FOUND' END END END signals,
-        CAST(CASE WHEN likeness OR screen OR NOT positive THEN 0.02 ELSE 0 END AS DOUBLE) spend_avoided,
+        CAST(CASE WHEN likeness OR screen THEN 0.08 WHEN NOT positive THEN 0 END AS DOUBLE) spend_avoided,
         CASE WHEN kind IN ('EMPTY_FILE', 'UNSUPPORTED_TYPE') THEN 'NOT_APPLICABLE' WHEN kind IS NOT NULL THEN 'INDETERMINATE' WHEN likeness OR screen THEN 'NOT_APPLICABLE' END verdict,
         CASE WHEN kind IN ('EMPTY_FILE', 'UNSUPPORTED_TYPE') THEN 'REJECTED' WHEN kind IS NOT NULL THEN 'REVIEW' WHEN likeness OR screen THEN 'REJECTED' END decision,
         CAST(CASE WHEN kind IN ('EMPTY_FILE', 'UNSUPPORTED_TYPE') THEN 1 WHEN kind IS NOT NULL THEN 0 WHEN likeness OR screen THEN 0.9 END AS DOUBLE) confidence,

@@ -17,7 +17,7 @@ def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     terms = F.concat_ws(" ", pick(TERMS, k % len(TERMS)), pick(TERMS, k * 7 % len(TERMS)), F.when(k % 3 == 0, pick(TERMS, k * 11 % len(TERMS))))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), terms).alias("text"))
-    top = docs.select("doc_id", F.posexplode(F.slice(classify.keyword_scores(F.col("text")), 1, 3)).alias("pos", "c"))
+    top = docs.select("doc_id", F.posexplode(F.slice(classify.keyword_scores(classify.keyword_hits(F.col("text"))), 1, 3)).alias("pos", "c"))
     return top.select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("c.class").alias("class"), (-F.col("c.less")).alias("score"))
 
 

@@ -82,9 +82,9 @@ def ymd_sql(year: str, month: str, day: str) -> str:
 
 def _full_year_sql(yy: str, role: str, as_of: str) -> str:
     """full_year() as SQL text."""
-    century = "(c.now - c.now % 100 + c.yy)"
-    nearest = ", ".join(f"struct(abs({century} + {k} - c.now), {century} + {k} as year)" for k in (-100, 0, 100))
-    return sql.let("c", f"named_struct('yy', {yy}, 'now', year({as_of}))", f"if({role} = 'DATE_OF_BIRTH', if({century} > c.now, {century} - 100, {century}), array_min(array({nearest})).year)")
+    century = "(cy.now - cy.now % 100 + cy.yy)"
+    nearest = ", ".join(f"struct(abs({century} + {k} - cy.now), {century} + {k} as year)" for k in (-100, 0, 100))
+    return sql.let("cy", f"named_struct('yy', {yy}, 'now', year({as_of}))", f"if({role} = 'DATE_OF_BIRTH', if({century} > cy.now, {century} - 100, {century}), array_min(array({nearest})).year)")
 
 
 def _read_sql(iso: str, rule: str, ambiguous: str = "false", alternatives: str = "cast(array() as array<date>)") -> str:

@@ -26,9 +26,12 @@ def basis(document_class: Column) -> Column:
     return lookup(BASIS, document_class)
 
 
-def validity(df: DataFrame, date: Column, as_of: Column) -> DataFrame:
-    """Adds basis, date (null where no date applies), days_remaining and verdict; a document is valid to the end of its last day."""
-    b = basis(F.col("class"))
+def validity(df: DataFrame, date: Column, as_of: Column, endless: Column | None = None) -> DataFrame:
+    """Adds basis, date (null where no date applies), days_remaining and verdict; a document is valid to the end of its last day.
+
+    endless: whether a document says itself that it does not expire, which is believed whatever its class.
+    """
+    b = basis(F.col("class")) if endless is None else F.when(endless, "NO_EXPIRY").otherwise(basis(F.col("class")))
     window = F.coalesce(lookup(RECENT, F.col("class")), F.lit(90))
     days = F.when(b.isin("EXPIRY_DATE", "COVERAGE_END"), F.datediff(date, as_of)).when(b == "RECENCY_WINDOW", window - F.datediff(as_of, date))
     verdict = F.when(b == "NO_EXPIRY", "NOT_APPLICABLE").when(days.isNull(), "INDETERMINATE").when(days >= 0, "VALID").otherwise("EXPIRED")

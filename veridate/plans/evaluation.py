@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridate.operators import evaluate, twocalls
 from veridate.plans import orders
-from veridate.plans.orders import CLASSES, as_of, pick, read
+from veridate.plans.orders import CLASSES, as_of, pick, read, spread
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def two_call_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = F.array_compact(F.array(F.when(asked != "OK", asked), F.when(k % 7 == 0, "MODEL_UNAVAILABLE")))
     found = twocalls.merge(hunter, asked == "OK", mapper, k % 7 != 0, pick(CLASSES, k % 12), k % 10 == 0, F.lit("US"), as_of(), failures)
     tried = twocalls.attempts(F.when(k % 6 == 0, F.array(F.lit("rate_limit"), F.lit(None))).when(k % 6 == 1, F.array(F.lit("rate_limit"), F.lit("rate_limit"))).when(k % 6 == 2, F.array(F.lit("timeout"))).otherwise(F.array(F.lit(None).cast("string"))))
-    rows = read(spark, sf_dir, "customer").select(k.alias("doc_id"), found.alias("m"), tried.alias("t"))
+    rows = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("doc_id"), found.alias("m"), tried.alias("t"))
     told = F.array_join(F.transform("m.candidates", lambda c: F.concat_ws(":", c["role"], F.date_format(c["iso"], "yyyy-MM-dd"), F.format_string("%.3f", c["confidence"]))), ";")
     return rows.select("doc_id", told.alias("candidates"), F.array_join("m.codes", ";").alias("codes"), "m.abstained", "t.outcome", "t.waited_ms")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridate.functions import machine
 from veridate.operators import ladder
-from veridate.plans.orders import as_of, read
+from veridate.plans.orders import as_of, read, spread
 from veridate.plans.pages import _boxed
 
 #: A specimen's zone (ICAO 9303) with a wrong check digit of the expiry.
@@ -24,7 +24,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = F.when(k % 3 == 0, F.add_months(e, -360)).otherwise(F.date_add(F.add_months(e, -360), 40))
     form = lambda x, f: F.date_format(x, f)
     iso, us, six = "yyyy-MM-dd", "MMddyyyy", "yyMMdd"
-    base = read(spark, sf_dir, "customer").select(k.alias("doc_id"), v.alias("v"), part.alias("part"), e.alias("e"), d.alias("d"), b.alias("b"))
+    base = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("doc_id"), v.alias("v"), part.alias("part"), e.alias("e"), d.alias("d"), b.alias("b"))
     c = F.col
     check = lambda x: F.concat(x, machine.check_digit(x))
     shown = F.when((c("v") == 13) & (c("doc_id") % 2 == 1), F.date_add("e", 1)).otherwise(c("e"))

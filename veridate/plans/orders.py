@@ -24,6 +24,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """keys over all cores, where a table of few small files would leave the work on each of its rows to few tasks; a table of many files stays as it is."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The value at a 0-based index Column."""
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))

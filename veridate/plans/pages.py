@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridate.functions import dates, labels, machine
 from veridate.operators import classify, crosscheck, gate, pages, respond
 from veridate.plans import evidence
-from veridate.plans.orders import as_of, pick, read
+from veridate.plans.orders import as_of, pick, read, spread
 
 TEXT_LABELS = [*labels.EXPIRY_LABELS, *labels.RECENCY_LABELS]
 
@@ -51,7 +51,7 @@ def page_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(page(words(label, us(e))))
     )
     confidence = F.when(v == 14, 60.0).otherwise(90.0)
-    rows = read(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(1000.0).alias("width"), F.lit(1400.0).alias("height"), F.when(v != 4, "US").alias("convention"), _boxed(lines, confidence).alias("tokens"))
+    rows = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("doc_id"), F.lit(1000.0).alias("width"), F.lit(1400.0).alias("height"), F.when(v != 4, "US").alias("convention"), _boxed(lines, confidence).alias("tokens"))
     found = pages.read_pages(rows, as_of())
     first = F.get("candidates", F.lit(0))
     return found.select("doc_id", "reason", _iso(first["iso"]).alias("iso"), first["role"].alias("role"), first["label"].alias("label"), first["relation"].alias("relation"), first["confidence"].alias("confidence"), F.array_join(F.transform("candidates", lambda c: c["role"]), ";").alias("roles"), F.array_join("codes", ";").alias("codes"))
@@ -75,7 +75,7 @@ def zone_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda start, step, span: F.date_format(F.date_add(F.lit(start).cast("date"), (k * step % span).cast("int")), "yyMMdd")
     number, birth, expiry = F.concat(F.lit("L"), F.lpad(k.cast("string"), 8, "0")), day("1940-01-01", 37, 18000), day("1999-01-01", 11, 3000)
     check = lambda x: F.concat(x, machine.check_digit(x))
-    base = read(spark, sf_dir, "customer").select(k.alias("doc_id"), check(number).alias("n"), check(birth).alias("b"), check(expiry).alias("e"))
+    base = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("doc_id"), check(number).alias("n"), check(birth).alias("b"), check(expiry).alias("e"))
     base = base.withColumns({"opt": F.rpad(F.lit(""), 15, "<"), "name": F.lit("DOE<<JANE<")})
     td1 = F.array(F.concat(F.lit("I<GBR"), "n", "opt"), F.concat("b", F.lit("F"), "e", F.lit("GBR"), F.rpad(F.lit(""), 11, "<"), machine.check_digit(F.concat("n", "opt", "b", "e", F.rpad(F.lit(""), 11, "<")))), F.rpad("name", 30, "<"))
     td2 = F.array(F.rpad(F.concat(F.lit("I<GBR"), "name"), 36, "<"), F.concat("n", F.lit("GBR"), "b", F.lit("F"), "e", F.lit("<<<<<<<"), machine.check_digit(F.concat("n", "b", "e", F.lit("<<<<<<<")))))

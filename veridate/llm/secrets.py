@@ -4,11 +4,15 @@ Fixed patterns find the base spans of every text.  The shapes (character classes
 bounded sample of the distinct values they find, by kind, are the labelled
 credentials: each kind's sample becomes a prefix tree, whose statistically compatible
 states are merged (Hoeffding bound on stop and transition frequencies, folding
-subtrees as they meet) into a probabilistic automaton.  Every other run of credential
-characters in the corpus, whatever its length or make-up, is then scored by its
-likelihood under each automaton; a run whose shape is as likely as nearly all of a
-kind's sample, and which is likelier by `bits` as a value of that format than as text
-by the corpus's own pairs of characters, is reported as kind ``format``.
+subtrees as they meet) into a probabilistic automaton.  In every other run of credential
+characters, whatever its make-up, each part that begins and ends at the run's edges or
+beside a mark (``+ / _ . = -``) is a candidate: the automata walk from each such begin
+and score each such end by likelihood.  A part whose shape is about as likely as the
+least likely value of a kind's sample, and which is likelier by `bits` as a value of that format than as text
+by the corpus's own pairs of characters, is reported as kind ``format``; of parts that
+overlap the one with the largest difference stays.  Runs end at base spans.  Whole runs
+may have any length; parts after a mark are no longer than the longest value of the
+kind's sample.  A kind of few labelled values asks for more bits: `FEW` / n times as many.
 
 No found value is written anywhere: the first pass keeps hashes and shapes, the
 second one spans.
@@ -40,6 +44,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A run that may be a credential: as many characters as the shortest value that teaches.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}", re.ASCII)
+#: Marks beside which a value may begin and end.
+MARK = re.compile(r"[+/_.=-]")
+#: Labelled values from which a kind's automaton is trusted at `bits`; for fewer the bits grow in proportion.
+FEW = 20
 #: How many characters each class has.
 _CLASS = {"h": 6, "l": 20, "U": 26, "d": 10}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -89,10 +97,13 @@ class Automaton:
             self.states[at].stops += 1
         self.slack = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        scores = sorted(self.score(v) for v in values)
-        self.least = scores[len(scores) // 20] if scores else 0.0
+        self.steps = [{c: (math.log2(n / s.count), s.to[c]) for c, n in s.uses.items()} for s in self.states]
+        self.ends = [math.log2(max(s.stops, 0.5) / max(s.count, 1)) for s in self.states]
+        self.doubt = max(1.0, FEW / max(1, len(values)))
+        scores = [self.score(v) for v in values]
+        self.least = float(min(scores) - np.std(scores)) if scores else 0.0  # values that taught nothing score a little lower
         sizes = sorted(map(len, values))
-        self.shortest = sizes[len(sizes) // 20] if sizes else 0
+        self.shortest, self.longest = (sizes[len(sizes) // 100], sizes[-1]) if sizes else (0, 0)
 
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
         return abs(x / n - y / m) > self.slack * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -147,13 +158,24 @@ class Automaton:
         """Mean log2 likelihood of a shape and its end; -99 for a step that the automaton lacks."""
         at, total = 0, 0.0
         for c in shape:
-            s = self.states[at]
-            if c not in s.to:
+            if c not in self.steps[at]:
                 return -99.0
-            total += math.log2(s.uses[c] / s.count)
-            at = s.to[c]
-        s = self.states[at]
-        return (total + math.log2(max(s.stops, 0.5) / max(s.count, 1))) / (len(shape) + 1)
+            bits, at = self.steps[at][c]
+            total += bits
+        return (total + self.ends[at]) / (len(shape) + 1)
+
+    def accepted(self, shape: str, begin: int, ends: set[int], upto: int) -> Iterator[tuple[int, float]]:
+        """(end, log2 likelihood) of the parts from `begin` to one of `ends`, not beyond `upto`, that score about as the sample does."""
+        at, total = 0, 0.0
+        for i in range(begin, upto):
+            step = self.steps[at].get(shape[i])
+            if step is None:
+                return
+            bits, at = step
+            total += bits
+            n = i + 1 - begin
+            if n >= self.shortest and i + 1 in ends and (whole := total + self.ends[at]) / (n + 1) >= self.least:
+                yield i + 1, whole
 
 
 class Prose:
@@ -204,30 +226,52 @@ def learn(docs: DataFrame, per_kind: int = 300, longest: int = 200) -> tuple[dic
     automata = {}
     for kind in KINDS[:3]:
         shapes = [r.shape for r in seen.where(F.col("kind") == kind).groupBy("h").agg(F.first("shape").alias("shape")).orderBy("h").limit(per_kind).collect()]
-        if len(shapes) >= 20:
+        if shapes:
             automata[kind] = Automaton(shapes)
     drop(seen)
     return automata, Prose(counts)
 
 
-def likely(value: str, automata: list[Automaton], prose: Prose, bits: float) -> bool:
-    """Whether some automaton finds a run as likely as nearly all its sample, and likelier than text by `bits`."""
+def segments(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Runs of credential characters, without what lies in spans."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for a, b, _ in spans:
+            if a < m.end() and at < b:
+                if a > at:
+                    yield at, a
+                at = max(at, b)
+        if at < m.end():
+            yield at, m.end()
+
+
+def formats(value: str, automata: list[Automaton], prose: Prose, bits: float) -> list[tuple[int, int]]:
+    """(begin, end) of the parts of a run that have some kind's format, none over another."""
     shape = symbols(value)
-    drawn = sum(math.log2(_CLASS.get(c, 1)) for c in shape)
-    text = None
+    marks = [m.start() for m in MARK.finditer(value)]
+    begins, ends = [0, *(i + 1 for i in marks)], {*marks, len(value)}
+    found = []
     for x in automata:
-        if len(value) >= x.shortest and (score := x.score(shape)) >= x.least:
-            text = prose.score(value) if text is None else text
-            if score * (len(shape) + 1) - drawn >= text + bits:
-                return True
-    return False
+        for begin in begins:
+            if len(value) - begin < x.shortest:
+                break
+            for end, score in x.accepted(shape, begin, ends, len(value) if begin == 0 else min(len(value), begin + x.longest)):
+                drawn = sum(math.log2(_CLASS.get(c, 1)) for c in shape[begin:end])
+                gain = score - drawn - prose.score(value[begin:end]) - bits * x.doubt
+                if gain >= 0:
+                    found.append((-gain, begin, -end))
+    kept: list[tuple[int, int]] = []
+    for _, begin, end in sorted(found):
+        if all(-end <= a or b <= begin for a, b in kept):
+            kept.append((begin, -end))
+    return sorted(kept)
 
 
 def find(docs: DataFrame, per_kind: int = 300, bits: float = 16.0) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans) of each row of docs (doc_id, text).
 
-    A run is kind format if some automaton gives its shape at least the score of all but the lowest twentieth of
-    its sample, and the run is `bits` (of log2 likelihood) likelier as a random value of that shape than as text.
+    A part of a run is kind format if some automaton gives its shape at least the lowest score of its sample, less the
+    scores' standard deviation, and the part is `bits` (of log2 likelihood) likelier as a random value of that shape than as text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, per_kind))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -240,8 +284,8 @@ def find(docs: DataFrame, per_kind: int = 300, bits: float = 16.0) -> DataFrame:
                 spans = [s[:3] for s in base_spans(text or "")]
                 kinds = [k for _, _, k in spans]
                 base = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
-                runs = [m for m in CANDIDATE.finditer(text or "") if automata and not any(s[0] < m.end() and m.start() < s[1] for s in spans) and likely(m[0], automata, prose, bits)]
-                every = sorted([*spans, *((m.start(), m.end(), "format") for m in runs)], key=lambda s: (s[0], KINDS.index(s[2])))
+                runs = [(lo + a, lo + b, "format") for lo, hi in (segments(text or "", spans) if automata else ()) for a, b in formats(text[lo:hi], automata, prose, bits)]
+                every = sorted([*spans, *runs], key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), len(runs), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in every)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
             out.insert(0, "doc_id", pd.Series(part["doc_id"], dtype="object"))

@@ -352,6 +352,15 @@ def test_a_text_of_over_a_million_characters(spark):
     assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1)
 
 
+def test_a_passage_before_one_change_is_found(spark):
+    passage = "the quick brown fox jumps over the lazy dog while seven grey herons watch from a wooden bridge near the old mill"
+    item = f"{passage} and 4 boats pass with 9 sailors on each of them"
+    docs = [(1, f"{passage} and 5 boats pass with 5 sailors on each of them"), (2, " ".join(passage.split()[:17]) + " and 5 boats pass with 5 sailors on none"), (3, f"so {passage} it ends"), (4, None), (5, "")]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    by = {r.doc_id: r for r in found}
+    assert len(passage.split()) >= 20 and {1, 3} <= set(by) and not by[1].exact and 4 not in by and 5 not in by
+
+
 def test_packing_of_a_whole_table(spark):
     library = Tokenizer.from_file(WORD)
     library.encode_special_tokens = True

@@ -101,12 +101,14 @@ def _filter(hashes: DataFrame) -> tuple[np.ndarray | None, np.ndarray | None]:
     return None, bits
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, least: int = 13, shortest: int = 5) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, least: int = 13, shortest: int = 5, verbatim: int = 20) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, exact, key) of each contaminated document and item.
 
     Contaminated: along one alignment, matching windows cover at least `least`
-    words (or the whole of a shorter item) and fill their slots consistently.
-    exact: all slot values are the same.  key: hash of doc_id and text.
+    words (or the whole of a shorter item) and fill their slots consistently; or
+    windows with the same values one after the other cover `verbatim` words,
+    whatever the slots elsewhere are.  exact: all slot values are the same.
+    key: hash of doc_id and text.
     """
     spark = docs.sparkSession
     bench = table(item_windows(items, n, literals, shortest))
@@ -129,10 +131,14 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 8, literals: int = 4, le
     found = map_batches(own, scan, f"hash long, doc_id {kind}, key long, doc_pos int, doc_slots array<long>")
     pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda x: x["item_slots"] != 0)
     met = found.join(bench, "hash").select("doc_id", "key", "item_id", "item", "item_words", "size", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-    runs = met.groupBy("doc_id", "key", "item_id", "item", "item_words", "size", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    same = F.forall("pairs", lambda x: x["item_slots"] == x["doc_slots"])
+    runs = met.groupBy("doc_id", "key", "item_id", "item", "item_words", "size", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_sort(F.collect_set(F.when(same, F.col("item_pos")))).alias("same"))
     covered = F.aggregate(F.expr("transform(at, (p, i) -> if(i = 0, size, least(size, p - at[i - 1])))"), F.lit(0), lambda a, x: a + x)
     different = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in ("item_slots", "doc_slots")]
-    judged = runs.withColumn("matched_words", covered).where((F.size("pairs") == different[0]) & (F.size("pairs") == different[1]) & (F.col("matched_words") >= F.least(F.lit(least), "item_words")))
+    # Words of the longest stretch of windows that hold the same values, each a word after the one before.
+    stretch = F.expr("aggregate(same, named_struct('last', -2, 'now', 0, 'most', 0), (s, p) -> named_struct('last', p, 'now', if(p = s.last + 1, s.now + 1, 1), 'most', greatest(s.most, if(p = s.last + 1, s.now + 1, 1))), s -> if(s.most = 0, 0, s.most + size - 1))")
+    consistent = (F.size("pairs") == different[0]) & (F.size("pairs") == different[1]) & (F.col("matched_words") >= F.least(F.lit(least), "item_words"))
+    judged = runs.withColumn("matched_words", covered).where(consistent | (stretch >= verbatim))
     exact = F.forall("pairs", lambda x: x["item_slots"] == x["doc_slots"])
     best = judged.groupBy("doc_id", "key", "item_id", "item", "item_words").agg(F.max(F.struct("matched_words", exact.alias("exact"))).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_words", "item_words", "best.exact", "key")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridate.sources import delivery
+
 #: File signatures as upper-case hex of the first bytes.
 SIGNATURES = [("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("47494638", "image/gif"), ("25504446", "application/pdf"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff")]
 #: Brands of the media container and the image types they stand for; other brands are video.
@@ -73,12 +77,5 @@ def positive_number(text: Column, otherwise: Column) -> Column:
 
 def deliver(payloads: DataFrame, path: str, key: str = "idempotency_key") -> int:
     """Append the payloads whose key was not delivered before; returns how many are delivered in all. Delivering twice changes nothing."""
-    spark = payloads.sparkSession
-    fresh = payloads.dropDuplicates([key])
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:  # nothing delivered yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
+    delivery.deliver(payloads, path, uuid.uuid4().hex, key)
+    return delivery.delivered(payloads.sparkSession, path)

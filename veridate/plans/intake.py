@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridate.functions import pixels, text
+from veridate.functions import answers, pixels, text
 from veridate.operators import evaluate, pages, twocalls
 from veridate.plans.orders import pick, read
 from veridate.sources import files
@@ -57,8 +57,23 @@ def page_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.concat_ws(";", *shown).alias("corners"))
 
 
-QUERIES = {f.__name__: f for f in (upload_manifest, call_settings, zone_areas, page_corners)}
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' answers about each customer as JSON text, most of them cut short, of the wrong form or not JSON: what can be used of them."""
+    k = F.col("c_custkey")
+    date = F.date_format(F.date_add(F.lit("1999-01-13").cast("date"), (k * 31 % 300).cast("int")), "MM/dd/yyyy")
+    hunter = F.concat(F.lit('{"expiry_raw": '), F.when(k % 5 == 0, F.lit("null")).when(k % 5 == 1, F.lit("5")).otherwise(F.concat(F.lit('"'), date, F.lit('"'))), F.lit(', "label_verbatim": null, "neighbouring_text": "near", "reasoning": "r"'), F.when(k % 5 == 2, ', "more": 1}').when(k % 5 == 3, "").otherwise("}"))
+    entry = F.concat(F.lit('{"raw": "'), date, F.lit('", "label_verbatim": "EXP", "neighbouring_text": null, "inferred_role": "'), F.when(k % 7 == 1, "LATER").otherwise("EXPIRY"), F.lit('", "illegible": '), F.when(k % 7 == 2, '"no"').otherwise("true"), F.lit("}"))
+    dates = F.when(k % 7 == 3, F.lit("[]")).when(k % 7 == 4, F.concat(F.lit("["), entry, F.lit(', {"raw": "x"}]'))).otherwise(F.concat(F.lit("["), entry, F.lit("]")))
+    mapper = F.concat(F.lit('{"dates": '), dates, F.lit(', "document_type": '), F.when(k % 7 == 5, '"INVOICE"').when(k % 2 == 0, '"PASSPORT"').otherwise("null"), F.lit(', "issuing_authority": null, "contains_instruction_like_text": '), F.when(k % 3 == 0, "true").otherwise("false"), F.lit("}"))
+    rows = read(spark, sf_dir, "customer").select(k.alias("doc_id"), answers.hunter_answer(F.when(k % 11 != 0, hunter)).alias("h"), answers.mapper_answer(answers.latin_text(mapper.cast("binary"))).alias("m"))
+    told = F.array_join(F.transform("m.dates", lambda d: F.concat_ws(":", d["role"], d["raw"], d["illegible"].cast("string"), d["label"])), ";")
+    return rows.select("doc_id", F.col("h").isNotNull().alias("hunter_ok"), "h.expiry_raw", F.col("h.snippet").alias("snippet"), F.col("m").isNotNull().alias("mapper_ok"), told.alias("dates"), F.col("m.kind").alias("kind"), F.col("m.injected").alias("injected"))
+
+
+QUERIES = {f.__name__: f for f in (model_answers, upload_manifest, call_settings, zone_areas, page_corners)}
 ORACLES = {
+    "model_answers": """WITH c AS (SELECT c_custkey k, strftime(CAST(DATE '1999-01-13' + CAST(c_custkey * 31 % 300 AS INTEGER) AS DATE), '%m/%d/%Y') d, c_custkey % 11 <> 0 AND c_custkey % 5 IN (0, 4) h, c_custkey % 7 IN (0, 3, 6) m FROM customer)
+      SELECT k doc_id, h hunter_ok, CASE WHEN h AND k % 5 = 4 THEN d END expiry_raw, CASE WHEN h THEN 'near' END snippet, m mapper_ok, CASE WHEN m THEN CASE WHEN k % 7 = 3 THEN '' ELSE 'EXPIRY:' || d || ':true:EXP' END END dates, CASE WHEN m AND k % 2 = 0 THEN 'PASSPORT' END kind, CASE WHEN m THEN k % 3 = 0 END injected FROM c""",
     "upload_manifest": """WITH d AS (SELECT doc_id, unhex((['FFD8FFE0', '89504E470D0A1A0A', '474946383961', '255044462D312E37', '424D0000', '49492A00', '524946460000000057454250', '000000186674797061766966', '0000001866747970686569630000', '000000186674797069736F6D', '504B0304', ''])[CAST(doc_id % 12 AS INTEGER) + 1]) || CASE WHEN doc_id % 12 <> 11 THEN CAST(CAST(doc_id AS VARCHAR) AS BLOB) ELSE CAST('' AS BLOB) END content FROM documents)
       SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'image/bmp' WHEN 5 THEN 'image/tiff' WHEN 6 THEN 'image/webp' WHEN 7 THEN 'image/avif' WHEN 8 THEN 'image/heic' END mime,
         octet_length(content) bytes, sha256(content) content_hash, CASE WHEN doc_id % 12 = 11 THEN 'EMPTY_FILE' WHEN doc_id % 12 > 8 THEN 'UNSUPPORTED_TYPE' END rejected FROM d""",

@@ -24,10 +24,15 @@ SEP = r"[/\-.\s]"
 RANGE = r"(?i)\s*(?:–|—|-{1,2}|\bTO\b|\bTHRU\b|\bTHROUGH\b)\s*"
 
 
+def ymd_sql(year: str, month: str, day: str) -> str:
+    """ymd() as SQL text: looked up in the calendar, as a failed parse would cost an exception."""
+    there = "o.y between 1900 and 2200 and o.m between 1 and 12 and o.d between 1 and day(last_day(make_date(o.y, o.m, 1)))"
+    return sql.let("o", f"named_struct('y', {year}, 'm', {month}, 'd', {day})", f"if({there}, make_date(o.y, o.m, o.d), null)")
+
+
 def ymd(year: Column, month: Column, day: Column) -> Column:
     """The date, or null if the calendar lacks it or the year is outside 1900 to 2200."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.between(1900, 2200), F.try_to_date(text, "yyyy-MM-dd"))
+    return sql.bind(ymd_sql("p.year", "p.month", "p.day"), year=year, month=month, day=day)
 
 
 def years_after(date: Column, years: int) -> Column:
@@ -76,10 +81,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ymd_sql(year: str, month: str, day: str) -> str:
-    return f"if({year} between 1900 and 2200, try_to_date(format_string('%04d-%02d-%02d', {year}, {month}, {day}), 'yyyy-MM-dd'), null)"
-
-
 def _full_year_sql(yy: str, role: str, as_of: str) -> str:
     """full_year() as SQL text."""
     century = "(cy.now - cy.now % 100 + cy.yy)"

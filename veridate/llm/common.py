@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +71,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def _released() -> None:
+    """Give memory that a finished task held back to the system: Python workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
@@ -86,6 +94,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
         for out in fn({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in _slices(batches)):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        _released()
 
     return df.mapInArrow(run, struct)
 
@@ -93,7 +102,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
 def map_frames(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """mapInPandas over batches of bounded bytes."""
     small_batches(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from fn(parts)
+        _released()
+
+    return df.mapInPandas(run, schema)
 
 
 def filter_batches(df: DataFrame, column: str, fn: Callable[[Iterator[list]], Iterator[list[bool]]]) -> DataFrame:
@@ -110,5 +124,6 @@ def filter_batches(df: DataFrame, column: str, fn: Callable[[Iterator[list]], It
 
         for keep in fn(values()):
             yield held.pop(0).filter(pa.array(keep, pa.bool_()))
+        _released()
 
     return df.mapInArrow(run, df.schema)

@@ -1,5 +1,6 @@
 """Numpy kernels against plain Python."""
 
+import os
 import random
 import re
 
@@ -31,6 +32,25 @@ def test_tokens_equal_library(file, style):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_new_pre_tokens_go_through_the_library_as_one_text(monkeypatch):
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes")
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"  # a task's worker starts no threads
+    text, one_by_one = "Alpha, beta  gamma\n\ndelta \t42!", []
+    want = enc.library.encode(text, add_special_tokens=False).ids
+
+    class Library:
+        encode = enc.library.encode
+
+        def encode_batch_fast(self, strings, **kw):
+            one_by_one.extend(strings)
+            return library.encode_batch_fast(strings, **kw)
+
+    library = enc.library
+    monkeypatch.setattr(enc, "library", Library())
+    assert enc.encode([text])[0].tolist() == want
+    assert one_by_one and all(x.isspace() for x in one_by_one)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 1023, 1024, 1025, 3000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)

@@ -42,12 +42,17 @@ def _takes(ids: np.ndarray, block: int) -> np.ndarray:
     n = len(ids)
     best = np.zeros(n, np.int8)
     at = np.arange(n)
-    stop = np.minimum((at // block + 1) * block, n)
+    room = (np.minimum((at // block + 1) * block, n) - at).astype(np.int32)
     for s in range(len(SELECTORS), 0, -1):  # the fullest fitting word is set last
         count, bits = SELECTORS[s - 1]
-        wide = np.where(ids >> np.uint64(bits) != 0, at, n)
-        limit = np.minimum(np.minimum.accumulate(wide[::-1])[::-1], stop)
-        best[limit - at >= count] = s
+        fits = ids < np.uint64(1 << bits)  # whether the next 1, 2, 4, ... and at last `count` ids fit
+        span = 1
+        while span < count and fits.any():
+            step = min(span, count - span)
+            fits[:-step] &= fits[step:]
+            span += step
+        fits &= room >= count
+        best[fits] = s
     return best
 
 

@@ -12,6 +12,7 @@ library.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -37,11 +38,13 @@ class Encoder:
     """style: "words" (lower case, white space dropped, single digits) or "bytes" (a space joins the run after it)."""
 
     def __init__(self, path: str, style: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks use all cores already; threads of the library only add memory and time
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.style = style
+        self.break_id = self.library.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -65,16 +68,42 @@ class Encoder:
             left, slot = left[on], (slot[on] + 1) & (_SLOTS - 1)
         return out
 
-    def _add(self, h: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
-        n, total = len(h), sum(map(len, ids))
+    def _ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pre-tokens and how many each has.
+
+        In style "bytes" those without white space at their end go through the library as one text with
+        line breaks between: a break is a pre-token of its own there, and its id ends the ids of one of ours.
+        """
+        sizes, flat = np.zeros(len(strings), np.int64), np.zeros(0, np.uint32)
+        lined = [i for i, x in enumerate(strings) if not x[-1].isspace()] if self.style == "bytes" and len(self.break_id) == 1 else []
+        if lined:
+            ids = np.array(self.library.encode("\n".join([strings[i] for i in lined]) + "\n", add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(ids == self.break_id[0])
+            if len(stops) != len(lined):
+                lined = []
+            else:
+                sizes[lined] = np.diff(stops, prepend=-1) - 1
+                flat = np.delete(ids, stops)
+        if len(lined) == len(strings):
+            return flat, sizes
+        rest = np.ones(len(strings), bool)
+        rest[lined] = False
+        single = [e.ids for e in self.library.encode_batch_fast([strings[i] for i in np.flatnonzero(rest).tolist()], add_special_tokens=False)]
+        sizes[rest] = np.fromiter(map(len, single), np.int64, len(single))
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        of = np.repeat(rest, sizes)
+        out[~of], out[of] = flat, np.fromiter((x for one in single for x in one), np.uint32)
+        return out, sizes
+
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(h), len(ids)
         while self.n + n > len(self.size):
             self.size, self.at = np.concatenate([self.size, self.size]), np.concatenate([self.at, self.at])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        sizes = np.fromiter(map(len, ids), np.int64, n)
         self.size[self.n : self.n + n] = sizes
         self.at[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         todo, slot = np.arange(n), (h & np.uint64(_SLOTS - 1)).astype(np.int64)
         while len(todo):  # of those that want one free slot the first gets it, the others go on
             free = self.keys[slot] == 0
@@ -152,7 +181,7 @@ class Encoder:
             at = miss[new]
             joined = "\0".join(texts)
             strings = [joined[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            self._add(h[at], check[at], [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
+            self._add(h[at], check[at], *self._ids(strings))
             found[miss] = self._find(h[miss], check[miss])
         size = self.size[found].astype(np.int64)
         stop = np.cumsum(size)

@@ -198,3 +198,40 @@ def test_what_sets_share_in_blocks(monkeypatch):
         return top
 
     assert parts(alike) == parts(list(zip(links["a"].tolist(), links["b"].tolist(), strict=True)))
+
+
+def _parts(n, edges):
+    top = list(range(n))
+    for a, b in [*edges] * n:
+        top = [min(top[a], top[b]) if v in (top[a], top[b]) else v for v in top]
+    return top
+
+
+def test_lines_of_blocks_join_as_a_forest():
+    import pandas as pd
+
+    rng = random.Random(5)
+    lines = [f"a line of one large group of near copies {rng.randrange(40):02d}{rng.choice(['', 'x'])}" for _ in range(60)] + [f"number {rng.randrange(10**6):06d} of a form" for _ in range(60)]
+    lines = list(dict.fromkeys(lines))
+    n = len(lines)
+    key = [0] * n + [i % 7 for i in range(n)]
+    part = pd.concat([pd.DataFrame({"key": key, "p": 0, "q": 0, "id": np.tile(np.arange(n), 2), "component": np.tile(np.arange(n), 2), "line": lines * 2, "sketch": np.tile(linededup.sketches(lines), 2), "first": f}) for f in (True, False)], ignore_index=True)
+    links = linededup.joining(part, 2)
+    alike = [(i, j) for i in range(n) for j in range(i + 1, n) if distance(lines[i], lines[j]) <= 2]
+    found = list(zip(links["a"].tolist(), links["b"].tolist(), strict=True))
+    assert set(found) <= set(alike) and len(found) == n - len(set(_parts(n, found))) < len(alike)
+    assert _parts(n, found) == _parts(n, alike)
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_texts_of_blocks_join_within_their_block(monkeypatch, few):
+    import pandas as pd
+
+    monkeypatch.setattr(dartminhash, "FEW_PAIRS", few)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30, 20)) for _ in range(40)]
+    part = pd.concat([pd.DataFrame({"key": np.arange(40) // 4, "p": 0, "q": 0, "id": np.arange(40), "component": np.arange(40), "value": sets, "first": f}) for f in (True, False)], ignore_index=True)
+    links = dartminhash.joining_blocks(part, 0.4)
+    alike = [(i, j) for i in range(40) for j in range(i + 1, 40) if i // 4 == j // 4 and len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))]
+    found = list(zip(links["a"].tolist(), links["b"].tolist(), strict=True))
+    assert alike and set(found) <= set(alike) and _parts(40, found) == _parts(40, alike)

@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import check_of, drop, map_frames, small_batches, table
-from veridate.llm.links import in_blocks, link, rarest, repeated
+from veridate.llm.links import Joined, blocks, in_blocks, link, rarest, repeated
 from veridate.llm.words import batches, mix, shingles
 
 _U = np.uint64
 #: Pairs for each text of a key that are compared before finer keys come in; texts, and elements of texts, of one block; elements of one matrix product; characters sketched at a time.
 PAIRS_A_TEXT, BLOCK, BLOCK_ELEMENTS, COLUMNS, SKETCHED = 512, 512, 500_000.0, 2048, 1_000_000
+#: Pairs of a block up to which they are taken one by one, without a matrix product.
+FEW_PAIRS = 64
 #: Ids up to which they are broadcast to the texts, instead of moving all texts.
 FEW_IDS = 1_000_000
 _LOWEST = -8  #: the first rank cell is [0, 2**_LOWEST), each further one reaches twice as far
@@ -168,8 +170,9 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joining(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def joining(part: pd.DataFrame, threshold: float, joined: Joined | None = None) -> pd.DataFrame:
     """Links (a, b) between similar rows (id, component, value, first), one of them marked first, that join components: a forest, whatever the number of similar pairs."""
+    joined = joined or Joined()
     part = part.drop_duplicates(["id", "first"])
     left, right = part[part["first"]], part[~part["first"]]
     if not len(left) or not len(right):
@@ -179,22 +182,36 @@ def joining(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     names = [side["component"].to_numpy() for side in (left, right)]
     total = sizes[0][:, None] + sizes[1][None, :] - both
     x, y = np.nonzero((both >= threshold * total - 1e-9) & (names[0][:, None] != names[1][None, :]))
-    top: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while (up := top.get(i, i)) != i:
-            top[i] = i = top.get(up, up)
-        return i
-
     links, a_ids, b_ids = [], left["id"].tolist(), right["id"].tolist()
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = find(int(names[0][i])), find(int(names[1][j]))
-        if a != b:
-            top[max(a, b)] = min(a, b)
+        a, b = int(names[0][i]), int(names[1][j])
+        if joined.find(a) != joined.find(b):
+            joined.join(a, b)
             links.append((min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j])))
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
+def joining_blocks(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """`joining` within each block (key, p, q) of part; blocks of few pairs take these one by one, without pairs that other blocks have joined."""
+    joined, links, found = Joined(), [], []
+    ids, names, values = part["id"].tolist(), part["component"].tolist(), part["value"].tolist()
+    for left, right in blocks(part):
+        if len(left) * len(right) > FEW_PAIRS:
+            found.append(joining(part.iloc[np.concatenate([left, right])], threshold, joined))
+            continue
+        for i in left.tolist():
+            for j in right.tolist():
+                a, b = len(values[i]), len(values[j])
+                if min(a, b) < threshold * max(a, b) - 1e-9 or joined.find(names[i]) == joined.find(names[j]):
+                    continue
+                both = np.sort(np.concatenate([values[i], values[j]]))
+                n = int((both[1:] == both[:-1]).sum())
+                if n >= threshold * (a + b - n) - 1e-9:
+                    joined.join(names[i], names[j])
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.concat([pd.DataFrame(links, columns=["a", "b"], dtype=np.int64), *found])
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32, rows: int = 5, counts: bool = True) -> DataFrame:
     """(doc_id, class_id, class_size, kept, key) of each row of docs (doc_id, text).
 
@@ -254,7 +271,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 32
     def across(some: DataFrame) -> DataFrame:
         small_batches(docs.sparkSession)
         own = texts.join(_few(some), "id", "left_semi").select("id", "text")
-        return in_blocks(some, map_frames(own, values, "id long, value array<long>"), lambda part: joining(part, threshold), BLOCK, BLOCK_ELEMENTS)
+        return in_blocks(some, map_frames(own, values, "id long, value array<long>"), lambda part: joining_blocks(part, threshold), BLOCK, BLOCK_ELEMENTS)
 
     linked = link(members, verify, finer, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9, across, PAIRS_A_TEXT)
     out = _stand(own.withColumn("key", F.xxhash64("doc_id", "text")).drop("text"), linked.join(texts.select("id", "check"), "id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridate.llm.common import drop, map_batches, map_frames, small_batches, table
-from veridate.llm.links import link, rarest, repeated, sketched
+from veridate.llm.links import Joined, blocks, in_blocks, link, rarest, repeated, sketched
 from veridate.llm.words import Spans, batches, join, mix
 
 _U = np.uint64
@@ -41,6 +41,8 @@ _U = np.uint64
 BUCKET, PACKED = 1 << 20, 1 << 20
 #: Rows, and bytes of lists of cut lines, up to which the other side of a join with the documents is broadcast.
 FEW_ROWS, FEW_BYTES = 250_000, 32 << 20
+#: Lines of one block, and their characters up to which they are compared in blocks.
+BLOCK, LONG = 256, 2000
 #: Pairs that the sketches of a key's lines decide for each line before finer keys come in.
 PAIRS_A_LINE = 256
 _UNEVEN = re.compile(r"[^\S\n ]|  |(?:^|\n) | (?:\n|$)")
@@ -160,6 +162,31 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(state[-1] >> (len(a) - len(b) + threshold) & 1)
 
 
+def joining(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Links (a, b) between lines of one block (key, p, q) within `threshold` edits that join components: a forest, whatever the number of such pairs.
+
+    part: id, component, line, sketch, first (one of each pair).  Only pairs that agree in sketches and are not joined yet are compared.
+    """
+    joined, links, unlike = Joined(), [], set()
+    ids, names, lines = part["id"].tolist(), part["component"].tolist(), part["line"].tolist()
+    sketch, component = part["sketch"].to_numpy(np.int64), part["component"].to_numpy(np.int64)
+    for left, right in blocks(part):
+        near = np.bitwise_count((sketch[left][:, None] ^ sketch[right][None, :]).view(_U)) <= 4 * threshold
+        x, y = np.nonzero(near & (component[left][:, None] != component[right][None, :]))
+        for i, j in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            if joined.find(names[i]) == joined.find(names[j]):
+                continue
+            pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+            if pair in unlike:
+                continue
+            if within(lines[i], lines[j], threshold):
+                joined.join(names[i], names[j])
+                links.append(pair)
+            else:
+                unlike.add(pair)
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
 def compared(text: str, least: int) -> tuple[list[int], list[str]]:
     """Numbers and normal forms of the lines of a text that are compared."""
     lines = text.split("\n")
@@ -294,7 +321,15 @@ def line_classes(docs: DataFrame, threshold: int = 2, least: int = 24) -> tuple[
         return out
 
     alike = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4 * threshold
-    linked = link(members, verify, finer, alike, lambda some: verify(sketched(some, alike)), PAIRS_A_LINE)
+    # Long lines meet in pairs, so that no block is heavy; a pair within the threshold is wholly in one of both.
+    long = texts.where(F.length("line") > LONG - threshold).select("id")
+    some_long = not long.isEmpty()
+
+    def across(some: DataFrame) -> DataFrame:
+        found = in_blocks(some, texts.where(F.length("line") <= LONG).select("id", "line", "sketch"), lambda part: joining(part, threshold), BLOCK, float(BLOCK))
+        return found.unionByName(verify(sketched(some.join(long, "id", "left_semi"), alike))) if some_long else found
+
+    linked = link(members, verify, finer, alike, across, PAIRS_A_LINE, F.lit(1.0))
     out = table(linked.join(texts.select("id", "check"), "id"))
     drop(shared, texts, members, linked)
     return places, out

@@ -116,14 +116,48 @@ def _open(members: DataFrame, labels: DataFrame, weight: Column) -> DataFrame:
     return out
 
 
+class Joined:
+    """Components that links found so far have joined."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        while (up := self.top.get(i, i)) != i:
+            self.top[i] = i = self.top.get(up, up)
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.top[max(a, b)] = min(a, b)
+
+
+def blocks(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the outliers and of the members of each block in rows (key, p, q, first) of `in_blocks`."""
+    code = part.groupby(["key", "p", "q"], sort=False).ngroup().to_numpy()
+    first = part["first"].to_numpy(bool)
+    order = np.lexsort((~first, code))
+    edge = np.searchsorted(code[order], np.arange(int(code.max()) + 2))
+    heads = np.concatenate([[0], np.cumsum(first[order])])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        m = a + int(heads[b] - heads[a])
+        if a < m < b:
+            yield order[a:m], order[m:b]
+
+
 def in_blocks(members: DataFrame, values: DataFrame, check: Callable[[pd.DataFrame], pd.DataFrame], most: int, heaviest: float) -> DataFrame:
-    """Links (a, b) that `check` finds between outliers (first: true) and members (first: false) of one key, given the rows of two blocks with values (id, value) and component.
+    """Links (a, b) that `check` finds between outliers (first: true) and members (first: false) of each block (key, p, q), given whole blocks with component and the values (id, any others) of each row.
 
-    Blocks hold about `most` members or `heaviest` weight.
+    Blocks hold about `most` members or `heaviest` weight; a block of a small key is handed over with others of its kind, about as many together.
     """
     a, b = _dealt(members, most, heaviest)
-    rows = lambda side, first: side.select("key", "p", "q", "id", "component", F.lit(first).alias("first"))
-    return rows(a, True).unionByName(rows(b, False)).join(values, "id").groupBy("key", "p", "q").applyInPandas(check, "a long, b long").distinct()
+    size = members.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") / F.col("n")).alias("weight")).first()
+    groups = max(1, int(np.ceil(max(size.n / most, (size.weight or 0) / heaviest))))
+    alone = F.xxhash64("key", "p", "q")
+    group = F.when((F.col("ps") == 1) & (F.col("qs") == 1), F.pmod(alone, F.lit(groups))).otherwise(alone)
+    rows = lambda side, first: side.select(group.alias("group"), "key", "p", "q", "id", "component", F.lit(first).alias("first"))
+    return rows(a, True).unionByName(rows(b, False)).join(values, "id").groupBy("group").applyInPandas(check, "a long, b long").distinct()
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], across: Callable[[DataFrame], DataFrame], pairs_a_member: int, weight: Column | None = None) -> DataFrame:
